@@ -155,7 +155,10 @@ def resolve_slice(
         start = F.least(F.lit(offset).cast("long"), size)
     available = size - start
     length = available if count is None else F.least(F.lit(count).cast("long"), available)
-    return F.struct(start.cast("long").alias("start"), length.cast("long").alias("length"))
+    known = size.isNotNull()
+    return F.struct(
+        F.when(known, start.cast("long")).alias("start"), F.when(known, length.cast("long")).alias("length")
+    )
 
 
 def cat(df: DataFrame, content: str = "content", **flags: int) -> DataFrame:

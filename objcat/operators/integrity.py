@@ -55,13 +55,16 @@ def verify(catalog: DataFrame, store: DataFrame, algo: str = "sha256") -> DataFr
     joined = catalog.join(held, catalog["object_key"] == held["_key"], "left")
     recorded = F.when(F.length("hash") > 0, F.lower("hash"))
     measured = F.when(recorded.isNotNull() | (F.col("size") > 0), F.col("size"))
+    def verdict(status: str, detail: str | None = None) -> Column:
+        return F.struct(F.lit(status).alias("status"), F.lit(detail).cast("string").alias("detail"))
+
     found = (
-        F.when(F.col("_key").isNull(), F.struct(F.lit("missing").alias("status"), F.lit("no stored object").alias("detail")))
-        .when(F.col("_digest").isNull(), F.struct(F.lit("unreadable"), F.lit("content could not be read")))
-        .when(measured != F.col("_length"), F.struct(F.lit("corrupt"), F.lit("length differs from the record")))
-        .when(recorded.isNull(), F.struct(F.lit("unverifiable"), F.lit("no digest recorded")))
-        .when(recorded != F.col("_digest"), F.struct(F.lit("corrupt"), F.lit("digest differs from the record")))
-        .otherwise(F.struct(F.lit("ok"), F.lit(None).cast("string")))
+        F.when(F.col("_key").isNull(), verdict("missing", "no stored object"))
+        .when(F.col("_digest").isNull(), verdict("unreadable", "content could not be read"))
+        .when(measured != F.col("_length"), verdict("corrupt", "length differs from the record"))
+        .when(recorded.isNull(), verdict("unverifiable", "no digest recorded"))
+        .when(recorded != F.col("_digest"), verdict("corrupt", "digest differs from the record"))
+        .otherwise(verdict("ok"))
     )
     return joined.withColumn("_f", found).select(
         "path", F.col("_f.status").alias("status"), measured.alias("size"), F.col("_f.detail").alias("detail")

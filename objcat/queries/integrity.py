@@ -116,7 +116,7 @@ R.add(
     lambda c: chunks.coalesce_runs(integrity.sample_chunks(_objects(c), 3, 5, CHUNK), window=2, group_rows=None),
     f"""WITH {SAMPLED}, i AS (SELECT *, chunk - row_number() OVER (PARTITION BY object_key ORDER BY chunk) AS g FROM picked),
       s AS (SELECT object_key, min(chunk) AS a, count(*) AS n FROM i GROUP BY object_key, g)
-      SELECT object_key, a + at AS first, least(n - at, 2) AS count FROM s, unnest(range(0, n, 2)) AS u(at)""",
+      SELECT object_key, a + k AS first, least(n - k, 2) AS count FROM s, unnest(range(0, n, 2)) AS u(k)""",
 )
 R.add(
     "object_length",
@@ -192,11 +192,10 @@ R.add(
     "K3",
     "inv_src",
     _slices,
-    """SELECT path, 0 * size AS head_start, least(4000, size) AS head_length, greatest(size - 4000, 0) AS tail_start, size - greatest(size - 4000, 0) AS tail_length,
-      least(1000, size) AS mid_start, least(3000, size - least(1000, size)) AS mid_length, greatest(size - 2500, 0) AS back_start,
-      least(700, size - greatest(size - 2500, 0)) AS back_length FROM {inv_src}""".replace(
-        "least(4000, size)", "CASE WHEN size IS NOT NULL THEN least(4000, size) END"
-    ),
+    """SELECT path, 0 * size AS head_start, least(4000, size) AS head_length, greatest(size - 4000, 0) AS tail_start,
+      size - greatest(size - 4000, 0) AS tail_length, least(1000, size) AS mid_start, least(3000, size - least(1000, size)) AS mid_length,
+      greatest(size - 2500, 0) AS back_start, least(700, size - greatest(size - 2500, 0)) AS back_length FROM {inv_src} WHERE size IS NOT NULL
+      UNION ALL SELECT path, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM {inv_src} WHERE size IS NULL""",
 )
 R.add(
     "content_slice",
@@ -276,7 +275,7 @@ def _forged(a):
 
 FORGED_SQL = f"""WITH RECURSIVE {SEALED},
   c AS (SELECT chain, count(*) AS records, max(pos) AS last FROM {{aud}} GROUP BY chain),
-  b AS (SELECT *, 11 + chain % 7 AS at, CASE WHEN last < 11 + chain % 7 THEN NULL WHEN chain % 5 = 0 THEN 'index-discontinuity'
+  b AS (SELECT *, 11 + chain % 7 AS place, CASE WHEN last < 11 + chain % 7 THEN NULL WHEN chain % 5 = 0 THEN 'index-discontinuity'
     WHEN chain % 4 = 0 THEN 'broken-link' WHEN chain % 3 = 0 THEN 'content-mismatch' END AS kind FROM c)"""
 R.add(
     "audit_verify_chain",
@@ -284,7 +283,7 @@ R.add(
     "aud",
     lambda a: audit.verify_chain(_forged(a)).select("chain", "records", "verdict", "head", "position", "kind"),
     f"""{FORGED_SQL} SELECT b.chain, records, CASE WHEN kind IS NULL THEN 'intact' ELSE 'broken' END AS verdict, CASE WHEN kind IS NULL THEN s.hash END AS head,
-      CASE WHEN kind IS NOT NULL THEN at END AS position, kind FROM b JOIN seal AS s ON s.chain = b.chain AND s.pos = b.last""",
+      CASE WHEN kind IS NOT NULL THEN place END AS position, kind FROM b JOIN seal AS s ON s.chain = b.chain AND s.pos = b.last""",
 )
 R.add(
     "audit_heads",

@@ -243,8 +243,8 @@ R.add(
     "lsl",
     "E2",
     "inv_src",
-    lambda i: listing.lsl(i, "web"),
-    f"""SELECT size, {STAMP} AS modified, CASE WHEN starts_with(path, 'web/') THEN substr(path, 5) ELSE path END AS path
+    lambda i: listing.lsl(i, "src1"),
+    f"""SELECT size, {STAMP} AS modified, CASE WHEN starts_with(path, 'src1/') THEN substr(path, 6) ELSE path END AS path
       FROM {{inv_src}} ORDER BY path""",
 )
 DIRS = """SELECT array_to_string(string_split(path, '/')[1:n], '/') AS dir, size FROM {source},

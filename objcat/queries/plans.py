@@ -386,16 +386,16 @@ R.add(
     "delete_selection",
     "G1",
     "marked",
-    lambda m: removal.select_delete(m, "web", FilterSet.build(exclude=["*7.txt"], max_size="9k", now=NOW)),
-    f"""WITH {MARKERS} SELECT path, size, 'object' AS kind FROM o WHERE starts_with(path, 'web/') AND path NOT LIKE '%7.txt'
+    lambda m: removal.select_delete(m, "src1", FilterSet.build(exclude=["*7.txt"], max_size="9k", now=NOW)),
+    f"""WITH {MARKERS} SELECT path, size, 'object' AS kind FROM o WHERE starts_with(path, 'src1/') AND path NOT LIKE '%7.txt'
       AND (size IS NULL OR size <= 9216)""",
 )
 R.add(
     "delete_with_directories",
     "G2",
     "marked",
-    lambda m: removal.select_delete(m, "", FilterSet.build(include=["en/**", "/web/fr/**"], now=NOW), rmdirs=True),
-    f"""WITH {MARKERS}, gone AS (SELECT * FROM o WHERE regexp_matches(path, '(^|/)en/') OR starts_with(path, 'web/fr/')),
+    lambda m: removal.select_delete(m, "", FilterSet.build(include=["en/**", "/src1/fr/**"], now=NOW), rmdirs=True),
+    f"""WITH {MARKERS}, gone AS (SELECT * FROM o WHERE regexp_matches(path, '(^|/)en/') OR starts_with(path, 'src1/fr/')),
       left_ AS (SELECT path FROM o WHERE path NOT IN (SELECT path FROM gone))
       SELECT path, size, 'object' AS kind FROM gone UNION ALL
       SELECT dir || '/.objcat-dir', 0, 'directory' FROM m WHERE EXISTS (SELECT 1 FROM o WHERE starts_with(o.path, m.dir || '/'))
@@ -421,15 +421,15 @@ R.add(
     "purge_selection",
     "G4",
     "marked",
-    lambda m: removal.select_purge(m, "web"),
-    """SELECT path, size, CASE WHEN path LIKE '%/.objcat-dir' THEN 'directory' ELSE 'object' END AS kind FROM {marked} WHERE starts_with(path, 'web/')""",
+    lambda m: removal.select_purge(m, "src1"),
+    """SELECT path, size, CASE WHEN path LIKE '%/.objcat-dir' THEN 'directory' ELSE 'object' END AS kind FROM {marked} WHERE starts_with(path, 'src1/')""",
 )
 R.add(
     "rmdir_state",
     "G5",
     "marked",
-    lambda m: removal.rmdir_state(m, "empty").unionByName(removal.rmdir_state(m, "web")).unionByName(removal.rmdir_state(m, "nowhere")),
-    f"""WITH {MARKERS}, d AS (SELECT unnest(['empty', 'web', 'nowhere']) AS dir)
+    lambda m: removal.rmdir_state(m, "empty").unionByName(removal.rmdir_state(m, "src1")).unionByName(removal.rmdir_state(m, "nowhere")),
+    f"""WITH {MARKERS}, d AS (SELECT unnest(['empty', 'src1', 'nowhere']) AS dir)
       SELECT declared OR occupant IS NOT NULL OR child IS NOT NULL AS exists, declared, occupant, child FROM (
         SELECT dir IN (SELECT dir FROM m) AS declared, (SELECT min(path) FROM o WHERE starts_with(path, d.dir || '/')) AS occupant,
           (SELECT m.dir FROM m WHERE starts_with(m.dir, d.dir || '/') ORDER BY len(string_split(m.dir, '/')) DESC, m.dir LIMIT 1) AS child FROM d)""",
@@ -464,9 +464,9 @@ R.add(
     "G8",
     "store_objects",
     lambda s: removal.debris_multipart(
-        s.select(F.col("path").alias("object_key"), F.md5("path").alias("upload_id"), F.col("mtime").alias("started")), DEBRIS_NOW, scope="web"
+        s.select(F.col("path").alias("object_key"), F.md5("path").alias("upload_id"), F.col("mtime").alias("started")), DEBRIS_NOW, scope="src1"
     ),
-    _aged_sql("path", "CAST(NULL AS BIGINT)", "multipart", "mtime", "{store_objects}", "starts_with(path, 'web/')"),
+    _aged_sql("path", "CAST(NULL AS BIGINT)", "multipart", "mtime", "{store_objects}", "starts_with(path, 'src1/')"),
 )
 R.add(
     "debris_orphans",
@@ -606,7 +606,7 @@ R.add(
     "unrepresentable_names",
     "I10",
     "messy",
-    lambda m: preflight.unrepresentable(m.select(F.replace(F.substring_index("raw", "/", 1), F.lit("web"), F.lit("..")).alias("name"))),
-    """WITH n AS (SELECT replace(split_part(raw, '/', 1), 'web', '..') AS name FROM {messy})
+    lambda m: preflight.unrepresentable(m.select(F.replace(F.substring_index("raw", "/", 1), F.lit("src1"), F.lit("..")).alias("name"))),
+    """WITH n AS (SELECT replace(split_part(raw, '/', 1), 'src1', '..') AS name FROM {messy})
       SELECT count(*) AS names, count(*) FILTER (contains(name, chr(92)) OR name = '..') AS unrepresentable FROM n""",
 )

@@ -32,10 +32,8 @@ SI_UNITS = ["B", "kB", "MB", "GB", "TB", "PB", "EB"]
 # Hex length of a digest.
 HEX_LENGTH = {"blake3": 64, "sha1": 40, "sha256": 64}
 
-# A plain decimal number, and one with an exponent or a word for infinity.
-_PLAIN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"
-_FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_NOT_FINITE = r"^(?i)[+-]?(inf|infinity|nan)$"
+# A number with an exponent, or a word for infinity or not-a-number.
+_FLOAT = r"(?i)^[+-]?(inf|infinity|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)$"
 
 
 def size_multipliers() -> dict[str, float]:
@@ -52,105 +50,80 @@ def _table(values: dict[str, float]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
 
-def _trim(col: Column) -> Column:
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
-
-
-def _whole(value: Column) -> Column:
-    """A non-negative double cut to a BIGINT, held at the largest one."""
-    return F.when(value >= float(_LONG_MAX), F.lit(_LONG_MAX)).otherwise(F.floor(value).cast("long"))
-
-
 def parse_size(col: Column | str) -> Column:
     """struct(bytes, unlimited, problem). `off` and a bare `0` mean no limit; a bare number is bytes."""
     col = as_col(col)
-    text = _trim(col)
-    number = F.regexp_extract(text, r"^([^A-Za-z]*)", 1)
-    suffix = F.lower(_trim(F.substring(text, F.char_length(number) + 1, F.char_length(text))))
-    number = _trim(number)
-    value = _double(number, _PLAIN)
+    number = F.regexp_extract(col, r"(?Us)^\s*([^A-Za-z]*?)\s*(?:[A-Za-z].*)?$", 1)
+    suffix = F.lower(F.regexp_extract(col, r"(?Us)^[^A-Za-z]*(.*?)\s*$", 1))
+    value = number.try_cast("double")
     factor = F.try_element_at(_table(size_multipliers()), suffix)
-    unlimited = (F.lower(text) == "off") | (text == "0")
+    unlimited = ((number == "") & (suffix == "off")) | ((number == "0") & (suffix == ""))
     problem = (
         F.when(unlimited, F.lit(None).cast("string"))
         .when(value.isNull(), F.lit("invalid"))
         .when(value < 0, F.lit("negative"))
         .when(factor.isNull(), F.lit("unknown-suffix"))
     )
-    size = F.when(~unlimited & problem.isNull(), _whole(value * factor))
-    return F.when(
-        col.isNotNull(), F.struct(size.alias("bytes"), unlimited.alias("unlimited"), problem.alias("problem"))
-    )
-
-
-def _double(number: Column, grammar: str) -> Column:
-    return F.when(number.rlike(grammar), number).try_cast("double")
+    size = F.when(~unlimited & (value >= 0), F.floor(value * factor))
+    parsed = F.struct(size.alias("bytes"), unlimited.alias("unlimited"), problem.alias("problem"))
+    return F.when(col.isNotNull(), parsed)
 
 
 def parse_age(col: Column | str) -> Column:
     """struct(seconds, unlimited, problem). A bare number is seconds; 0 and `off` mean no limit."""
     col = as_col(col)
-    text = _trim(col)
-    shape = r"^(?s)(.+?)(ms|s|m|h|d|w|M|y)?$"
-    number = _trim(F.regexp_extract(text, shape, 1))
-    factor = F.try_element_at(_table(AGE_SECONDS), F.regexp_extract(text, shape, 2))
-    value = _double(number, _FLOAT)
-    endless = number.rlike(_NOT_FINITE) & ~number.startswith("-")
-    seconds = value * factor
-    unlimited = (F.lower(text) == "off") | F.coalesce(value == 0, F.lit(False)) | endless
-    unlimited = unlimited | F.coalesce((value > 0) & (seconds >= float(_LONG_MAX)), F.lit(False))
+    shape = r"(?Us)^\s*(.+?)\s*(ms|s|m|h|d|w|M|y)?\s*$"
+    number, suffix = F.regexp_extract(col, shape, 1), F.regexp_extract(col, shape, 2)
+    value = F.when(number.rlike(_FLOAT), number).try_cast("double")
+    seconds = value * F.try_element_at(_table(AGE_SECONDS), suffix)
+    # Not-a-number counts as larger than every number, so it ends as "no limit" like infinity does.
+    endless = (value == 0) | ((value > 0) & (seconds >= float(_LONG_MAX)))
+    unlimited = ((F.lower(number) == "off") & (suffix == "")) | F.coalesce(endless, F.lit(False))
     problem = (
         F.when(unlimited, F.lit(None).cast("string"))
-        .when(F.coalesce(value < 0, F.lit(False)) | number.rlike(r"^(?i)-inf(inity)?$"), F.lit("negative"))
         .when(value.isNull(), F.lit("invalid"))
+        .when(value < 0, F.lit("negative"))
     )
     # A span is kept to the nanosecond before its whole seconds are taken.
-    whole = F.when(~unlimited & problem.isNull(), _whole(seconds + 0.5e-9))
-    return F.when(
-        col.isNotNull(), F.struct(whole.alias("seconds"), unlimited.alias("unlimited"), problem.alias("problem"))
-    )
+    whole = F.when(~unlimited & (value > 0), F.floor(seconds + 0.5e-9))
+    parsed = F.struct(whole.alias("seconds"), unlimited.alias("unlimited"), problem.alias("problem"))
+    return F.when(col.isNotNull(), parsed)
 
 
 def format_bytes(col: Column | str, units: str = "iec") -> Column:
     """`N B` below one unit; then two decimals under 10 and one decimal above, ties to even.
 
     The scaled value is split into whole and fractional part, and the fraction is rounded as a count of
-    2^-52: that is exact, where `format_string` rounds the shortest decimal spelling and may differ.
+    2^-52: that is exact, where `format_string` rounds the shortest decimal spelling and may differ. Both
+    spellings are made and one is picked, so that what they share is worked out once per row.
     """
     col = as_col(col)
     names, base = (IEC_UNITS, 1024.0) if units == "iec" else (SI_UNITS, 1000.0)
-
-    def scaled(power: int) -> Column:
-        value = col.cast("double")
-        for _ in range(power):
-            value = value / base
-        return value
-
-    def printed(power: int) -> Column:
-        value = scaled(power)
-        whole = F.floor(value).cast("long")
-        fraction = ((value - F.floor(value)) * float(2**52)).cast("long")
-
-        def rounded(places: int) -> Column:
-            scale = 10**places
-            cut = F.shiftright(fraction * scale, 52)
-            rest = (fraction * scale).bitwiseAND(F.lit(2**52 - 1))
-            half = F.lit(2**51)
-            units_ = whole * scale + cut
-            units_ = units_ + ((rest > half) | ((rest == half) & (units_ % 2 == 1))).cast("long")
-            return F.concat(
-                _div(units_, scale).cast("string"),
-                F.lit("."),
-                F.lpad((units_ % scale).cast("string"), places, "0"),
-            )
-
-        text = F.when(value < 10.0, rounded(2)).otherwise(rounded(1))
-        return F.concat(text, F.lit(" " + names[power]))
-
-    result = F.when(col < int(base), F.concat(col.cast("string"), F.lit(f" {names[0]}")))
-    for power in range(1, len(names) - 1):
-        result = result.when(scaled(power) < base, printed(power))
-    return F.when(col.isNotNull(), result.otherwise(printed(len(names) - 1)))
+    scaled = [col.cast("double")]
+    for _ in names[1:]:
+        scaled.append(scaled[-1] / base)
+    value, unit = scaled[-1], F.lit(names[-1])
+    for power in range(len(names) - 2, 0, -1):
+        fits = scaled[power] < base
+        value, unit = F.when(fits, scaled[power]).otherwise(value), F.when(fits, F.lit(names[power])).otherwise(unit)
+
+    whole = F.floor(value)
+    fraction = ((value - whole) * float(2**52)).cast("long")
+    places = F.when(value < 10.0, F.lit(2)).otherwise(F.lit(1))
+    scale = F.when(value < 10.0, F.lit(100)).otherwise(F.lit(10)).cast("long")
+    rest = (fraction * scale).bitwiseAND(F.lit(2**52 - 1))
+    count = whole * scale + F.shiftright(fraction * scale, 52)
+    # Up when the rest is over a half, or is a half and the count is odd.
+    count = count + (rest + count % 2 > F.lit(2**51)).cast("long")
+    spelled = F.concat(
+        F.call_function("div", count, scale).cast("string"),
+        F.lit("."),
+        F.lpad((count % scale).cast("string"), places, F.lit("0")),
+        F.lit(" "),
+        unit,
+    )
+    plain = F.concat(col.cast("string"), F.lit(" " + names[0]))
+    return F.get(F.array(plain, spelled), F.when(col < int(base), F.lit(0)).otherwise(F.lit(1)))
 
 
 def _div(value: Column, by: int) -> Column:
@@ -182,72 +155,51 @@ def rfc3339(col: Column | str) -> Column:
 def parse_time(col: Column | str, now: int | Column = 0) -> Column:
     """Unix seconds of `now`, `@unix`, `2d` ago, a calendar date, or a date with a clock and an offset; else NULL.
 
-    Clocks are UTC unless they carry an offset; years run from 1970 to 9999; second 60 is accepted.
+    Clocks are UTC unless they carry an offset; years run from 1970 to 9999; second 60 is accepted. One
+    pattern takes a calendar time apart into a list; the four readings stand side by side and one is picked.
     """
-    text = _trim(as_col(col))
+    text = F.regexp_replace(as_col(col), r"(?U)^\s+|\s+$", "")
     now = F.lit(now).cast("long") if isinstance(now, int) else now.cast("long")
+    absolute = F.regexp_extract(text, r"^@(?U:\s*)([+-]?[0-9]+)$", 1).try_cast("long")
 
-    def group(source: Column, pattern: str, n: int) -> Column:
-        return F.regexp_extract(source, pattern, n)
-
-    def number(source: Column, pattern: str, n: int) -> Column:
-        return group(source, pattern, n).try_cast("long")
+    ago = r"^\+?([0-9]+)([smhdw])$"
+    step = F.try_element_at(_table(RELATIVE_SECONDS), F.regexp_extract(text, ago, 2)).cast("long")
+    relative = F.try_subtract(now, F.try_multiply(F.regexp_extract(text, ago, 1).try_cast("long"), step))
 
-    at = _trim(F.substring(text, F.lit(2), F.char_length(text)))
-    absolute = F.when(at.rlike(r"^[+-]?[0-9]+$"), at).try_cast("long")
+    # Date, then perhaps a clock with seconds, a fraction (in which only a last sign begins an offset) and a zone.
+    calendar_shape = (
+        r"(?s)^([0-9]+)-([0-9]+)-([0-9]+)"
+        r"(?:[Tt ]([0-9]+):([0-9]+)(?::([0-9]+)(?:\.(?:[^:+-]|[+-](?=[^:]*[+-]))*?)?)?([Zz]|[+-][0-9:]*)?)?$"
+    )
+    fields = F.split(F.regexp_replace(text, calendar_shape, "$1,$2,$3,$4,$5,$6,$7"), ",")
 
-    ago = r"^\+?([0-9]+)([smhdw])$"
-    step = F.try_element_at(_table(RELATIVE_SECONDS), group(text, ago, 2)).cast("long")
-    relative = F.try_subtract(now, F.try_multiply(number(text, ago, 1), step))
+    def field(n: int, absent: str | None = None) -> Column:
+        value = F.get(fields, F.lit(n))
+        return value if absent is None else F.when(value == "", absent).otherwise(value)
 
-    date = r"^([0-9]+)-([0-9]+)-([0-9]+)(?:[Tt ](?s:.*))?$"
-    year, month, day = (number(text, date, n) for n in (1, 2, 3))
+    year, month, day = (field(n).try_cast("int") for n in range(3))
+    civil = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
     in_range = year.between(1970, 9999) & month.between(1, 12) & day.between(1, 31)
-    civil = F.concat_ws(
-        "-",
-        F.lpad(year.cast("string"), 4, "0"),
-        F.lpad(month.cast("string"), 2, "0"),
-        F.lpad(day.cast("string"), 2, "0"),
-    )
     days = F.unix_date(F.when(in_range, civil).try_cast("date")).cast("long")
 
-    clock_of = r"^[^Tt ]*[Tt ]((?s:.*))$"
-    has_clock = text.rlike(clock_of)
-    clock = group(text, clock_of, 1)
-    zulu = clock.rlike(r"[Zz]$")
-    zone = r"^(?s)(.*)([+-])([^+-]*)$"
-    zoned = ~zulu & clock.rlike(zone)
-    offset_digits = F.replace(group(clock, zone, 3), F.lit(":"), F.lit(""))
-    offset_ok = offset_digits.rlike(r"^([0-9]{2}|[0-9]{4})$")
-    off_h = F.substring(offset_digits, 1, 2).try_cast("long")
-    off_m = F.coalesce(F.nullif(F.substring(offset_digits, 3, 2), F.lit("")), F.lit("0")).try_cast("long")
-    sign = F.when(group(clock, zone, 2) == "-", F.lit(-1)).otherwise(F.lit(1))
-    offset = (
-        F.when(~zoned, F.lit(0))
-        .when(offset_ok & off_h.between(0, 23) & off_m.between(0, 59), sign * (off_h * 3600 + off_m * 60))
-        .cast("long")
-    )
-    hand = (
-        F.when(zulu, F.substring(clock, F.lit(1), F.char_length(clock) - 1))
-        .when(zoned, group(clock, zone, 1))
-        .otherwise(clock)
+    hour, minute, second = (field(n, "0").try_cast("int") for n in (3, 4, 5))
+    of_day = F.when((hour <= 23) & (minute <= 59) & (second <= 60), hour * 3600 + minute * 60 + second)
+    zone = F.replace(field(6), F.lit(":"), F.lit(""))
+    digits = F.rpad(F.substring(zone, 2, 4), 4, "0")
+    off_h, off_m = F.substring(digits, 1, 2).try_cast("int"), F.substring(digits, 3, 2).try_cast("int")
+    ahead = F.when((off_h <= 23) & (off_m <= 59), off_h * 3600 + off_m * 60)
+    offset = F.when(zone.isin("", "Z", "z"), F.lit(0)).when(
+        zone.rlike(r"^[+-](?:[0-9]{2}|[0-9]{4})$"), F.when(zone.startswith("-"), -ahead).otherwise(ahead)
     )
-    hms = r"^([0-9]+):([0-9]+)(?::([0-9]+)(?:\.[^:]*)?)?$"
-    hour, minute = number(hand, hms, 1), number(hand, hms, 2)
-    second = F.coalesce(F.nullif(group(hand, hms, 3), F.lit("")), F.lit("0")).try_cast("long")
-    of_day = F.when(
-        hand.rlike(hms) & hour.between(0, 23) & minute.between(0, 59) & second.between(0, 60),
-        hour * 3600 + minute * 60 + second,
-    )
-    calendar = days * 86400 + F.when(has_clock, of_day - offset).otherwise(F.lit(0).cast("long"))
-
-    return (
-        F.when(text == "", F.lit(None).cast("long"))
-        .when(F.lower(text) == "now", now)
-        .when(text.startswith("@"), absolute)
-        .when(text.rlike(ago), relative)
-        .otherwise(calendar)
+    calendar = F.when(text.rlike(calendar_shape), days * 86400 + of_day - offset)
+
+    reading = (
+        F.when(F.lower(text) == "now", F.lit(0))
+        .when(text.startswith("@"), F.lit(1))
+        .when(text.rlike(ago), F.lit(2))
+        .otherwise(F.lit(3))
     )
+    return F.get(F.array(now, absolute, relative, calendar), reading)
 
 
 def is_hex_digest(col: Column | str, algo: str = "sha256") -> Column:

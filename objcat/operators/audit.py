@@ -341,9 +341,14 @@ def admits(
         kept = kept & (F.col("direction") == direction)
     if since is not None or until is not None:
         at = units.parse_time("time", 0)
-        inside = F.lit(True) if since is None else at >= since
-        inside = inside if until is None else inside & (at < until)
-        kept = kept & (at.isNull() | inside)
+        if since is None:
+            inside = at < until
+        elif until is None:
+            inside = at >= since
+        else:
+            # Distance from the middle of the window: the parsed time appears, and is worked out, once.
+            inside = F.abs(at * 2 - (since + until - 1)) <= until - 1 - since
+        kept = kept & F.coalesce(inside, F.lit(True))
     return kept
 
 

@@ -32,19 +32,20 @@ def lsl(inv: DataFrame, root: str = "") -> DataFrame:
 
 
 def _folders(inv: DataFrame, root: str, deepest: int | None) -> DataFrame:
-    """One row per directory that directly matters: its components, objects and bytes.
+    """Objects and bytes per directory that directly holds some, cut at `deepest` components.
 
     Rows are reduced by directory before anything is multiplied by depth, so a directory with most of the
     objects is combined where it is read, and the roll-up above it handles few rows.
     """
-    parts = paths.components(paths.parent(paths.relative_to(root, "path")))
+    above = paths.parent(paths.relative_to(root, "path"))
+    odd = above.startswith("/") | above.contains("//")
+    folder = F.when(odd, F.array_join(paths.components(above), "/")).otherwise(above)
     if deepest is not None:
-        parts = F.slice(parts, 1, deepest) if deepest > 0 else F.array().cast("array<string>")
+        folder = F.substring_index(folder, "/", deepest) if deepest > 0 else F.lit("")
     return (
-        inv.select(parts.alias("parts"), "size")
-        .groupBy(F.array_join("parts", "/").alias("folder"))
+        inv.select(folder.alias("folder"), "size")
+        .groupBy("folder")
         .agg(
-            F.first("parts").alias("parts"),
             F.count(F.lit(1)).alias("objects"),
             F.count("size").alias("measured"),
             F.sum("size").alias("bytes"),
@@ -54,11 +55,8 @@ def _folders(inv: DataFrame, root: str, deepest: int | None) -> DataFrame:
 
 def _up(folders: DataFrame, columns: list) -> DataFrame:
     """Every directory at or above each folder (not the root), with the folder's figures."""
-    levels = F.when(
-        F.size("parts") > 0,
-        F.transform(F.sequence(F.lit(1), F.size("parts")), lambda n: F.array_join(F.slice("parts", F.lit(1), n), "/")),
-    )
-    return folders.select(F.explode(levels).alias("dir"), *columns)
+    levels = F.concat(paths.directories("folder"), F.array("folder"))
+    return folders.filter(F.col("folder") != "").select(F.explode(levels).alias("dir"), *columns)
 
 
 def _subtree_bytes():

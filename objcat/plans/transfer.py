@@ -11,6 +11,7 @@ from objcat.errors import Refused
 from objcat.operators.ordered import first_over_limit
 from objcat.plans.compare import DEFAULT_WINDOW, side
 from objcat.schema import count_where
+from objcat.session import staged
 
 COPY, UPDATE, DELETE, SKIP, MKDIR = "copy", "update", "delete", "skip", "mkdir"
 TRANSFERS = (COPY, UPDATE)
@@ -96,7 +97,7 @@ def _empty_dir(policy: Policy) -> Column:
     return F.when(there, _verdict(SKIP, IDENTICAL)).otherwise(_verdict(SKIP, MISSING))
 
 
-def _plan_rows(joined: DataFrame, verdict: Column) -> DataFrame:
+def _plan_rows(joined: DataFrame, verdict: Column, *kept: str) -> DataFrame:
     """Rows of a plan. A row that is only at the destination is a deletion of a file."""
     from_src = F.col("s_path").isNotNull()
     is_dir = F.col("s_kind") == "dir"
@@ -110,6 +111,7 @@ def _plan_rows(joined: DataFrame, verdict: Column) -> DataFrame:
         .alias("size"),
         F.col("_v.reason").alias("reason"),
         F.when(~is_dir, F.col("s_mtime")).alias("mtime"),
+        *kept,
     )
 
 
@@ -161,22 +163,31 @@ def copyto_plan(src: DataFrame, dst: DataFrame, source: str, name: str, policy:
 
 
 def move_plan(src: DataFrame, dst: DataFrame, outcomes: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """`copy_plan` plus the removal of each source whose transfer succeeded (outcomes: path, result)."""
-    plan = copy_plan(src, dst, policy)
-    landed = outcomes.filter(F.col("result") == "success").select(F.col("path").alias("source")).distinct()
-    removals = (
-        plan.filter(F.col("action").isin(*TRANSFERS))
-        .join(landed, "source", "left_semi")
-        .select(
-            F.lit(DELETE).alias("action"),
-            "source",
-            F.lit("").alias("dest"),
-            "size",
-            F.lit(MOVED).alias("reason"),
-            F.lit(None).cast("long").alias("mtime"),
-        )
+    """`copy_plan` plus the removal of each source whose transfer succeeded (outcomes: path, result).
+
+    The outcomes are joined on the key the two inventories are already spread by, and a landed row yields
+    its transfer and its removal side by side: the plan is worked out once.
+    """
+    left = side(src, "s_", policy.fields())
+    landed = outcomes.filter(F.col("result") == "success").select(F.col("path").alias("_landed")).distinct()
+    joined = left.join(landed, left["s_path"] == landed["_landed"], "left")
+    if policy.traverse:
+        right = side(dst, "d_", policy.fields())
+        plan = _plan_rows(joined.join(right, left["s_path"] == right["d_path"], "left"), _row_verdict(policy), "_landed")
+    else:
+        plan = untraversed_plan(src).join(landed, F.col("source") == F.col("_landed"), "left")
+    names = [c for c in plan.columns if c != "_landed"]
+    row = F.struct(*names)
+    removal = F.struct(
+        F.lit(DELETE).alias("action"),
+        "source",
+        F.lit("").alias("dest"),
+        "size",
+        F.lit(MOVED).alias("reason"),
+        F.lit(None).cast("long").alias("mtime"),
     )
-    return plan.unionByName(removals)
+    gone = F.col("_landed").isNotNull() & F.col("action").isin(*TRANSFERS)
+    return plan.select(F.explode(F.when(gone, F.array(row, removal)).otherwise(F.array(row))).alias("r")).select("r.*")
 
 
 def order_plan(plan: DataFrame, mode: str = "during") -> DataFrame:
@@ -258,9 +269,11 @@ def apply_budget(plan: DataFrame, max_bytes: int) -> DataFrame:
     """Transfers that start before the byte budget is used up, in path order; other rows stay.
 
     The first transfer that would pass the budget stops the run, so nothing after it starts, however small.
-    Zero-byte and unmeasured transfers are charged nothing.
+    Zero-byte and unmeasured transfers are charged nothing. Names and sizes of what is charged are written
+    once, so the joins behind the plan are not run again for every step of the search.
     """
     moving = F.col("action").isin(*TRANSFERS)
-    charged = plan.filter(moving & (F.col("size") > 0)).select("dest", "size")
-    cut = first_over_limit(charged, "dest", "size", max_bytes)
+    charged = staged(plan.filter(moving & (F.col("size") > 0)).select("dest", "size"), "budget")
+    total = charged.agg(F.sum("size").alias("total")).first()["total"] or 0
+    cut = first_over_limit(charged, "dest", "size", max_bytes) if total > max_bytes else None
     return plan if cut is None else plan.filter(~moving | (F.col("dest") < cut))

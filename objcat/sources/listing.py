@@ -2,35 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from objcat.errors import Refused
 from objcat.functions import paths
 from objcat.schema import CATALOG, catalog_inventory, count_where
+from objcat.session import staged
 
 COMMENTS = ("#", ";")
 
 
-def _qualified(spark: SparkSession, location: str) -> str:
-    """The location as Spark spells the paths below it."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(location)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString().rstrip("/")
+FOUND = "path string, size long, mtime long, is_dir boolean"
 
 
 def scan_objects(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """Every object below a folder with its size and time; bodies are not read.
+    """Every object below a folder or store prefix with its size and time; bodies are not read.
 
-    Names that start with `.` or `_` are hidden from Spark's file index, so they are not listed; a store
-    that uses such names is better read from its own inventory report through `as_inventory`.
+    The tree is listed level by level: the directories of one level are a table whose rows are spread over
+    the cluster, each task lists the directories it holds, and what they contain is written out and gives
+    the next level. Nothing is gathered on the driver, and unlike Spark's own file index this sees empty
+    objects and names that start with `.` or `_`. Links are not followed; special files are no objects.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    base = _qualified(spark, root) + "/"
-    relative = F.substring(F.col("path"), F.lit(len(base) + 1), F.char_length("path"))
-    return listed.select(
-        paths.nfc(relative).alias("path"),
-        F.col("length").alias("size"),
-        F.unix_seconds("modificationTime").alias("mtime"),
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        if "://" in root:
+            store, base = fs.FileSystem.from_uri(root)
+        else:
+            store, base = fs.LocalFileSystem(), os.path.abspath(root)
+        local = isinstance(store, fs.LocalFileSystem)
+        names = ["path", "size", "mtime", "is_dir"]
+        for batch in batches:
+            for directory in batch.column(0).to_pylist():
+                place = f"{base.rstrip('/')}/{directory}".rstrip("/")
+                rows: list[tuple] = []
+                for info in store.get_file_info(fs.FileSelector(place)):
+                    if local and os.path.islink(info.path):
+                        continue
+                    is_dir = info.type == fs.FileType.Directory
+                    if not is_dir and info.type != fs.FileType.File:
+                        continue
+                    name = f"{directory}/{info.base_name}" if directory else info.base_name
+                    seconds = None if info.mtime_ns is None else info.mtime_ns // 10**9
+                    rows.append((name, None if is_dir else info.size, seconds, is_dir))
+                for start in range(0, len(rows), 10_000):
+                    columns = zip(*rows[start : start + 10_000])
+                    kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    level = spark.createDataFrame([("",)], "path string")
+    found: DataFrame | None = None
+    while True:
+        listed = staged(level.mapInArrow(contents, FOUND), "listing")
+        found = listed if found is None else found.unionByName(listed)
+        below = listed.filter("is_dir").select("path")
+        if not recursive or below.isEmpty():
+            break
+        level = below.repartition("path")
+    return found.filter(~F.col("is_dir")).select(
+        paths.nfc("path").alias("path"),
+        "size",
+        "mtime",
         F.lit(None).cast("string").alias("hash"),
         F.lit(False).alias("object_missing"),
     )

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,6 +55,12 @@ EXEMPT_OPS = (
     "config ls lsd lsl lsjson tree size mkdir verify check scrub hashsum audit about home version completion"
 ).split()
 
+# Places of a chain that one window group looks at.
+RUN = 4096
+
+# Largest per-chain limit for which Spark cuts every partition to the limit before it shuffles.
+SMALL_LIMIT = 1000
+
 _TEXT = ("time", "op", "result", "direction", "path", "plaintext_hash", "ciphertext_hash", "remote")
 _NUMBERS = ("size", "bytes", "objects")
 
@@ -154,9 +160,9 @@ def positioned(log: DataFrame, chain: str, pos: str, dense: bool, group_rows: in
 def verify_chain(log: DataFrame, chain: str = "chain", pos: str = "pos", dense: bool = True) -> DataFrame:
     """One row per chain: intact with its head, or broken with the first break.
 
-    Every record is tested by itself before anything moves, which leaves a few short columns; each is then
-    joined to the record before it by (chain, place). Both columns are in the key, so a chain with most
-    of the records is spread like any other. `pos` numbers the records of a chain from 0; with
+    Every record is tested by itself before anything moves, which leaves a few short columns. To meet the
+    record before it, a chain is cut into runs of places that overlap by one record: one shuffle, in which a
+    chain with most of the records is spread like many short ones. `pos` numbers the records of a chain from 0; with
     `dense=False` it only orders them and is numbered here. A line that is no record (column `corrupt`)
     breaks its chain wherever it stands.
     """
@@ -177,11 +183,14 @@ def verify_chain(log: DataFrame, chain: str = "chain", pos: str = "pos", dense:
         _is_chain_hash(F.col("hash")).alias("hash_ok"),
         F.sha2(canonical(log.columns), 256).alias("computed"),
     )
-    before = own.select(
-        F.col("chain").alias("_chain"), (F.col("_pos") + 1).alias("_next"), F.col("hash").alias("_linked")
-    )
-    linked = own.join(
-        before, own["chain"].eqNullSafe(before["_chain"]) & (own["_pos"] == before["_next"]), "left"
+    # A record goes to the run of places it belongs to, and the last of a run also to the next run.
+    run = F.call_function("div", F.col("_pos"), F.lit(RUN).cast("long"))
+    runs = F.when(F.col("_pos") % RUN == RUN - 1, F.array(run, run + 1)).otherwise(F.array(run))
+    inside = Window.partitionBy("chain", "_run").orderBy("_pos")
+    linked = (
+        own.withColumn("_run", F.explode(runs))
+        .withColumn("_linked", F.lag("hash").over(inside))
+        .filter(F.col("_run") == run)
     )
     expected_link = F.when(F.col("_pos") == 0, F.lit(GENESIS)).otherwise(F.coalesce("_linked", F.lit("")))
 
@@ -355,7 +364,10 @@ def admits(
 def audit_list(log: DataFrame, limit: int = 0, chain: str = "chain", pos: str = "pos", **window) -> DataFrame:
     """Records that match, in order; with `limit` the last ones of each chain (0: all)."""
     shown = log.filter(admits(**window))
-    if limit:
+    if 0 < limit < SMALL_LIMIT:
+        last = F.row_number().over(Window.partitionBy(chain).orderBy(F.desc(pos)))
+        shown = shown.withColumn("_rank", last).filter(F.col("_rank") <= limit).drop("_rank")
+    elif limit:
         back = with_position(shown.withColumn("_back", -F.col(pos)), [chain], ["_back"], "_rank")
         shown = back.filter(F.col("_rank") <= limit).drop("_back", "_rank")
     return shown.orderBy(chain, pos)

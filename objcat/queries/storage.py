@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from objcat.operators import audit
+from objcat.operators.listing import children
 from objcat.plans import compare, transfer
 from objcat.queries.fixtures import Registry, derived
 from objcat.queries.integrity import SEALED, _sealed
@@ -27,9 +28,9 @@ R.add_run(
     "audit_log_source",
     "A5",
     lambda spark, sf: records.read_audit_export(spark, _written_log(spark, sf)).select(
-        F.col("chain").cast("long").alias("chain"), "pos", "line", "corrupt", "index", "op", "direction", "bytes", "prev", "hash"
+        F.col("chain").cast("long").alias("chain"), "pos", "corrupt", "index", "op", "direction", "bytes", "prev", "hash"
     ),
-    f"""WITH RECURSIVE {SEALED} SELECT e.chain, e.pos, e.pos + 1 AS line, CAST(NULL AS VARCHAR) AS corrupt, e.pos AS index, op, direction, bytes, prev, hash
+    f"""WITH RECURSIVE {SEALED} SELECT e.chain, e.pos, CAST(NULL AS VARCHAR) AS corrupt, e.pos AS index, op, direction, bytes, prev, hash
       FROM e JOIN seal AS s ON e.chain = s.chain AND e.pos = s.pos""",
 )
 R.add_run(
@@ -83,6 +84,24 @@ R.add_run(
 )
 
 
+def _stored_catalog(spark, sf: str):
+    place = scratch_folder(spark, "catalog")
+    sinks.write_catalog(derived(spark, sf, "catalog"), place)
+    catalog = listing.read_catalog(spark, place)
+    busiest = catalog.groupBy("parent").count().orderBy(F.desc("count"), "parent").first()["parent"]
+    return children(catalog, busiest).select("path", "size")
+
+
+R.add_run(
+    "children_of_stored_catalog",
+    "E8",
+    _stored_catalog,
+    """WITH c AS (SELECT *, regexp_extract(path, '^(.*)/', 1) AS parent FROM {catalog}),
+      b AS (SELECT parent FROM c GROUP BY parent ORDER BY count(*) DESC, parent LIMIT 1)
+      SELECT path, CASE WHEN size = 0 AND hash = '' THEN NULL ELSE size END AS size FROM c WHERE parent = (SELECT parent FROM b)""",
+)
+
+
 def _plan_documents(spark, sf: str):
     place = scratch_folder(spark, "plan")
     plan = transfer.sync_plan(derived(spark, sf, "inv_src"), derived(spark, sf, "inv_dst"))

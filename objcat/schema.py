@@ -99,7 +99,7 @@ def as_inventory(
     )
 
 
-def catalog_inventory(catalog: DataFrame) -> DataFrame:
+def catalog_inventory(catalog: DataFrame, *kept: str) -> DataFrame:
     """A catalog as inventory rows: an unmeasured row shows a NULL size, and an empty digest is no digest."""
     return catalog.select(
         "path",
@@ -108,4 +108,5 @@ def catalog_inventory(catalog: DataFrame) -> DataFrame:
         "mtime",
         F.when(F.length("hash") > 0, F.col("hash")).alias("hash"),
         F.lit(False).alias("object_missing"),
+        *kept,
     )

@@ -77,9 +77,15 @@ def scan_objects(spark: SparkSession, root: str, recursive: bool = True) -> Data
 
 
 def read_catalog(spark: SparkSession, location: str) -> DataFrame:
-    """A recorded inventory; a row nobody measured shows a NULL size. `location` is a folder or a table name."""
+    """A recorded inventory; a row nobody measured shows a NULL size. `location` is a folder or a table name.
+
+    A stored `parent` column is kept: one directory's rows are then found by the statistics of the files.
+    """
     table = spark.read.parquet(location) if "/" in location else spark.table(location)
-    return catalog_inventory(table.select(*[F.col(f.name).cast(f.dataType) for f in CATALOG.fields]))
+    kept = [F.col(f.name).cast(f.dataType) for f in CATALOG.fields]
+    if "parent" not in table.columns:
+        return catalog_inventory(table.select(*kept))
+    return catalog_inventory(table.select(*kept, "parent"), "parent")
 
 
 def rebuild_catalog(name_records: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -15,7 +15,7 @@ HASH_NAME = "sha256"
 
 
 def parse_audit(lines: DataFrame) -> DataFrame:
-    """Records of audit log lines (file, line, pos, value); each file is a chain, blank lines are left out.
+    """Records of audit log lines (chain, line, pos, value); blank lines are left out.
 
     A line that is not a record keeps its place and is handed on in `corrupt`: it breaks the chain, it is
     not skipped. Absent optional fields are empty or 0.
@@ -34,48 +34,47 @@ def parse_audit(lines: DataFrame) -> DataFrame:
         elif f.name not in ("v", *REQUIRED):
             value = F.coalesce(value, F.lit(""))
         fields.append(value.alias(f.name))
-    return parsed.select(
-        F.col("file").alias("chain"), "pos", "line", F.when(missing, F.col("value")).alias("corrupt"), *fields
-    )
+    return parsed.select("chain", "pos", "line", F.when(missing, F.col("value")).alias("corrupt"), *fields)
 
 
 def read_audit(spark: SparkSession, location: str) -> DataFrame:
     """Audit records of JSON-lines logs; each file is a chain."""
-    return parse_audit(numbered_lines(spark, location))
+    return parse_audit(numbered_lines(spark, location).withColumnRenamed("file", "chain"))
 
 
 def write_audit(log: DataFrame, location: str, chain: str = "chain", order: str = "pos") -> None:
-    """Write whole chains in order as JSON lines, broken or not, one folder per chain.
+    """Write whole chains in order as JSON lines, broken or not; each line names its chain.
 
-    Rows are range-partitioned, so a long chain becomes several part files whose names follow its order.
+    Rows are range-partitioned by chain and place: part files follow the order, a long chain runs over
+    several of them, and many short chains share one.
     """
     names = [f.name for f in AUDIT.fields]
-    columns = [F.col(n) for n in names if n in log.columns]
+    columns = [F.col(chain).cast("string").alias("chain"), *[F.col(n) for n in names if n in log.columns]]
     ordered = log.repartitionByRange(F.col(chain), F.col(order)).sortWithinPartitions(chain, order)
-    ordered.select(F.col(chain).alias("chain"), F.to_json(F.struct(*columns)).alias("value")).write.partitionBy(
-        "chain"
-    ).text(location)
+    ordered.select(F.to_json(F.struct(*columns)).alias("value")).write.text(location)
 
 
 def read_audit_export(spark: SparkSession, location: str) -> DataFrame:
-    """What `write_audit` wrote: one chain per folder, part files in the order of their names."""
+    """What `write_audit` wrote. A record's place is its line in all the part files together, counted from
+    the first line of its chain, so a line that was moved, dropped or slipped in shows."""
     lines = numbered_lines(spark, location)
-    folder = F.regexp_extract("file", r"chain=([^/]*)/[^/]*$", 1)
     counts = lines.groupBy("file").agg(F.max("line").alias("_lines"), (F.max("pos") + 1).alias("_full"))
-    earlier = Window.partitionBy("_chain").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_chain", folder).select(
+    # One row per part file.
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(
         "file",
-        "_chain",
         F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_lines_before"),
         F.coalesce(F.sum("_full").over(earlier), F.lit(0)).alias("_full_before"),
     )
+    chain = F.coalesce(F.get_json_object("value", "$.chain"), F.lit(""))
     whole = lines.join(starts, "file").select(
-        F.col("_chain").alias("file"),
+        chain.alias("chain"),
         (F.col("line") + F.col("_lines_before")).alias("line"),
         (F.col("pos") + F.col("_full_before")).alias("pos"),
         "value",
     )
-    return parse_audit(whole)
+    firsts = whole.groupBy("chain").agg(F.min("pos").alias("_first"))
+    return parse_audit(whole.join(firsts, "chain").withColumn("pos", F.col("pos") - F.col("_first")))
 
 
 def lsjson(inv: DataFrame, root: str = "", algo: str = HASH_NAME) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from objcat.errors import Refused
+from objcat.functions.paths import parent
 from objcat.plans.compare import DIFFER, MATCH, MISSING_ON_DST, MISSING_ON_SRC, combined_marks
 from objcat.plans.transfer import plan_summary
 
@@ -40,6 +41,22 @@ def write_plan(plan: DataFrame, location: str, result: DataFrame | None = None)
         result.write.json(f"{location}/result", ignoreNullFields=False)
 
 
+def write_catalog(catalog: DataFrame, location: str, mode: str = "errorifexists") -> None:
+    """Store a catalog sorted by directory, with the directory as a column.
+
+    Rows are range-partitioned by (parent, path): listing one directory reads the few row groups that hold
+    it, and a directory with most of the rows is spread over many files.
+    """
+    placed = catalog.withColumn("parent", parent("path"))
+    placed.repartitionByRange("parent", "path").sortWithinPartitions("parent", "path").write.mode(mode).parquet(location)
+
+
+def save_inventory(inv: DataFrame, table: str, buckets: int, mode: str = "errorifexists") -> None:
+    """Store an inventory bucketed and sorted by path: comparing two such tables moves no rows."""
+    spread = inv.repartition(buckets, "path")
+    spread.write.mode(mode).bucketBy(buckets, "path").sortBy("path").saveAsTable(table)
+
+
 @dataclass(frozen=True)
 class Receipt:
     """What a verified write stored, and the figures that were read back."""

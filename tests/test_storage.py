@@ -3,6 +3,7 @@ import json
 import pytest
 
 from objcat.errors import Refused
+from objcat.operators.listing import children
 from objcat.plans import compare, transfer
 from objcat.sources import listing, records, sinks
 
@@ -113,3 +114,33 @@ def test_verified_write(spark, inventory, tmp_path, monkeypatch):
     table.write.mode("append").parquet(live.rsplit("/", 1)[0])
     with pytest.raises(Refused, match="no longer holds"):
         sinks.read_verified(spark, place, check=True)
+
+
+def plan_text(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_directory_is_found_by_statistics(spark, tmp_path):
+    rows = [(f"d{i % 50}/f{i}", f"k{i}", i + 1, 1, "h") for i in range(2000)]
+    catalog = spark.createDataFrame(rows, "path string, object_key string, size long, mtime long, hash string")
+    sinks.write_catalog(catalog, str(tmp_path / "c"))
+    found = children(listing.read_catalog(spark, str(tmp_path / "c")), "d7").select("path", "size")
+    assert found.count() == 40 and "EqualTo(parent,d7)" in plan_text(found)
+    assert "ReadSchema: struct<path:string,size:bigint,hash:string,parent:string>" in plan_text(found)
+
+
+def test_bucketed_inventories_are_compared_in_place(spark, inventory, tmp_path):
+    inv = inventory(*[(f"d{i % 9}/f{i}", i, i) for i in range(500)])
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS kept LOCATION '{tmp_path}/kept'")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("kept.src", "kept.dst"):
+            sinks.save_inventory(inv, name, 4)
+        result = compare.check(spark.table("kept.src"), spark.table("kept.dst"))
+        assert "Exchange" not in plan_text(result)
+        assert {r["status"] for r in result.collect()} == {"match"}
+        assert "Exchange" not in plan_text(transfer.sync_plan(spark.table("kept.src"), spark.table("kept.dst")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP DATABASE kept CASCADE")

@@ -113,16 +113,16 @@ def fail_fast(v: DataFrame) -> DataFrame:
 def error_budget(v: DataFrame, max_errors: int) -> DataFrame:
     """Rows up to and including the `max_errors`-th failure in path order; 0 means no limit.
 
-    The path of that failure is a top-k of the failures alone: no running count over the whole table.
+    The path of that failure is a top-k of the failures alone: no running count over the whole table. It is
+    fetched, one value, so that the rows are then cut by a plain comparison that can reach their source.
     """
     if max_errors < 0:
         raise Refused("max_errors must not be negative")
     if max_errors == 0:
         return v
     failed = v.filter(is_failure()).select("path").orderBy("path").limit(max_errors)
-    cut = failed.agg(F.count(F.lit(1)).alias("_n"), F.max("path").alias("_cut"))
-    # `cut` is one row.
-    return v.join(F.broadcast(cut), (cut["_n"] < max_errors) | (v["path"] <= cut["_cut"])).select(*v.columns)
+    cut = failed.agg(F.count(F.lit(1)).alias("found"), F.max("path").alias("path")).first()
+    return v if cut["found"] < max_errors else v.filter(F.col("path") <= cut["path"])
 
 
 def scrub_bucket(path: Column | str, seed: int) -> Column:

@@ -9,7 +9,7 @@ from objcat.errors import Refused
 from objcat.functions import paths, units
 from objcat.operators.filters import FilterSet
 from objcat.operators.ordered import GROUP_ROWS, with_position
-from objcat.schema import count_where, measured_total, total_or_null, unmeasured, unmeasured_count
+from objcat.schema import beside, count_where, measured_total, total_or_null, unmeasured, unmeasured_count
 
 # Rows shown by name in a report before the rest is only counted.
 LINK_SAMPLE = 64
@@ -55,8 +55,8 @@ def _folders(inv: DataFrame, root: str, deepest: int | None) -> DataFrame:
 
 def _up(folders: DataFrame, columns: list) -> DataFrame:
     """Every directory at or above each folder (not the root), with the folder's figures."""
-    levels = F.concat(paths.directories("folder"), F.array("folder"))
-    return folders.filter(F.col("folder") != "").select(F.explode(levels).alias("dir"), *columns)
+    levels = F.array_remove(F.concat(paths.directories("folder"), F.array("folder")), "")
+    return folders.select(F.explode(levels).alias("dir"), *columns)
 
 
 def _subtree_bytes():
@@ -206,8 +206,7 @@ def _noted(observed: DataFrame, totals: list, label: str, sample: int) -> DataFr
     counts = observed.agg(*totals, F.count(F.lit(1)).alias("_all"))
     first = observed.orderBy("path", label).limit(sample)
     notes = first.agg(F.array_sort(F.collect_list(F.struct("path", label))).alias("notes"))
-    # Both sides are one row by construction.
-    return counts.join(F.broadcast(notes)).select(
+    return beside(counts, notes).select(
         *[c for c in counts.columns if c != "_all"], (F.col("_all") - F.size("notes")).alias("unnamed"), "notes"
     )
 

@@ -76,8 +76,9 @@ def type_conflicts(inv: DataFrame) -> DataFrame:
     Only distinct directories are tested against the files, and only paths below a conflicting one are
     expanded: far fewer rows than every path times its depth.
     """
-    folders = inv.select(paths.parent("path").alias("folder")).filter(F.col("folder") != "").distinct()
-    above = folders.select("folder", F.explode(F.concat(paths.directories("folder"), F.array("folder"))).alias("ancestor"))
+    folders = inv.select(paths.parent("path").alias("folder")).distinct()
+    levels = F.array_remove(F.concat(paths.directories("folder"), F.array("folder")), "")
+    above = folders.select("folder", F.explode(levels).alias("ancestor"))
     files = inv.select(F.col("path").alias("ancestor")).distinct()
     bad = above.join(files, "ancestor", "left_semi")
     listed = inv.select("path", paths.parent("path").alias("folder"))

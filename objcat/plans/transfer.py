@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from objcat.errors import Refused
 from objcat.operators.ordered import first_over_limit
 from objcat.plans.compare import DEFAULT_WINDOW, side
-from objcat.schema import count_where
+from objcat.schema import beside, count_where
 from objcat.session import staged
 
 COPY, UPDATE, DELETE, SKIP, MKDIR = "copy", "update", "delete", "skip", "mkdir"
@@ -223,8 +223,7 @@ def immutable_violations(plan: DataFrame, quoted: int = QUOTED) -> DataFrame:
     first = refused.orderBy("dest").limit(quoted)
     sample = first.agg(F.array_sort(F.collect_list(F.struct("dest", "action"))).alias("rows"))
     names = F.transform("rows", lambda r: F.concat_ws(" ", r["action"], r["dest"]))
-    # One row on each side.
-    return total.join(F.broadcast(sample)).select(
+    return beside(total, sample).select(
         "refused", F.array_join(names, ", ").alias("quoted"), (F.col("refused") - F.size("rows")).alias("more")
     )
 
@@ -261,8 +260,7 @@ def mass_deletion(plan: DataFrame, dst: DataFrame, share: float = ALARM_SHARE) -
     there = files.agg(F.count(F.lit(1)).alias("destination_files"))
     gone = plan.agg(count_where(F.col("action") == DELETE).alias("deletions"))
     alarm = (F.col("deletions") > 0) & (F.col("deletions") >= F.col("destination_files") * share)
-    # One row on each side.
-    return gone.join(F.broadcast(there)).withColumn("alarm", alarm & (F.col("destination_files") > 0))
+    return beside(gone, there).withColumn("alarm", alarm & (F.col("destination_files") > 0))
 
 
 def apply_budget(plan: DataFrame, max_bytes: int) -> DataFrame:

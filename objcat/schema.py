@@ -110,3 +110,9 @@ def catalog_inventory(catalog: DataFrame, *kept: str) -> DataFrame:
         F.lit(False).alias("object_missing"),
         *kept,
     )
+
+
+def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The columns of two one-row frames in one row, without a join."""
+    stacked = left.unionByName(right, allowMissingColumns=True)
+    return stacked.agg(*[F.max(name).alias(name) for name in stacked.columns])

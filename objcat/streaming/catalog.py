@@ -32,10 +32,15 @@ def catalog_deltas(changes: DataFrame) -> DataFrame:
     """What each path's latest change adds to or takes from the totals, as a stream of differences.
 
     State is one short row per path, so a batch costs what it holds, not what the catalog holds. A change
-    older than the one already applied is ignored, so late and repeated changes do no harm. The rows of one
-    path are walked batch by batch: a path that changes all the time needs no more memory than another.
+    older than the one already applied is ignored, so late and repeated changes do no harm. Only the latest
+    change of a path counts, so each piece of a batch is cut to that before the shuffle, and the rest is
+    walked piece by piece: a path that changes all the time costs no more than another.
     """
 
+    def latest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.sort_values("seq").drop_duplicates("path", keep="last")
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         was = tuple(state.get) if state.exists else (None, False, 0, 0)
         now = was
@@ -48,7 +53,7 @@ def catalog_deltas(changes: DataFrame) -> DataFrame:
                 now = (int(row["seq"]), False, 0, 0)
                 continue
             size = 0 if pd.isna(row["size"]) else int(row["size"])
-            blank = pd.isna(row["size"]) or (size == 0 and not row["hash"])
+            blank = pd.isna(row["size"]) or (size == 0 and (pd.isna(row["hash"]) or row["hash"] == ""))
             now = (int(row["seq"]), True, 0 if blank else size, int(blank))
         if now != was:
             state.update(now)
@@ -56,7 +61,8 @@ def catalog_deltas(changes: DataFrame) -> DataFrame:
         if any(change):
             yield pd.DataFrame([(key[0], *change)], columns=["path", "d_objects", "d_bytes", "d_unmeasured"])
 
-    return changes.groupBy("path").applyInPandasWithState(
+    feed = changes.select(*[F.col(f.name).cast(f.dataType) for f in CHANGES.fields])
+    return feed.mapInPandas(latest, CHANGES).groupBy("path").applyInPandasWithState(
         step, _DELTA, _STATE, "append", GroupStateTimeout.NoTimeout
     )
 

@@ -106,7 +106,7 @@ DERIVED = {
         UNION ALL SELECT DISTINCT concat(source, '/', lang) FROM {documents}""",
     # Unsealed audit entries, one chain per user.
     "aud": """
-        SELECT user_id AS chain, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos,
+        SELECT user_id AS chain, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS pos,
           concat('2024-01-', CASE WHEN event_id % 28 < 9 THEN '0' ELSE '' END, CAST(event_id % 28 + 1 AS STRING),
             CASE WHEN event_id % 9 = 0 THEN ' noon' ELSE 'T10:00:00Z' END) AS time,
           CASE event_type WHEN 'view' THEN 'cat' WHEN 'purchase' THEN 'copy' WHEN 'signup' THEN 'sync'

@@ -78,7 +78,7 @@ R.add(
     f"""WITH v AS ({VERIFY_SQL}), p AS (SELECT *, {BUCKET} < 40 AS seen FROM v), j AS (SELECT p.*, c.size AS recorded FROM p JOIN {{recorded}} AS c ON c.path = p.path)
       SELECT count(*) FILTER (seen) AS scanned, count(*) FILTER (NOT seen) AS skipped, count(*) FILTER (seen AND status = 'ok') AS healthy,
         count(*) FILTER (seen AND status <> 'ok') AS damaged, count(*) FILTER (seen AND status = 'unreadable') AS repaired,
-        sum(recorded) FILTER (seen)::BIGINT AS bytes, sum(recorded) FILTER (seen)::BIGINT AS measured_bytes, 0 AS unmeasured, 'damaged' AS health FROM j""",
+        sum(recorded) FILTER (seen)::BIGINT AS bytes, sum(recorded) FILTER (seen)::BIGINT AS measured_bytes, CAST(0 AS BIGINT) AS unmeasured, 'damaged' AS health FROM j""",
 )
 R.add(
     "scrub_error_budget",
@@ -215,7 +215,7 @@ R.add(
     """SELECT count(*) FILTER (action IN ('copy', 'update') AND result = 'success') AS files,
       sum(bytes) FILTER (action IN ('copy', 'update') AND result = 'success')::BIGINT AS bytes, count(*) FILTER (action = 'delete' AND result = 'success') AS deleted,
       count(*) FILTER (action = 'skip') AS skipped, count(*) FILTER (result <> 'success') AS errors, count(*) FILTER (result = 'checksum_mismatch') AS checksum_mismatches,
-      0 AS retries, sum(bytes) FILTER (action IN ('copy', 'update') AND result = 'success')::DOUBLE / sum(size) FILTER (action IN ('copy', 'update'))::DOUBLE * 100.0 AS percent,
+      CAST(0 AS BIGINT) AS retries, sum(bytes) FILTER (action IN ('copy', 'update') AND result = 'success')::DOUBLE / sum(size) FILTER (action IN ('copy', 'update'))::DOUBLE * 100.0 AS percent,
       sum(bytes) FILTER (action IN ('copy', 'update') AND result = 'success')::DOUBLE / (sum(elapsed_ms)::DOUBLE / 1000.0) AS average_rate FROM {outcomes}""",
 )
 
@@ -313,7 +313,7 @@ R.add(
     lambda a: (lambda s: audit.compare_anchor(s, _anchors(s)))(_sealed(a)),
     f"""WITH RECURSIVE {SEALED}, n AS (SELECT chain, count(*) AS n, arg_max(prev, pos) AS before FROM seal GROUP BY chain)
       SELECT chain, {ANCHORED} AS comparison, n AS records, CASE WHEN chain % 6 IN (0, 3, 4) THEN n - 1 WHEN chain % 6 = 2 THEN n + 3 END AS anchored_records,
-        CASE WHEN chain % 6 IN (0, 4) THEN 1 END AS appended, CASE WHEN chain % 6 = 2 THEN 3 END AS missing, CASE WHEN chain % 6 = 3 THEN before END AS found FROM n""",
+        CAST(CASE WHEN chain % 6 IN (0, 4) THEN 1 END AS BIGINT) AS appended, CAST(CASE WHEN chain % 6 = 2 THEN 3 END AS BIGINT) AS missing, CASE WHEN chain % 6 = 3 THEN before END AS found FROM n""",
 )
 SINCE, UNTIL = 1704499200, 1706140800  # 2024-01-06 and 2024-01-25
 LISTED = f"""SELECT chain, pos, op, path FROM {{aud}} WHERE direction = 'out' AND starts_with(path, 'data/')

@@ -190,7 +190,7 @@ R.add(
     .select("action", "dest", "size", "reason"),
     """WITH s AS (SELECT DISTINCT regexp_extract(CASE WHEN doc_id % 2 = 0 THEN 'new/' ELSE '' END || path, '^(.*)/', 1) AS p FROM {inv_src}),
       d AS (SELECT DISTINCT regexp_extract(path, '^(.*)/', 1) AS p FROM {inv_dst})
-      SELECT CASE WHEN p IN (SELECT p FROM d) THEN 'skip' ELSE 'mkdir' END AS action, p AS dest, 0 AS size,
+      SELECT CASE WHEN p IN (SELECT p FROM d) THEN 'skip' ELSE 'mkdir' END AS action, p AS dest, CAST(0 AS BIGINT) AS size,
         CASE WHEN p IN (SELECT p FROM d) THEN 'identical' ELSE 'empty-source-dir' END AS reason FROM s""",
 )
 R.add(
@@ -219,8 +219,8 @@ R.add(
     "empty_source_guard",
     "F16",
     BOTH,
-    lambda s, d: transfer.empty_source(transfer.sync_plan(s.limit(0), d)),
-    "SELECT 0 AS from_source, count(*) AS deletions, count(*) > 0 AS refused FROM {inv_dst}",
+    lambda s, d: transfer.empty_source(transfer.sync_plan(s.filter("path IS NULL"), d)),
+    "SELECT CAST(0 AS BIGINT) AS from_source, count(*) AS deletions, count(*) > 0 AS refused FROM {inv_dst}",
 )
 R.add(
     "mass_deletion_alarm",
@@ -263,7 +263,7 @@ R.add(
     ["catalog", "catalog_new"],
     lambda c, n: replicate.replicate_summary(*_mirror(c, n)),
     f"""WITH {STORE}, p AS (SELECT {REPLICA.replace('{there}', 'skip')} AS v, a.size FROM a LEFT JOIN b ON a.object_key = b.object_key)
-      SELECT count(*) AS objects, count(*) FILTER (v LIKE 'replicate%') AS replicated, 0 AS reverified, count(*) FILTER (v LIKE 'skip%') AS skipped,
+      SELECT count(*) AS objects, count(*) FILTER (v LIKE 'replicate%') AS replicated, CAST(0 AS BIGINT) AS reverified, count(*) FILTER (v LIKE 'skip%') AS skipped,
         sum(size) FILTER (v LIKE 'replicate%')::BIGINT AS bytes, sum(size) FILTER (v LIKE 'replicate%')::BIGINT AS egress_bytes,
         (SELECT count(*) FROM b WHERE object_key NOT IN (SELECT object_key FROM a)) AS extra FROM p""",
 )
@@ -301,8 +301,9 @@ R.add(
 )
 
 
-def _restore(n, there):
-    return recovery.restore_plan(n, there.select("path"), preflight.preflight(n), "/restore", "vault")
+def _restore(n):
+    there = n.select(F.when(F.col("size") % 4 == 0, F.col("path")).otherwise(F.concat(F.lit("elsewhere/"), "path")).alias("path"))
+    return recovery.restore_plan(n, there, preflight.preflight(n), "/restore", "vault")
 
 
 RESTORE_SQL = """SELECT CASE WHEN contains(n.path, chr(9)) THEN 'skip' WHEN n.size % 4 = 0 THEN 'overwrite' ELSE 'restore' END AS action,
@@ -311,15 +312,15 @@ RESTORE_SQL = """SELECT CASE WHEN contains(n.path, chr(9)) THEN 'skip' WHEN n.si
 R.add(
     "restore_plan",
     "F21",
-    ["names", "names"],
-    lambda n, t: _restore(n, t.filter("size % 4 = 0")),
+    "names",
+    _restore,
     RESTORE_SQL,
 )
 R.add(
     "overwrite_gate",
     "F22",
-    ["names", "names"],
-    lambda n, t: recovery.overwrites(_restore(n, t.filter("size % 4 = 0"))),
+    "names",
+    lambda n: recovery.overwrites(_restore(n)),
     f"SELECT count(*) FILTER (action = 'overwrite') AS overwrites FROM ({RESTORE_SQL})",
 )
 
@@ -439,7 +440,7 @@ R.add(
     "G6",
     "marked",
     lambda m: removal.select_rmdirs(m, "", leave_root=True),
-    f"""WITH {MARKERS} SELECT dir || '/.objcat-dir' AS path, 0 AS size, 'directory' AS kind FROM m
+    f"""WITH {MARKERS} SELECT dir || '/.objcat-dir' AS path, CAST(0 AS BIGINT) AS size, 'directory' AS kind FROM m
       WHERE NOT EXISTS (SELECT 1 FROM o WHERE starts_with(o.path, m.dir || '/'))""",
 )
 DEBRIS_NOW = 1704067200

@@ -20,6 +20,10 @@ MARKERS = {"+": INCLUDE, "-": EXCLUDE}
 CLEAR = "!"
 COMMENTS = ("#", ";")
 
+# Neighbouring rules with one action that are tested one by one, and alternatives put into one expression.
+FEW_RULES = 16
+RULES_PER_REGEX = 100
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -51,6 +55,14 @@ class Rule:
             return is_dir & matched
         return matched
 
+    def regex(self) -> str:
+        """The whole test as one regular expression over the path."""
+        if self.anchor == "root":
+            return rf"\A{globs.pieces_regex(self.pieces)}\z"
+        if self.anchor == "name":
+            return rf"(?:\A|/){globs.pieces_regex(self.pieces, one_component=True)}\z"
+        return rf"\A(?:.*/)?(?:{globs.pieces_regex(self.pieces)})\z"
+
     def above_regex(self) -> str:
         """A regular expression that finds this rule matching some directory above a path."""
         if self.anchor == "root":
@@ -218,12 +230,13 @@ class FilterSet:
     def rules_admit(self, path: Column, is_dir: Column | bool = False) -> Column:
         """Outcome of the rules alone. Neighbouring rules with one action are one test, so the expression
         grows with the changes of action, not with the number of rules."""
-        groups: list[tuple[str, list[Column]]] = []
+        runs: list[tuple[str, list[Rule]]] = []
         for rule in self.rules:
-            if groups and groups[-1][0] == rule.action:
-                groups[-1][1].append(rule.predicate(path, is_dir))
+            if runs and runs[-1][0] == rule.action:
+                runs[-1][1].append(rule)
             else:
-                groups.append((rule.action, [rule.predicate(path, is_dir)]))
+                runs.append((rule.action, [rule]))
+        groups = [(action, _tests(rules, path, is_dir)) for action, rules in runs]
         while groups and groups[-1][0] == self.default:
             groups.pop()
         if not groups:
@@ -261,6 +274,12 @@ class FilterSet:
         kept = inv if self.only is None else self._listed(inv)
         return kept.filter(self.admitted(inv)) if self.restricting else kept
 
+    def flag(self, inv: DataFrame, name: str = "admitted") -> DataFrame:
+        """Every row with whether `admit` would keep it."""
+        if self.only is None:
+            return inv.withColumn(name, self.admitted(inv))
+        return self._mark_listed(inv).withColumn(name, F.col("_listed") & self.admitted(inv)).drop("_listed")
+
     def admits_enumerated(self, inv: DataFrame) -> DataFrame:
         """`admit`, and every directory above a row may be entered: no directory-only exclude matches one.
 
@@ -280,27 +299,29 @@ class FilterSet:
 
     def explain(self, inv: DataFrame) -> DataFrame:
         """Every row with `action`, `reason` and, when a rule decided, its 1-based `position`."""
-        none = F.lit(None).cast("long")
-
-        def verdict(action: str, reason: str, position: int | None = None) -> Column:
-            place = none if position is None else F.lit(position).cast("long")
-            return F.struct(F.lit(action).alias("action"), F.lit(reason).alias("reason"), place.alias("position"))
-
         if not self.restricting:
-            decision = verdict(INCLUDE, "unfiltered")
-            return inv.withColumn("_d", decision).select(*inv.columns, "_d.*")
+            return inv.select("*", *self._verdict(F.lit("unfiltered"), F.lit(None).cast("long"), F.lit(INCLUDE)))
         source = inv if self.only is None else self._mark_listed(inv)
-        tests: list[tuple[Column, Column]] = []
+        limits = self._limit_reasons(inv)
         if self.only is not None:
-            tests.append((~F.col("_listed"), verdict(EXCLUDE, "not-listed")))
-        tests += [(broken, verdict(EXCLUDE, reason)) for broken, reason in self._limit_reasons(inv)]
+            limits.insert(0, (~F.col("_listed"), "not-listed"))
+        # One number says what decided: a limit (below 0), a rule (from 1), or nothing (0).
+        decided = F.when(F.lit(False), F.lit(0))
+        for number, (broken, _) in enumerate(limits, start=1):
+            decided = decided.when(broken, F.lit(-number))
         for number, rule in enumerate(self.rules, start=1):
-            tests.append((rule.predicate(F.col("path"), self._is_dir(inv)), verdict(rule.action, "rule", number)))
-        fallback = verdict(self.default, "unmatched")
-        decision = F.when(*tests[0])
-        for test in tests[1:]:
-            decision = decision.when(*test)
-        return source.withColumn("_d", decision.otherwise(fallback)).select(*inv.columns, "_d.*")
+            decided = decided.when(rule.predicate(F.col("path"), self._is_dir(inv)), F.lit(number))
+        marked = source.withColumn("_d", decided.otherwise(F.lit(0)))
+
+        by_limit, by_rule = F.col("_d") < 0, F.col("_d") > 0
+        reason = F.when(by_rule, F.lit("rule")).when(by_limit, _pick([r for _, r in limits], -F.col("_d")))
+        action = F.when(by_limit, EXCLUDE).when(by_rule, _pick([r.action for r in self.rules], F.col("_d")))
+        position = F.when(by_rule, F.col("_d").cast("long"))
+        verdict = self._verdict(F.coalesce(reason, F.lit("unmatched")), position, F.coalesce(action, F.lit(self.default)))
+        return marked.select(*inv.columns, *verdict)
+
+    def _verdict(self, reason: Column, position: Column, action: Column) -> list[Column]:
+        return [action.alias("action"), reason.alias("reason"), position.alias("position")]
 
     # -- path list -----------------------------------------------------------------------------------
 
@@ -327,11 +348,35 @@ class FilterSet:
         return joined.withColumn("_listed", F.col("_path").isNotNull()).select(*inv.columns, "_listed")
 
 
+def _pick(values: list[str], number: Column) -> Column:
+    """The value with a 1-based number, NULL outside the list."""
+    if not values:
+        return F.lit(None).cast("string")
+    return F.get(F.array(*[F.lit(v) for v in values]), number - 1)
+
+
+def _tests(rules: list[Rule], path: Column, is_dir: Column | bool) -> list[Column]:
+    """Tests of neighbouring rules with one action: one each while they are few, else alternatives of few
+    regular expressions."""
+    if len(rules) <= FEW_RULES:
+        return [rule.predicate(path, is_dir) for rule in rules]
+    out = []
+    for directories_only in (False, True):
+        if directories_only and is_dir is False:
+            continue
+        shapes = [rule.regex() for rule in rules if rule.directories_only == directories_only]
+        for start in range(0, len(shapes), RULES_PER_REGEX):
+            test = path.rlike("(?s)" + "|".join(f"(?:{r})" for r in shapes[start : start + RULES_PER_REGEX]))
+            out.append(is_dir & test if directories_only and is_dir is not True else test)
+    return out or [F.lit(False)]
+
+
 def _any(tests: list[Column]) -> Column:
-    out = tests[0]
-    for test in tests[1:]:
-        out = out | test
-    return out
+    """Disjunction as a balanced tree, so that thousands of tests do not nest thousands deep."""
+    if len(tests) == 1:
+        return tests[0]
+    middle = len(tests) // 2
+    return _any(tests[:middle]) | _any(tests[middle:])
 
 
 def under(inv: DataFrame, prefix: str) -> DataFrame:

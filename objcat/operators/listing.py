@@ -230,7 +230,5 @@ def special_report(observed: DataFrame, sample: int = SPECIAL_SAMPLE) -> DataFra
 
 def listing_stats(inv: DataFrame, filters: FilterSet) -> DataFrame:
     """How many entries were seen and how many the filter kept."""
-    decided = filters.explain(inv)
-    return decided.agg(
-        F.count(F.lit(1)).alias("seen"), count_where(F.col("action") == "include").alias("matched")
-    )
+    flagged = filters.flag(inv)
+    return flagged.agg(F.count(F.lit(1)).alias("seen"), count_where(F.col("admitted")).alias("matched"))

@@ -68,9 +68,7 @@ def select_delete(
     chosen = filters.admit(seen).select(*_item(F.col("_full"), F.col("size"), OBJECT))
     if not rmdirs:
         return chosen
-    decided = filters.explain(seen).select(
-        F.col("_full").alias("path"), (F.col("action") != "include").alias("_stays")
-    )
+    decided = filters.flag(seen, "_goes").select(F.col("_full").alias("path"), (~F.col("_goes")).alias("_stays"))
     held = _holding(decided, F.max("_stays").alias("stays"))
     emptied = held.filter(~F.col("stays")).select("dir")
     gone = _declared(inside, target, marker).filter(F.col("dir") != target.rstrip("/")).join(emptied, "dir", "left_semi")

@@ -217,11 +217,11 @@ def plan_summary(plan: DataFrame) -> DataFrame:
 
 
 def immutable_violations(plan: DataFrame, quoted: int = QUOTED) -> DataFrame:
-    """How many rows replace or remove something, and the first of them spelled out."""
-    refused = plan.filter(F.col("action").isin(*REPLACES))
+    """How many rows replace or remove something, and the first of them spelled out, removals last."""
+    refused = plan.filter(F.col("action").isin(*REPLACES)).select((F.col("action") == DELETE).alias("late"), "dest", "action")
     total = refused.agg(F.count(F.lit(1)).alias("refused"))
-    first = refused.orderBy("dest").limit(quoted)
-    sample = first.agg(F.array_sort(F.collect_list(F.struct("dest", "action"))).alias("rows"))
+    first = refused.orderBy("late", "dest").limit(quoted)
+    sample = first.agg(F.array_sort(F.collect_list(F.struct("late", "dest", "action"))).alias("rows"))
     names = F.transform("rows", lambda r: F.concat_ws(" ", r["action"], r["dest"]))
     return beside(total, sample).select(
         "refused", F.array_join(names, ", ").alias("quoted"), (F.col("refused") - F.size("rows")).alias("more")

@@ -212,8 +212,8 @@ R.add(
     BOTH,
     lambda s, d: transfer.immutable_violations(transfer.sync_plan(s, d)),
     f"""WITH r AS (SELECT * FROM ({_plan_sql(DECIDE, extras=True)}) WHERE action IN ('update', 'delete')),
-      q AS (SELECT action, dest FROM r ORDER BY dest LIMIT 10)
-      SELECT count(*) AS refused, (SELECT string_agg(action || ' ' || dest, ', ' ORDER BY dest) FROM q) AS quoted, count(*) - 10 AS more FROM r""",
+      q AS (SELECT action, dest FROM r ORDER BY action = 'delete', dest LIMIT 10)
+      SELECT count(*) AS refused, (SELECT string_agg(action || ' ' || dest, ', ' ORDER BY action = 'delete', dest) FROM q) AS quoted, count(*) - 10 AS more FROM r""",
 )
 R.add(
     "empty_source_guard",

@@ -174,3 +174,14 @@ def test_path_list_directories(spark):
     assert got == {("a/b/c", False), ("a", True), ("a/b", True), ("", True), ("x", False), ("x", True)}
     reasons = {(r["path"], r["is_dir"]): r["reason"] for r in filters.explain(df).collect()}
     assert reasons[("y", False)] == "not-listed" and reasons[("x", False)] == "unmatched"
+
+
+def test_thousands_of_rules(spark):
+    lines = [f"{'+' if (i // 50) % 2 else '-'} /d{i}/*x{i}*.dat" for i in range(2000)]
+    filters = FilterSet.build(rules_from=["\n".join(lines)], now=0)
+    rows = [(f"d{i}/ax{i}b.dat", None, None) for i in range(0, 2000, 7)] + [("other", None, None)]
+    df = spark.createDataFrame(rows, "path string, size long, mtime long")
+    kept = {r["path"] for r in filters.admit(df).collect()}
+    assert kept == {f"d{i}/ax{i}b.dat" for i in range(0, 2000, 7) if (i // 50) % 2} | {"other"}
+    places = {r["path"]: r["position"] for r in filters.explain(df).collect()}
+    assert places["d7/ax7b.dat"] == 8 and places["d1995/ax1995b.dat"] == 1996 and places["other"] is None

@@ -95,3 +95,9 @@ def test_reports_are_bounded_and_say_so(spark):
 def test_seen_and_matched(inventory):
     row = listing.listing_stats(inventory(*ROWS), FilterSet.build(include=["*.txt"], now=0)).first()
     assert tuple(row) == (5, 3)
+
+
+def test_a_crowded_directory_is_numbered_in_pieces(inventory):
+    inv = inventory(*[(f"crowd/f{i:04d}", 1) for i in range(400)], *[(f"d{i % 9}/g{i}", 1) for i in range(60)])
+    rows = [{tuple(r) for r in listing.tree(inv, group_rows=n).collect()} for n in (50, None)]
+    assert rows[0] == rows[1] and len(rows[0]) == 470

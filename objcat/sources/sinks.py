@@ -13,6 +13,7 @@ from objcat.errors import Refused
 from objcat.functions.paths import parent
 from objcat.plans.compare import DIFFER, MATCH, MISSING_ON_DST, MISSING_ON_SRC, combined_marks
 from objcat.plans.transfer import plan_summary
+from objcat.session import scratch_folder, staged
 
 STATUS_LISTS = {"match": MATCH, "differ": DIFFER, "missing_on_src": MISSING_ON_SRC, "missing_on_dst": MISSING_ON_DST}
 
@@ -26,14 +27,19 @@ def write_check(result: DataFrame, combined: str | None = None, **lists: str) ->
     asked = [p.rstrip("/") for p in [combined, *lists.values()] if p]
     if len(set(asked)) != len(asked):
         raise Refused("two lists would be written to one place")
+    # The comparison runs once; each list then reads only the rows of its status.
+    spark, folder = result.sparkSession, scratch_folder(result.sparkSession, "check")
+    result.select("path", "status").write.partitionBy("status").parquet(folder)
+    kept = spark.read.schema("path string, status string").parquet(folder)
     if combined:
-        combined_marks(result).select("line").write.text(combined)
+        combined_marks(kept).select("line").write.text(combined)
     for name, place in lists.items():
-        result.filter(F.col("status") == STATUS_LISTS[name]).select("path").write.text(place)
+        kept.filter(F.col("status") == STATUS_LISTS[name]).select("path").write.text(place)
 
 
 def write_plan(plan: DataFrame, location: str, result: DataFrame | None = None) -> None:
     """The rows that act, the summary, and after a run its result, as JSON documents below one folder."""
+    plan = staged(plan.select("action", "source", "dest", "size", "reason"), "plan")
     rows = plan.filter(F.col("action") != "skip").select("action", "source", "dest", "size", "reason")
     rows.write.json(f"{location}/actions", ignoreNullFields=False)
     plan_summary(plan).write.json(f"{location}/summary", ignoreNullFields=False)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from objcat.errors import Refused
 from objcat.operators.ordered import GROUP_ROWS, with_position
 from objcat.schema import as_col, count_where
+from objcat.session import spread
 
 # Bytes added to each stored chunk, of the footer, and the sizes a chunk may have.
 TAG = 16
@@ -60,7 +61,7 @@ def chunk_grid(objects: DataFrame, chunk_size: int | None = None, payload_start:
     starts = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(block).cast("long"))
     cut = counted.filter(F.col("_n") > block).select("object_key", "size", "_n", F.explode(starts).alias("_from"))
     upto = F.least(F.col("_from") + block, F.col("_n")) - 1
-    large = cut.repartition("object_key", "_from").select(
+    large = spread(cut, "object_key", "_from").select(
         "object_key", "size", F.explode(F.sequence(F.col("_from"), upto)).alias("chunk")
     )
     offset = F.col("chunk") * chunk

@@ -45,3 +45,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     folder = scratch_folder(spark, label)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Short rows that stand for much work, over every task slot.
+
+    The number of partitions is given, because adaptive execution would otherwise put rows this small
+    together again by their size.
+    """
+    spark = df.sparkSession
+    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(slots, *columns)

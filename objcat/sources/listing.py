@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from objcat.errors import Refused
 from objcat.functions import paths
 from objcat.schema import CATALOG, catalog_inventory, count_where
-from objcat.session import staged
+from objcat.session import spread, staged
 
 COMMENTS = ("#", ";")
 
@@ -26,6 +26,7 @@ def scan_objects(spark: SparkSession, root: str, recursive: bool = True) -> Data
     the cluster, each task lists the directories it holds, and what they contain is written out and gives
     the next level. Nothing is gathered on the driver, and unlike Spark's own file index this sees empty
     objects and names that start with `.` or `_`. Links are not followed; special files are no objects.
+    Tasks reach folders and stores through the file systems of pyarrow.
     """
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +67,7 @@ def scan_objects(spark: SparkSession, root: str, recursive: bool = True) -> Data
         below = listed.filter("is_dir").select("path")
         if not recursive or below.isEmpty():
             break
-        level = below.repartition("path")
+        level = spread(below, "path")
     return found.filter(~F.col("is_dir")).select(
         paths.nfc("path").alias("path"),
         "size",

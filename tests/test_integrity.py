@@ -146,3 +146,11 @@ def test_run_summary(spark):
     assert tuple(chunks.run_summary(df).first()) == (1, 10, 1, 1, 1, 1, 0, 25.0, 5.0)
     still = chunks.run_summary(df.filter("action = 'skip'")).first()
     assert still["percent"] is None and still["average_rate"] is None
+
+
+def test_a_huge_object_is_spread_before_it_is_expanded(spark):
+    one = spark.createDataFrame([("huge", 4096 * 5000)], "object_key string, size long")
+    grid = chunks.chunk_grid(one, 4096, block=100)
+    assert grid.count() == 5000
+    per_task = [n for n in grid.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(per_task) > 1 and max(per_task) < 5000

@@ -22,6 +22,9 @@ COMMENTS = ("#", ";")
 
 # Neighbouring rules with one action that are tested one by one, and alternatives put into one expression.
 FEW_RULES = 16
+
+# Changes of action that are nested as and/or; with more of them the tests stand in one flat list.
+DEEPEST = 40
 RULES_PER_REGEX = 100
 
 
@@ -50,11 +53,15 @@ class Rule:
         if self.directories_only and is_dir is False:
             return F.lit(False)
         test = {"root": globs.whole_match, "name": globs.name_match, "suffix": globs.suffix_match}[self.anchor]
-        matched = test(path, self.pieces)
+        matched = F.lit(True) if self.matches_everything() else test(path, self.pieces)
         if self.directories_only and not isinstance(is_dir, bool):
             return is_dir & matched
         return matched
 
+    def matches_everything(self) -> bool:
+        kinds = [kind for kind, _ in self.pieces]
+        return kinds == [globs.GLOBSTAR] or (self.anchor == "name" and kinds == [globs.STAR])
+
     def regex(self) -> str:
         """The whole test as one regular expression over the path."""
         if self.anchor == "root":
@@ -239,17 +246,17 @@ class FilterSet:
         groups = [(action, _tests(rules, path, is_dir)) for action, rules in runs]
         while groups and groups[-1][0] == self.default:
             groups.pop()
-        if not groups:
-            return F.lit(self.default == INCLUDE)
-        if len(groups) == 1 and groups[0][0] == EXCLUDE:
-            return ~_any(groups[0][1])
-        if len(groups) == 1:
-            return _any(groups[0][1])
-        decided = None
-        for action, tests in groups:
-            admits = F.lit(action == INCLUDE)
-            decided = F.when(_any(tests), admits) if decided is None else decided.when(_any(tests), admits)
-        return decided.otherwise(F.lit(self.default == INCLUDE))
+        # From the last group to the first: an include lets in what it matches and whatever the rest lets in,
+        # an exclude keeps out what it matches. Plain and/or, so that what the scan can test reaches it.
+        admits = F.lit(self.default == INCLUDE)
+        if len(groups) > DEEPEST:
+            decided = F.when(F.lit(False), F.lit(False))
+            for action, tests in groups:
+                decided = decided.when(_any(tests), F.lit(action == INCLUDE))
+            return decided.otherwise(admits)
+        for action, tests in reversed(groups):
+            admits = _any(tests) | admits if action == INCLUDE else ~_any(tests) & admits
+        return admits
 
     def limits_admit(self, df: DataFrame) -> Column:
         """Size, age and depth limits; each is a plain range test that also lets NULL through."""

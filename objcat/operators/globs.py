@@ -19,7 +19,7 @@ from objcat.schema import as_col
 MAX_PATTERN_CHARS = 1024
 MAX_NESTING = 16
 
-_STAR, _GLOBSTAR = "star", "globstar"
+STAR, GLOBSTAR = "star", "globstar"
 
 
 def _quote(text: str) -> str:
@@ -49,7 +49,7 @@ class _Reader:
                 self.at += 2
             elif c == "*":
                 wide = self.char(1) == "*"
-                found.append((_GLOBSTAR if wide else _STAR, ""))
+                found.append((GLOBSTAR if wide else STAR, ""))
                 self.at += 2 if wide else 1
             elif c == "?":
                 found.append(("regex", "[^/]"))
@@ -140,11 +140,11 @@ def _merge(found: list[tuple]) -> list[tuple]:
         last = out[-1][0] if out else ""
         if kind == "text" and last == "text":
             out[-1] = ("text", out[-1][1] + value)
-        elif kind in (_STAR, _GLOBSTAR) and last == _GLOBSTAR:
+        elif kind in (STAR, GLOBSTAR) and last == GLOBSTAR:
             continue
-        elif kind == _GLOBSTAR and last == _STAR:
+        elif kind == GLOBSTAR and last == STAR:
             out[-1] = (kind, value)
-        elif kind == _STAR and last == _STAR:
+        elif kind == STAR and last == STAR:
             continue
         else:
             out.append((kind, value))
@@ -167,9 +167,9 @@ def pieces_regex(pieces: list[tuple], one_component: bool = False) -> str:
     for kind, value in pieces:
         if kind == "text":
             out.append(_quote(value))
-        elif kind == _STAR:
+        elif kind == STAR:
             out.append("[^/]*")
-        elif kind == _GLOBSTAR:
+        elif kind == GLOBSTAR:
             out.append(wide)
         elif kind == "choice":
             out.append("(?:" + "|".join(pieces_regex(b, one_component) for b in value) + ")")
@@ -192,13 +192,13 @@ def whole_match(col: Column, pieces: list[tuple]) -> Column:
     texts = [v for k, v in pieces if k == "text"]
     if kinds == ["text"]:
         return col == texts[0]
-    if kinds == [_GLOBSTAR]:
+    if kinds == [GLOBSTAR]:
         return col.isNotNull()
-    if kinds == ["text", _GLOBSTAR]:
+    if kinds == ["text", GLOBSTAR]:
         return col.startswith(texts[0])
-    if kinds == [_GLOBSTAR, "text"]:
+    if kinds == [GLOBSTAR, "text"]:
         return col.endswith(texts[0])
-    if kinds == [_GLOBSTAR, "text", _GLOBSTAR]:
+    if kinds == [GLOBSTAR, "text", GLOBSTAR]:
         return col.contains(texts[0])
     return col.rlike(rf"(?s)\A{pieces_regex(pieces)}\z")
 
@@ -209,9 +209,9 @@ def name_match(col: Column, pieces: list[tuple]) -> Column:
     texts = [v for k, v in pieces if k == "text"]
     if kinds == ["text"]:
         return (col == texts[0]) | col.endswith("/" + texts[0])
-    if kinds in ([_STAR], [_GLOBSTAR]):
+    if kinds in ([STAR], [GLOBSTAR]):
         return col.isNotNull()
-    if kinds in ([_STAR, "text"], [_GLOBSTAR, "text"]):
+    if kinds in ([STAR, "text"], [GLOBSTAR, "text"]):
         return col.endswith(texts[0])
     return col.rlike(rf"(?s)(?:\A|/){pieces_regex(pieces, one_component=True)}\z")
 
@@ -222,9 +222,9 @@ def suffix_match(col: Column, pieces: list[tuple]) -> Column:
     texts = [v for k, v in pieces if k == "text"]
     if kinds == ["text"]:
         return (col == texts[0]) | col.endswith("/" + texts[0])
-    if kinds == ["text", _GLOBSTAR]:
+    if kinds == ["text", GLOBSTAR]:
         return col.startswith(texts[0]) | col.contains("/" + texts[0])
-    if kinds == [_GLOBSTAR, "text"]:
+    if kinds == [GLOBSTAR, "text"]:
         return col.endswith(texts[0])
     return col.rlike(rf"(?s)\A(?:.*/)?(?:{pieces_regex(pieces)})\z")
 

@@ -73,13 +73,14 @@ def case_collisions(inv: DataFrame) -> DataFrame:
 def type_conflicts(inv: DataFrame) -> DataFrame:
     """Paths that need an ancestor to be a directory which is itself a file of the set.
 
-    Only distinct directories are tested against the files, and only paths below a conflicting one are
-    expanded: far fewer rows than every path times its depth.
+    The files are tested against the distinct directories that are needed, and only paths below a conflicting
+    one are expanded: far fewer rows than every path times its depth.
     """
     folders = inv.select(paths.parent("path").alias("folder")).distinct()
     levels = F.array_remove(F.concat(paths.directories("folder"), F.array("folder")), "")
     above = folders.select("folder", F.explode(levels).alias("ancestor"))
-    files = inv.select(F.col("path").alias("ancestor")).distinct()
+    needed = above.select("ancestor").distinct()
+    files = inv.select(F.col("path").alias("ancestor")).join(needed, "ancestor", "left_semi").distinct()
     bad = above.join(files, "ancestor", "left_semi")
     listed = inv.select("path", paths.parent("path").alias("folder"))
     return listed.join(bad, "folder").select("path", "ancestor").distinct()

@@ -21,11 +21,20 @@ COMPARISONS = {"size+mtime": ("size", "mtime"), "size": ("size",), "checksum": (
 DEFAULT_WINDOW = 1
 
 
-def side(df: DataFrame, prefix: str, fields: tuple[str, ...], defaults: dict | None = None) -> DataFrame:
-    """One side of a path join: the key and only the fields that will be read, under a prefix."""
-    defaults = {"object_missing": F.lit(False), "kind": F.lit("file")} | (defaults or {})
-    picked = [F.col(f) if f in df.columns else defaults[f] for f in fields]
-    return df.select(F.col("path").alias(prefix + "path"), *[c.alias(prefix + f) for c, f in zip(picked, fields)])
+def side(df: DataFrame, prefix: str, fields: tuple[str, ...]) -> DataFrame:
+    """One side of a path join: the key and only the fields that will be read, under a prefix.
+
+    A field the table does not have is unknown; rows are files and their objects are there unless it says so.
+    """
+    absent = {
+        "size": F.lit(None).cast("long"),
+        "mtime": F.lit(None).cast("long"),
+        "hash": F.lit(None).cast("string"),
+        "object_missing": F.lit(False),
+        "kind": F.lit("file"),
+    }
+    picked = [(F.col(f) if f in df.columns else absent[f]).alias(prefix + f) for f in fields]
+    return df.select(F.col("path").alias(prefix + "path"), *picked)
 
 
 def same_contents(compare: str, window: int) -> Column:

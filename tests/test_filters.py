@@ -185,3 +185,24 @@ def test_thousands_of_rules(spark):
     assert kept == {f"d{i}/ax{i}b.dat" for i in range(0, 2000, 7) if (i // 50) % 2} | {"other"}
     places = {r["path"]: r["position"] for r in filters.explain(df).collect()}
     assert places["d7/ax7b.dat"] == 8 and places["d1995/ax1995b.dat"] == 1996 and places["other"] is None
+
+
+def test_rules_and_limits_reach_the_scan(spark, tmp_path):
+    place = str(tmp_path / "inv")
+    rows = [(f"a/b{i}", i, i) for i in range(10)] + [("c/d.txt", 5, 5)]
+    spark.createDataFrame(rows, "path string, size long, mtime long").write.parquet(place)
+    inv = spark.read.parquet(place)
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    top = plan(FilterSet.build(rules=["+ /a/**", "- **"], min_size="3B", now=0).admit(inv).select("path"))
+    assert "StringStartsWith(path,a/)" in top and "GreaterThanOrEqual(size,3)" in top
+    assert "ReadSchema: struct<path:string,size:bigint>" in top
+    assert "StringEndsWith(path,.txt)" in plan(FilterSet.build(include=["*.txt"], now=0).admit(inv).select("path"))
+
+
+def test_many_changes_of_action(spark):
+    lines = [f"{'+' if i % 2 else '-'} /d{i}/**" for i in range(600)]
+    filters = FilterSet.build(rules_from=["\n".join(lines)], now=0)
+    assert kept(spark, filters, *[f"d{i}/x" for i in range(0, 600, 37)], "y") == sorted([f"d{i}/x" for i in range(0, 600, 37) if i % 2] + ["y"])

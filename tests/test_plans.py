@@ -189,3 +189,11 @@ def test_backup_and_restore(spark, inventory):
         recovery.gate_overwrites(plan, overwrite=True, immutable=True)
     recovery.gate_overwrites(plan, overwrite=True)
     assert listing.size_totals(plan.select("size")).first()["unmeasured"] == 1
+
+
+def test_a_field_a_table_lacks_is_unknown(spark, inventory):
+    bare = spark.createDataFrame([("a", 1), ("b", 2)], "path string, size long")
+    full = inventory(("a", 1, 5, "h"), ("b", 3, 5, "h"))
+    assert statuses(bare, full) == {"a": "error", "b": "differ"}
+    assert statuses(bare, full, "size") == {"a": "match", "b": "differ"}
+    assert actions(transfer.copy_plan(bare, full))["a"] == ("update", "modified")

@@ -13,19 +13,18 @@ from objcat.llm.common import SPACE, text_of
 # At most so many labelled rows fit a list; chosen by the smallest hashes of their keys.
 LABELLED = 20_000
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-# What the learned conditions compare, from the statistics and two more counts.
+# What the learned conditions compare, from the statistics and the number of lines.
 FEATURES = {
     "n_words": "CAST(n_words AS double)",
     "chars_per_word": "word_chars / greatest(n_words, 1)",
     "symbols_per_word": "n_symbols / greatest(n_words, 1)",
     "duplicate_lines": "n_dup_lines / greatest(_lines, 1)",
     "repeated_words": "n_repeat_words / greatest(n_words, 1)",
-    "distinct_words": "_distinct / greatest(n_words, 1)",
 }
 
 
 def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, the five statistics, `_lines` (lines with a word) and `_distinct` (different words) of every whole text.
+    """key, the five statistics and `_lines` (lines with a word) of every whole text.
 
     All of it is built-in expressions over one row's arrays: no shuffle, and no row is explained twice. A repeated
     window is found by sorting the hashes of a text's windows with their places, so a long text costs n log n.
@@ -36,20 +35,21 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     lines = F.filter(F.split("_text", "\n"), lambda line: line.rlike(f"[^{SPACE}]"))
     step = whole.select(
         key, words.alias("_words"), lines.alias("_full"),
-        F.length(F.regexp_replace("_text", f"[{SPACE}]+", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
     )
+    w = F.col("_words")
+    # The last two would be windows of fewer words.
+    hashes = F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
     step = step.select(
-        key, "_words", "word_chars", "n_symbols",
+        key, "n_symbols", hashes.alias("_hashes"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.size("_words").cast("long").alias("n_words"),
         F.size("_full").cast("long").alias("_lines"),
         (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long").alias("n_dup_lines"),
-        F.size(F.array_distinct("_words")).cast("long").alias("_distinct"),
     )
-    at = F.sequence(F.lit(0), F.col("n_words").cast("int") - 3)
-    w = F.col("_words")
-    windows = F.transform(at, lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
-    step = step.withColumn("_windows", F.when(F.col("n_words") >= 4, F.sort_array(windows))).drop("_words")
+    # Only texts in which some window occurs again need their windows sorted.
+    windows = F.sort_array(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    step = step.withColumn("_windows", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), windows)).drop("_hashes")
     s = F.col("_windows")
     again = F.filter(s, lambda x, i: (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"]))
     step = step.withColumn("_again", F.sort_array(F.transform(again, lambda x: x["i"]))).drop("_windows")
@@ -57,7 +57,7 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     fresh = F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3))))
     covered = F.coalesce(F.aggregate(fresh, F.lit(0), lambda n, x: n + x), F.lit(0)).cast("long")
     # Generated, not projected: else a filter on a statistic would be moved below and work it out for every word again.
-    found = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "_lines", "_distinct")
+    found = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "_lines")
     return step.select(key, F.inline(F.array(found)))
 
 
@@ -92,13 +92,13 @@ def chosen_labels(labels: DataFrame, key: str = "doc_id", label: str = "quality"
     return known.filter(f"{key} is not null and label is not null").orderBy("order").limit(bound)
 
 
-def learn(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", bound: int = LABELLED, precision: float = 0.95, support: int = 5) -> list[Rule]:
+def learn(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", bound: int = LABELLED, precision: float = 0.98, support: int = 5) -> list[Rule]:
     """Rules that name bad documents, in the order they were found.
 
-    `stats` are rows of `statistics`. The labelled rows are bounded by `bound`; only their numbers come to the driver.
+    `stats` are rows of `statistics`; those that the base limits reject teach nothing. The labelled rows are bounded by `bound`; only their numbers come to the driver.
     """
     chosen = chosen_labels(labels, key, label, bound)
-    own = stats.select(stats[key].alias("_key"), *[F.expr(c).alias(f) for f, c in FEATURES.items()])
+    own = stats.filter(~base_failed()).select(stats[key].alias("_key"), *[F.expr(c).alias(f) for f, c in FEATURES.items()])
     rows = chosen.join(own, chosen[key] == own["_key"]).drop(key, "_key").orderBy("order").limit(bound).collect()
     values = {f: np.array([r[f] for r in rows], float) for f in FEATURES}
     bad = np.array([r["label"] == 0 for r in rows], bool)

@@ -169,10 +169,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, length: int = 5, threshold: flo
     """The rows of `docs` that cover no benchmark item to the threshold; each row is judged where it is read."""
     kept = docs
     for block in _shared(docs, benchmark, length, item, item_text):
+        kept = kept.filter(_untouched(block, threshold)(text_of(docs, text)))
+    return kept
 
-        @F.arrow_udf("boolean")
-        def untouched(column: pa.Array, block: Broadcast = block) -> pa.Array:
-            return pa.array([next(block.value.matches((t or "").encode(), threshold), None) is None for t in column.to_pylist()], pa.bool_())
 
-        kept = kept.filter(untouched(text_of(docs, text)))
-    return kept
+def _untouched(block: Broadcast, threshold: float):
+    @F.arrow_udf("boolean")
+    def untouched(column: pa.Array) -> pa.Array:
+        return pa.array([next(block.value.matches(t.encode(), threshold), None) is None for t in column.to_pylist()], pa.bool_())
+
+    return untouched

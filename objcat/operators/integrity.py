@@ -31,12 +31,15 @@ def digest(content: Column | str, algo: str = "sha256") -> Column:
 
 
 def hashsum(df: DataFrame, content: str = "content", algo: str = "sha256", recorded: str | None = None) -> DataFrame:
-    """(path, hash) per object. A recorded digest is used as it is, and its row's content is never read."""
+    """(path, hash) per object. A recorded digest is used as it is, and its row's content is never read.
+
+    A digest that is neither recorded nor computable here (BLAKE3) is NULL: the object keeps its row.
+    """
     if recorded is None:
         return df.select("path", digest(content, algo).alias("hash"))
-    have = df.filter(F.col(recorded).isNotNull()).select("path", F.col(recorded).alias("hash"))
     if algo == "blake3":
-        return have
+        return df.select("path", F.col(recorded).alias("hash"))
+    have = df.filter(F.col(recorded).isNotNull()).select("path", F.col(recorded).alias("hash"))
     need = df.filter(F.col(recorded).isNull()).select("path", digest(content, algo).alias("hash"))
     return have.unionByName(need)
 
@@ -45,7 +48,8 @@ def verify(catalog: DataFrame, store: DataFrame, algo: str = "sha256") -> DataFr
     """ok / corrupt / missing / unreadable / unverifiable per catalog row, with the reason.
 
     Bodies are reduced to a digest and a length before the join, so they never cross a shuffle. A stored
-    row without content could not be read; a catalog row without a digest cannot be judged.
+    row without content could not be read; a catalog row without a digest, or whose column `algo` names another
+    digest than the one computed, cannot be judged.
     """
     held = store.select(
         F.col("object_key").alias("_key"),
@@ -54,6 +58,7 @@ def verify(catalog: DataFrame, store: DataFrame, algo: str = "sha256") -> DataFr
     )
     joined = catalog.join(held, catalog["object_key"] == held["_key"], "left")
     recorded = F.when(F.length("hash") > 0, F.lower("hash"))
+    foreign = F.lower("algo") != algo if "algo" in catalog.columns else F.lit(False)
     measured = F.when(recorded.isNotNull() | (F.col("size") > 0), F.col("size"))
     def verdict(status: str, detail: str | None = None) -> Column:
         return F.struct(F.lit(status).alias("status"), F.lit(detail).cast("string").alias("detail"))
@@ -63,6 +68,7 @@ def verify(catalog: DataFrame, store: DataFrame, algo: str = "sha256") -> DataFr
         .when(F.col("_digest").isNull(), verdict("unreadable", "content could not be read"))
         .when(measured != F.col("_length"), verdict("corrupt", "length differs from the record"))
         .when(recorded.isNull(), verdict("unverifiable", "no digest recorded"))
+        .when(foreign, verdict("unverifiable", "digest of another kind recorded"))
         .when(recorded != F.col("_digest"), verdict("corrupt", "digest differs from the record"))
         .otherwise(verdict("ok"))
     )

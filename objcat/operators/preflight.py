@@ -89,11 +89,13 @@ def type_conflicts(inv: DataFrame) -> DataFrame:
 def nfc_collisions(names: DataFrame) -> DataFrame:
     """Composed names that several native names share (rows native, logical), with how many they are.
 
-    Plain ASCII names are their own composed form and cannot clash, so they never reach the shuffle.
+    A clash needs a name that is not ASCII (its composed form may be), so only names whose composed form such a
+    name has are grouped.
     """
     candidates = names if "logical" in names.columns else names.withColumn("logical", paths.nfc("native"))
+    changed = candidates.filter(~paths.is_ascii("native")).select("logical").distinct()
     return (
-        candidates.filter(~paths.is_ascii("logical"))
+        candidates.join(changed, "logical", "left_semi")
         .groupBy("logical")
         .agg(F.count(F.lit(1)).alias("natives"))
         .filter(F.col("natives") > 1)

@@ -37,6 +37,13 @@ def side(df: DataFrame, prefix: str, fields: tuple[str, ...]) -> DataFrame:
     return df.select(F.col("path").alias(prefix + "path"), *picked)
 
 
+def within(a: Column, b: Column, window: int) -> Column:
+    """Are two times at most `window` apart? NULL if either is unknown; times too far apart to subtract are not."""
+    gap = F.try_subtract(a, b)
+    unknown = a.isNull() | b.isNull()
+    return F.when(~unknown, F.coalesce((gap <= window) & (gap >= -window), F.lit(False)))
+
+
 def same_contents(compare: str, window: int) -> Column:
     """True, False, or NULL where a field the comparison needs is unknown. Sizes that differ settle it early."""
     if compare == "size":
@@ -44,7 +51,7 @@ def same_contents(compare: str, window: int) -> Column:
     if compare == "checksum":
         return F.lower("s_hash") == F.lower("d_hash")
     sizes = F.col("s_size") == F.col("d_size")
-    times = F.abs(F.col("s_mtime") - F.col("d_mtime")) <= window
+    times = within(F.col("s_mtime"), F.col("d_mtime"), window)
     return F.when(sizes.isNull(), F.lit(None).cast("boolean")).when(~sizes, F.lit(False)).otherwise(times)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from objcat.errors import Refused
 from objcat.operators.ordered import first_over_limit
-from objcat.plans.compare import DEFAULT_WINDOW, side
+from objcat.plans.compare import DEFAULT_WINDOW, side, within
 from objcat.schema import beside, count_where
 from objcat.session import staged
 
@@ -70,7 +70,7 @@ def decide(policy: Policy) -> Column:
     if policy.ignore_existing:
         return chain.otherwise(_verdict(SKIP, EXISTS))
     if policy.update:
-        chain = chain.when(d_time - s_time > policy.window, _verdict(SKIP, NEWER))
+        chain = chain.when(F.coalesce(F.try_subtract(d_time, s_time) > policy.window, d_time > s_time), _verdict(SKIP, NEWER))
     if policy.checksum:
         s_hash, d_hash = F.col("s_hash"), F.col("d_hash")
         unknown = F.raise_error(F.concat(F.lit("no content hash for "), "s_path"))
@@ -86,7 +86,7 @@ def decide(policy: Policy) -> Column:
     )
     if policy.size_only:
         return chain.otherwise(_verdict(SKIP, IDENTICAL))
-    close = F.abs(s_time - d_time) <= policy.window
+    close = within(s_time, d_time, policy.window)
     return chain.when(close, _verdict(SKIP, IDENTICAL)).otherwise(_verdict(UPDATE, MODIFIED))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from objcat.errors import Refused
 from objcat.functions import paths, units
@@ -17,15 +18,21 @@ HASH_NAME = "sha256"
 def parse_audit(lines: DataFrame) -> DataFrame:
     """Records of audit log lines (chain, line, pos, value); blank lines are left out.
 
-    A line that is not a record keeps its place and is handed on in `corrupt`: it breaks the chain, it is
-    not skipped. Absent optional fields are empty or 0.
+    A line that is not exactly a record keeps its place and is handed on in `corrupt`: it breaks the chain, it is
+    not skipped. That is broken text, a doubled key, an absent required field, and a field that is null, of
+    another type than the record's, or a number below 0 or with a fraction. Absent optional fields are empty or 0.
     """
     body = F.regexp_replace("value", r"\A\s+|\s+\z", "")
     present = lines.withColumn("value", body).filter(F.col("value") != "")
     parsed = present.withColumn("_r", F.from_json("value", AUDIT, {"mode": "PERMISSIVE"}))
-    missing = F.lit(False)
-    for name in REQUIRED:
-        missing = missing | F.col("_r." + name).isNull()
+    exact = F.try_parse_json("value")  # NULL for broken text and doubled keys
+    wrong = exact.isNull()
+    for f in AUDIT.fields:
+        text = isinstance(f.dataType, T.StringType)
+        kind = F.schema_of_variant(F.try_variant_get(exact, "$." + f.name, "variant"))
+        wrong = wrong | (F.coalesce(kind != ("STRING" if text else "BIGINT"), F.lit(f.name in REQUIRED)))
+        if not text:
+            wrong = wrong | F.coalesce(F.col("_r." + f.name) < 0, F.lit(False))
     fields = []
     for f in AUDIT.fields:
         value = F.col("_r." + f.name)
@@ -34,7 +41,7 @@ def parse_audit(lines: DataFrame) -> DataFrame:
         elif f.name not in ("v", *REQUIRED):
             value = F.coalesce(value, F.lit(""))
         fields.append(value.alias(f.name))
-    return parsed.select("chain", "pos", "line", F.when(missing, F.col("value")).alias("corrupt"), *fields)
+    return parsed.select("chain", "pos", "line", F.when(wrong, F.col("value")).alias("corrupt"), *fields)
 
 
 def read_audit(spark: SparkSession, location: str) -> DataFrame:

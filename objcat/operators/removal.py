@@ -136,7 +136,7 @@ def age_verdict(mtime: Column | str, now: int | Column, min_age: int = DEFAULT_M
     mtime = as_col(mtime)
     now = F.lit(now).cast("long") if isinstance(now, int) else now
     # A time too far away to subtract is either older than any limit or still to come.
-    age = F.coalesce(F.greatest(F.try_subtract(now, mtime), F.lit(0)), F.when(mtime < now, F.lit(2**63 - 1)).otherwise(F.lit(0)))
+    age = F.greatest(F.coalesce(F.try_subtract(now, mtime), F.when(mtime < now, F.lit(2**63 - 1)).otherwise(F.lit(0))), F.lit(0))
     reason = F.when(mtime.isNull(), AGE_UNKNOWN).when(age < min_age, TOO_YOUNG)
     return F.struct(F.when(reason.isNull(), RECLAIM).otherwise(HELD).alias("status"), reason.alias("reason"))
 

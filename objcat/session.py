@@ -26,7 +26,7 @@ def local_session(cores: str = "8", memory: str = "8g", shuffle_partitions: int
 
 
 def scratch_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder below `spark.checkpoint.dir`, which every executor can reach.
+    """A fresh folder below `spark.checkpoint.dir`, which every executor can reach. It goes when the application ends.
 
     Only where that setting is absent (tests on one machine) is a local temporary folder used; with a
     master that is not local, an absent setting is an error, because executors would not share the folder.
@@ -36,7 +36,13 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = os.path.join(tempfile.gettempdir(), "objcat-scratch")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    # The store forgets it when the driver's JVM ends. That needs a folder that exists, so writers get one below.
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return f"{folder}/data"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

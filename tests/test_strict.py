@@ -1,6 +1,10 @@
 """Values that must not be lost, replaced or end the run: forged lines, far times, names with ASCII composed forms."""
 
 import json
+import os
+import subprocess
+import sys
+import time
 
 import pytest
 
@@ -67,3 +71,15 @@ def test_names_whose_composed_form_is_ascii_collide(spark):
     names = spark.createDataFrame([("\u212a.txt",), ("K.txt",), ("plain",), ("plain",)], "native string")
     assert [(r["logical"], r["natives"]) for r in preflight.nfc_collisions(names).collect()] == [("K.txt", 2)]
     assert {r["native"] for r in preflight.collision_members(names).collect()} == {"\u212a.txt", "K.txt"}
+
+
+def test_staged_tables_go_when_the_application_ends(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "from pyspark.sql import SparkSession; from objcat.session import staged; import os;"
+        f"s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', 'file://{tmp_path}').getOrCreate();"
+        f"assert staged(s.range(5), 'five').count() == 5 and os.listdir('{tmp_path}'); s.stop()"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=90, env=os.environ | {"PYTHONPATH": root})
+    time.sleep(1)
+    assert not [name for name in os.listdir(tmp_path) if name.startswith("five-")]

@@ -23,8 +23,7 @@ def with_position(
     The largest group is measured first (one aggregate over the group columns). Groups that fit one task
     are numbered by a window. Larger groups are range-partitioned by their order columns and written once,
     so that every row keeps its range; each range is numbered on its own, and the counts of the ranges
-    before it are added. There is at most one such count per range and group border, which bounds what is
-    broadcast. `group_rows=None` skips the measurement for input whose groups are bounded by construction.
+    before it are added; Spark joins them by the size it measures. `group_rows=None` skips the measurement for input whose groups are bounded by construction.
     """
     plain = Window.partitionBy(*by).orderBy(*order)
     if group_rows is None:
@@ -38,8 +37,8 @@ def with_position(
 
     keys = df.sparkSession.createDataFrame(found, large.drop("_rows").schema)
     same = [df[k].eqNullSafe(keys[k]) for k in by]
-    small = df.join(F.broadcast(keys), same, "left_anti")
-    hot = df.join(F.broadcast(keys), same, "left_semi")
+    small = df.join(keys, same, "left_anti")
+    hot = df.join(keys, same, "left_semi")
 
     ranges = hot.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id())
     ranges = staged(ranges, "ranges")
@@ -51,7 +50,7 @@ def with_position(
     numbered = ranges.withColumn("_inside", F.row_number().over(inside))
     match = [numbered[k].eqNullSafe(starts[f"_k{i}"]) for i, k in enumerate(by)]
     match.append(numbered["_range"] == starts["_r"])
-    placed = numbered.join(F.broadcast(starts), match, "left").select(
+    placed = numbered.join(starts, match, "left").select(
         *df.columns, (F.col("_inside") + F.coalesce(F.col("_before"), F.lit(0))).cast("long").alias(name)
     )
     return small.withColumn(name, F.row_number().over(plain).cast("long")).unionByName(placed)

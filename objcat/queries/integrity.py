@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from objcat.operators import audit, chunks, integrity
+from objcat.operators import audit, chunks, integrity, preflight
 from objcat.queries.fixtures import Registry, derived
 from objcat.session import scratch_folder
 from objcat.streaming import catalog as stream_catalog
@@ -432,3 +432,28 @@ R.add_run(
     """WITH a AS (SELECT *, CAST(regexp_extract(path, '([0-9]+)$', 1) AS BIGINT) AS event FROM {aud})
       SELECT chain, event AS pos, path FROM a WHERE op = 'cat' AND (time LIKE '% noon' OR (substr(time, 9, 2)::INT BETWEEN 6 AND 24))""",
 )
+
+
+# An algorithm that is only recorded, never computed here: rows without a digest stay, with NULL.
+R.add(
+    "hashsum_recorded_only",
+    "H1",
+    "recorded",
+    lambda df: integrity.hashsum(df.withColumn("hash", F.nullif("hash", F.lit(""))), algo="blake3", recorded="hash"),
+    "SELECT path, nullif(hash, '') AS hash FROM {recorded}",
+)
+# The Kelvin sign composes to the letter K: names that look unlike become one.
+R.add_run(
+    "normalisation_ascii_forms",
+    "I5",
+    lambda spark, sf: preflight.nfc_collisions(
+        derived(spark, sf, "documents").select(
+            F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("\u212a"), F.col("doc_id").cast("string")))
+            .when(F.col("doc_id") % 7 == 1, F.concat(F.lit("K"), (F.col("doc_id") - 1).cast("string")))
+            .otherwise(F.concat(F.lit("p"), F.col("doc_id").cast("string")))
+            .alias("native")
+        )
+    ),
+    """SELECT concat('K', CAST(a.doc_id AS VARCHAR)) AS logical, CAST(2 AS BIGINT) AS natives
+      FROM documents AS a JOIN documents AS b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 7 = 0""",
+)

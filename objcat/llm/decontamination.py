@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from objcat.llm.common import slices, text_of, texts
+from objcat.session import staged
 
 # The benchmark is read in blocks of at most so many characters (plus one item). A block is sent to the executors
-# whole; the documents are read once for each block, so a benchmark of any size is worked off.
+# whole, one at a time; the documents are read once for each block, so a benchmark of any size is worked off.
 BLOCK_CHARS = 8_000_000
 _FOLD = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -41,6 +42,9 @@ class Block:
         value = np.concatenate(seeds) if seeds else np.array([], np.uint64)
         order = np.argsort(value, kind="stable")
         self.value, self.owner, self.place = value[order], owner[order], place[order]
+        # Items laid end to end: items without a word share their place with the next, which comes after them.
+        self.sizes = np.array([len(item) for item in self.items], int)
+        self.first = np.cumsum(self.sizes) - self.sizes
 
     def _rolled(self, numbers: np.ndarray) -> np.ndarray:
         """Karp-Rabin values of all runs of `length` words."""
@@ -62,25 +66,30 @@ class Block:
         if not len(at):
             return
         rolled = self._rolled(doc)[at]
-        low, high = np.searchsorted(self.value, rolled, "left"), np.searchsorted(self.value, rolled, "right")
-        hit = high > low
-        if not hit.any():
+        # Each shared seed once, however often the text repeats it: what follows is bounded by the block.
+        seeds = np.unique(rolled)
+        low, high = np.searchsorted(self.value, seeds, "left"), np.searchsorted(self.value, seeds, "right")
+        sizes = high - low
+        if not sizes.any():
             return
-        # Seeds shared by text and items: for each, its place in the text and all its places in the items.
-        at, low, sizes = at[hit], low[hit], (high - low)[hit]
         index = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        owner, place, where = self.owner[index], self.place[index], np.repeat(at, sizes)
-        for item in np.unique(owner):
-            mine = owner == item
+        # Tiles are made of seeds, so what the seeds cover of an item bounds what tiles can cover.
+        touched = np.unique((self.first[self.owner[index]] + self.place[index])[:, None] + np.arange(self.length))
+        covered = np.bincount(np.searchsorted(self.first, touched, "right") - 1, minlength=len(self.items))
+        for item in np.flatnonzero((covered > 0) & (covered >= threshold * self.sizes)):
             goal = self.items[item]
-            # Tiles are made of seeds, so what the seeds cover bounds what tiles can cover.
-            touched = np.zeros(len(goal), bool)
-            for j in range(self.length):
-                touched[place[mine] + j] = True
-            if touched.sum() >= threshold * len(goal):
-                tiled, tiles = _tiled(doc, goal, where[mine], place[mine], self.length)
-                if tiled >= threshold * len(goal):
-                    yield self.ids[item], len(goal), tiled, tiles
+            tiled, tiles = _tiled(doc, goal, *self._meetings(rolled, at, goal), self.length)
+            if tiled >= threshold * len(goal):
+                yield self.ids[item], len(goal), tiled, tiles
+
+    def _meetings(self, rolled: np.ndarray, at: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The seeds that a text and one item share: each place in the text with each place in the item."""
+        value = self._rolled(goal)
+        order = np.argsort(value, kind="stable")
+        low, high = np.searchsorted(value, rolled, "left", order), np.searchsorted(value, rolled, "right", order)
+        sizes = high - low
+        index = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return np.repeat(at, sizes), order[index]
 
 
 def _tiled(doc: np.ndarray, goal: np.ndarray, where: np.ndarray, place: np.ndarray, length: int) -> tuple[int, int]:
@@ -142,12 +151,29 @@ def contaminated(
     kind = benchmark.schema[item].dataType
     schema = short.select(key).schema.add(item, kind).add("n_words", "long").add("n_tiled", "long").add("n_tiles", "long")
     types = [to_arrow_type(kind), pa.int64(), pa.int64(), pa.int64()]
-    parts = [short.mapInArrow(_finder(block, length, threshold, types, schema.names), schema) for block in _shared(docs, benchmark, length, item, item_text)]
+    parts = []
+    for block, last in _shared(docs, benchmark, length, item, item_text):
+        part = short.mapInArrow(_finder(block, length, threshold, types, schema.names), schema)
+        parts.append(part if last else staged(part, "contaminated"))
     return reduce(DataFrame.unionByName, parts) if parts else short.sparkSession.createDataFrame([], schema)
 
 
-def _shared(docs: DataFrame, benchmark: DataFrame, length: int, item: str, text: str) -> list[Broadcast]:
-    return [docs.sparkSession.sparkContext.broadcast(Block(block, length)) for block in blocks(benchmark, item, text)]
+def _shared(docs: DataFrame, benchmark: DataFrame, length: int, item: str, text: str) -> Iterator[tuple[Broadcast, bool]]:
+    """Each block of the benchmark on the executors, and whether it is the last.
+
+    All but the last leave the executors when the next is asked for, so a caller that writes its result before it
+    goes on holds one block there, whatever the size of the benchmark.
+    """
+    context = docs.sparkSession.sparkContext
+    waiting = None
+    for block in blocks(benchmark, item, text):
+        if waiting is not None:
+            held = context.broadcast(Block(waiting, length))
+            yield held, False
+            held.destroy()
+        waiting = block
+    if waiting is not None:
+        yield context.broadcast(Block(waiting, length)), True
 
 
 def _finder(block: Broadcast, length: int, threshold: float, types: list[pa.DataType], names: list[str]):
@@ -166,10 +192,14 @@ def _finder(block: Broadcast, length: int, threshold: float, types: list[pa.Data
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, length: int = 5, threshold: float = 0.6, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of `docs` that cover no benchmark item to the threshold; each row is judged where it is read."""
+    """The rows of `docs` that cover no benchmark item to the threshold; each row is judged where it is read.
+
+    A benchmark of more than one block has what each block leaves written before the next.
+    """
     kept = docs
-    for block in _shared(docs, benchmark, length, item, item_text):
-        kept = kept.filter(_untouched(block, threshold)(text_of(docs, text)))
+    for block, last in _shared(docs, benchmark, length, item, item_text):
+        kept = kept.filter(_untouched(block, threshold)(text_of(kept, text)))
+        kept = kept if last else staged(kept, "untouched")
     return kept
 
 

@@ -170,6 +170,53 @@ def test_tiles_in_any_order(spark):
     assert [len(b) for b in decontamination.blocks(benchmark, "item_id", "text", limit=1)] == [1, 1]
 
 
+def tiled_words(text, item, length=5):
+    """Greedy string tiling by trying every pair of places: the number of words of `item` that are marked."""
+    used, marked = [False] * len(text), [False] * len(item)
+    while True:
+        runs = []
+        for i in range(len(text)):
+            for j in range(len(item)):
+                n = 0
+                while i + n < len(text) and j + n < len(item) and text[i + n] == item[j + n] and not used[i + n] and not marked[j + n]:
+                    n += 1
+                runs.append((-n, i, j))
+        longest = -min(runs, default=(0,))[0]
+        if longest < length:
+            return sum(marked)
+        for _, i, j in sorted(r for r in runs if r[0] == -longest):
+            if not any(used[i : i + longest]) and not any(marked[j : j + longest]):
+                used[i : i + longest] = marked[j : j + longest] = [True] * longest
+
+
+def test_tiling_by_brute_force_in_one_block_or_many(spark, monkeypatch):
+    draw = random.Random(6)
+    items = [[draw.choice("abc") * draw.randint(1, 2) for _ in range(draw.choice((0, 3, 7, 15)))] for _ in range(12)]
+    texts = []
+    for n in range(40):
+        parts = [draw.choice(items) for _ in range(3)]
+        parts = [p[draw.randint(0, 2) :] for p in parts] + [["z"], [draw.choice("abc") for _ in range(12)]]
+        draw.shuffle(parts)
+        texts.append([w for p in parts for w in p])
+    want = set()
+    for n, text in enumerate(texts):
+        for m, item in enumerate(items):
+            tiled = tiled_words(text, item)
+            if tiled and tiled >= 0.6 * len(item):
+                want.add((n, m, tiled))
+    docs = documents(spark, [(n, " ".join(t), "a") for n, t in enumerate(texts)])
+    benchmark = spark.createDataFrame([(m, " ".join(i)) for m, i in enumerate(items)], "item_id long, text string")
+    assert want and len({n for n, _, _ in want}) < len(texts)
+    for limit in (8_000_000, 20):
+        blocks = decontamination.blocks
+        monkeypatch.setattr(decontamination, "blocks", lambda b, i, t, limit=limit: blocks(b, i, t, limit))
+        found = decontamination.contaminated(docs, benchmark)
+        assert {(r["doc_id"], r["item_id"], r["n_tiled"]) for r in found.collect()} == want
+        kept = {r["doc_id"] for r in decontamination.clean(docs, benchmark).collect()}
+        assert kept == set(range(len(texts))) - {n for n, _, _ in want}
+        monkeypatch.undo()
+
+
 # 5
 
 

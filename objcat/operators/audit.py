@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from objcat.errors import Refused
 from objcat.functions import paths, redact, units
-from objcat.operators.ordered import GROUP_ROWS, with_position
+from objcat.operators.ordered import with_position
 from objcat.schema import as_col
 
 # The canonical form of a record and the start of a chain.
@@ -58,9 +58,6 @@ EXEMPT_OPS = (
 # Places of a chain that one window group looks at.
 RUN = 4096
 
-# Largest per-chain limit for which Spark cuts every partition to the limit before it shuffles.
-SMALL_LIMIT = 1000
-
 _TEXT = ("time", "op", "result", "direction", "path", "plaintext_hash", "ciphertext_hash", "remote")
 _NUMBERS = ("size", "bytes", "objects")
 
@@ -149,11 +146,11 @@ def _is_chain_hash(col: Column) -> Column:
     return F.coalesce(units.is_hex_digest(col, "sha256"), F.lit(False))
 
 
-def positioned(log: DataFrame, chain: str, pos: str, dense: bool, group_rows: int | None = GROUP_ROWS) -> DataFrame:
+def positioned(log: DataFrame, chain: str, pos: str, dense: bool) -> DataFrame:
     """The log with `_pos`, the 0-based place of each record in its chain."""
     if dense:
         return log.withColumn("_pos", F.col(pos).cast("long"))
-    placed = with_position(log, [chain], [pos], "_pos", group_rows)
+    placed = with_position(log, [chain], [pos], "_pos")
     return placed.withColumn("_pos", F.col("_pos") - 1)
 
 
@@ -362,14 +359,16 @@ def admits(
 
 
 def audit_list(log: DataFrame, limit: int = 0, chain: str = "chain", pos: str = "pos", **window) -> DataFrame:
-    """Records that match, in order; with `limit` the last ones of each chain (0: all)."""
+    """Records that match, in order; with `limit` the last ones of each chain (0: all).
+
+    The place from which a chain is shown is found among short rows (chain, place); no record is moved for it.
+    """
     shown = log.filter(admits(**window))
-    if 0 < limit < SMALL_LIMIT:
-        last = F.row_number().over(Window.partitionBy(chain).orderBy(F.desc(pos)))
-        shown = shown.withColumn("_rank", last).filter(F.col("_rank") <= limit).drop("_rank")
-    elif limit:
-        back = with_position(shown.withColumn("_back", -F.col(pos)), [chain], ["_back"], "_rank")
-        shown = back.filter(F.col("_rank") <= limit).drop("_back", "_rank")
+    if limit:
+        back = with_position(shown.select(F.col(chain).alias("_chain"), (-F.col(pos)).alias("_back")), ["_chain"], ["_back"], "_rank")
+        first = back.filter(F.col("_rank") == limit).select("_chain", (-F.col("_back")).alias("_from"))
+        whole = shown.join(first, F.col(chain).eqNullSafe(F.col("_chain")), "left")
+        shown = whole.filter(F.col("_from").isNull() | (F.col(pos) >= F.col("_from"))).select(*[shown[c] for c in shown.columns])
     return shown.orderBy(chain, pos)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from objcat.errors import Refused
-from objcat.operators.ordered import GROUP_ROWS, with_position
+from objcat.operators.ordered import with_position
 from objcat.schema import as_col, count_where
 from objcat.session import spread
 
@@ -20,7 +20,7 @@ MAX_CHUNK = 16 * 1024 * 1024
 # Fixed value: chunks read in one go.
 READ_WINDOW = 8
 
-# Chunks one row may expand to. A larger object is first cut into blocks that other tasks can take.
+# Chunks one row may expand to: objects are first cut into blocks that other tasks can take.
 BLOCK = 65_536
 
 
@@ -49,24 +49,21 @@ def stored_end(size: Column, chunk_size: Column | int, payload_start: Column | i
 def chunk_grid(objects: DataFrame, chunk_size: int | None = None, payload_start: int = 0, block: int = BLOCK) -> DataFrame:
     """One row per chunk: index, offset and length in the object, offset and length as stored.
 
-    An object of more than `block` chunks is cut into blocks, and the blocks are spread over the cluster
-    before they are expanded, so one huge object is not one task's work. Empty objects have no chunks.
+    Objects are cut into blocks of `block` chunks, and the blocks are spread over the cluster before they are
+    expanded, so one huge object is not one task's work. Empty objects have no chunks.
     """
     size = clamp_chunk(chunk_size)
     chunk = F.lit(size).cast("long")
     counted = objects.select("object_key", "size", chunk_count("size", size).alias("_n")).filter(F.col("_n") > 0)
-    small = counted.filter(F.col("_n") <= block).select(
-        "object_key", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("chunk")
-    )
     starts = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(block).cast("long"))
-    cut = counted.filter(F.col("_n") > block).select("object_key", "size", "_n", F.explode(starts).alias("_from"))
+    cut = counted.select("object_key", "size", "_n", F.explode(starts).alias("_from"))
     upto = F.least(F.col("_from") + block, F.col("_n")) - 1
-    large = spread(cut, "object_key", "_from").select(
+    chunks = spread(cut, "object_key", "_from").select(
         "object_key", "size", F.explode(F.sequence(F.col("_from"), upto)).alias("chunk")
     )
     offset = F.col("chunk") * chunk
     length = F.least(F.col("size") - offset, chunk)
-    return small.unionByName(large).select(
+    return chunks.select(
         "object_key",
         "chunk",
         offset.alias("offset"),
@@ -112,10 +109,10 @@ def chunk_span(
     )
 
 
-def coalesce_runs(chunks: DataFrame, window: int = READ_WINDOW, group_rows: int | None = GROUP_ROWS) -> DataFrame:
+def coalesce_runs(chunks: DataFrame, window: int = READ_WINDOW) -> DataFrame:
     """(object_key, first, count): neighbouring chunk numbers as runs of at most `window` chunks."""
     distinct = chunks.select("object_key", "chunk").distinct()
-    islands = with_position(distinct, ["object_key"], ["chunk"], "_p", group_rows)
+    islands = with_position(distinct, ["object_key"], ["chunk"], "_p", _div(F.col("chunk"), _lit(BLOCK)))
     islands = islands.withColumn("_island", F.col("chunk") - F.col("_p"))
     # A run starts where its island starts, so its pieces are counted from there, not from chunk 0.
     starts = islands.groupBy("object_key", "_island").agg(

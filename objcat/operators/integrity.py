@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from objcat.errors import Refused
 from objcat.operators.chunks import FOOTER, chunk_count, stored_end
 from objcat.schema import as_col, count_where, measured_total, total_or_null, unmeasured_count
+from objcat.session import staged
 
 # Verdicts by rising severity.
 SEVERITY = {"ok": 0, "unverifiable": 1, "unreadable": 2, "missing": 3, "corrupt": 4}
@@ -119,13 +120,14 @@ def fail_fast(v: DataFrame) -> DataFrame:
 def error_budget(v: DataFrame, max_errors: int) -> DataFrame:
     """Rows up to and including the `max_errors`-th failure in path order; 0 means no limit.
 
-    The path of that failure is a top-k of the failures alone: no running count over the whole table. It is
-    fetched, one value, so that the rows are then cut by a plain comparison that can reach their source.
+    The verdicts are written once, so no body is read a second time for the cut. The path of that failure is
+    found among the failures alone: no running count over the whole table.
     """
     if max_errors < 0:
         raise Refused("max_errors must not be negative")
     if max_errors == 0:
         return v
+    v = staged(v, "verdicts")
     failed = v.filter(is_failure()).select("path").orderBy("path").limit(max_errors)
     cut = failed.agg(F.count(F.lit(1)).alias("found"), F.max("path").alias("path")).first()
     return v if cut["found"] < max_errors else v.filter(F.col("path") <= cut["path"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from objcat.errors import Refused
 from objcat.functions import paths, units
 from objcat.operators.filters import FilterSet
-from objcat.operators.ordered import GROUP_ROWS, with_position
+from objcat.operators.ordered import with_position
 from objcat.schema import beside, count_where, measured_total, total_or_null, unmeasured, unmeasured_count
 
 # Rows shown by name in a report before the rest is only counted.
@@ -150,7 +150,6 @@ def tree(
     level: int | None = None,
     dirs_only: bool = False,
     root: str = "",
-    group_rows: int | None = GROUP_ROWS,
 ) -> DataFrame:
     """One row per drawn node: path, parent, name, depth, is_dir, subtree bytes, position among siblings, is_last.
 
@@ -186,7 +185,7 @@ def tree(
         "is_dir",
         "bytes",
     )
-    numbered = with_position(nodes, ["parent"], ["name"], "position", group_rows)
+    numbered = with_position(nodes, ["parent"], ["name"], "position")
     last = nodes.groupBy("parent").agg(F.max("name").alias("_last"))
     return numbered.join(last, "parent").select(*nodes.columns, "position", (F.col("name") == F.col("_last")).alias("is_last"))
 

@@ -267,12 +267,11 @@ def apply_budget(plan: DataFrame, max_bytes: int) -> DataFrame:
     """Transfers that start before the byte budget is used up, in path order; other rows stay.
 
     The first transfer that would pass the budget stops the run, so nothing after it starts, however small.
-    Zero-byte and unmeasured transfers are charged nothing. The plan is written once and read back, so the
-    joins behind it are not run again for every step of the search.
+    Zero-byte and unmeasured transfers are charged nothing. The plan is written once, so its joins are not run
+    again for the search, which reads paths and sizes of the charged transfers alone.
     """
     plan = staged(plan, "plan")
     moving = F.col("action").isin(*TRANSFERS)
     charged = plan.filter(moving & (F.col("size") > 0)).select("dest", "size")
-    total = charged.agg(F.sum("size").alias("total")).first()["total"] or 0
-    cut = first_over_limit(charged, "dest", "size", max_bytes) if total > max_bytes else None
+    cut = first_over_limit(charged, "dest", "size", max_bytes)
     return plan if cut is None else plan.filter(~moving | (F.col("dest") < cut))

@@ -113,7 +113,7 @@ R.add(
     "chunk_runs",
     "H9",
     "catalog",
-    lambda c: chunks.coalesce_runs(integrity.sample_chunks(_objects(c), 3, 5, CHUNK), window=2, group_rows=None),
+    lambda c: chunks.coalesce_runs(integrity.sample_chunks(_objects(c), 3, 5, CHUNK), window=2),
     f"""WITH {SAMPLED}, i AS (SELECT *, chunk - row_number() OVER (PARTITION BY object_key ORDER BY chunk) AS g FROM picked),
       s AS (SELECT object_key, min(chunk) AS a, count(*) AS n FROM i GROUP BY object_key, g)
       SELECT object_key, a + k AS first, least(n - k, 2) AS count FROM s, unnest(range(0, n, 2)) AS u(k)""",

@@ -343,7 +343,7 @@ R.add(
     "tree_counts",
     "E12",
     "inv_src",
-    lambda i: listing.tree_counts(listing.tree(i, group_rows=None)),
+    lambda i: listing.tree_counts(listing.tree(i)),
     """SELECT (SELECT count(DISTINCT regexp_extract(path, '^(.*)/', 1)) + count(DISTINCT split_part(path, '/', 1)) FROM {inv_src}) AS directories,
       (SELECT count(*) FROM {inv_src}) AS files""",
 )

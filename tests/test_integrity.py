@@ -154,3 +154,12 @@ def test_a_huge_object_is_spread_before_it_is_expanded(spark):
     assert grid.count() == 5000
     per_task = [n for n in grid.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
     assert len(per_task) > 1 and max(per_task) < 5000
+
+
+def test_a_cut_run_reads_bodies_once(spark):
+    catalog = spark.createDataFrame([(f"p{i}", f"k{i}", 1, hashlib.sha256(b"x").hexdigest()) for i in range(6)], "path string, object_key string, size long, hash string")
+    store = spark.createDataFrame([(f"k{i}", b"x" if i != 3 else b"y") for i in range(6)], "object_key string, content binary")
+    cut = integrity.fail_fast(integrity.verify(catalog, store))
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "sha2" not in plan and "Join" not in plan
+    assert sorted((r["path"], r["status"]) for r in cut.collect()) == [("p0", "ok"), ("p1", "ok"), ("p2", "ok"), ("p3", "corrupt")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterable, Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -145,12 +145,20 @@ def groups(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks: int = 7,
     return prints.join(of, "fp").select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks: int = 7, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` whose key is the smallest of their component, once each.
+def one_of_each(docs: DataFrame, shingles: tuple[int, ...] = (4,), radius: int = 4, blocks: int = 7, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` whose key is the smallest of their group, once each.
 
-    Rows without a key cannot be told apart and are all kept.
+    A group is what the components by the fingerprints of any of the given shingle lengths join: a copy that one
+    length places just outside the radius is often inside by another. Only rows that have a smaller copy take
+    part in that second search, so it is short. Rows without a key cannot be told apart and are all kept.
     """
-    found = groups(docs, shingle, radius, blocks, key, text)
-    first = found.filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("_first")).distinct()
-    kept = docs.join(first, docs[key] == first["_first"], "left_semi").dropDuplicates([key])
+    links = []
+    for n in shingles:
+        found = groups(docs, n, radius, blocks, key, text).groupBy(key)
+        # A key that repeats with other texts stays if one of them is the first of its component.
+        each = found.agg(F.min("component_id").alias("first"), F.max(F.col(key) == F.col("component_id")).alias("own"))
+        links.append(each.filter(~F.col("own")).select(key, "first"))
+    grouped = connected(reduce(DataFrame.unionByName, links), key, "first")
+    gone = grouped.filter("node <> component").select(F.col("node").alias("_gone"))
+    kept = docs.filter(docs[key].isNotNull()).join(gone, docs[key] == gone["_gone"], "left_anti").dropDuplicates([key])
     return kept.unionByName(docs.filter(docs[key].isNull()))

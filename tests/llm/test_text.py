@@ -381,6 +381,24 @@ def test_groups_by_brute_force(spark, odd):
     assert simhash.groups(odd.limit(0)).count() == 0
 
 
+def test_one_of_each_joins_groups_of_several_shingle_lengths(spark):
+    both = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for n in (5, 4):
+        for r in simhash.groups(both, n).filter("component_id is not null").collect():
+            a, b = root(r["doc_id"]), root(r["component_id"])
+            parent[max(a, b)] = min(a, b)
+    kept = [r["doc_id"] for r in simhash.one_of_each(both, (5, 4)).collect()]
+    assert sorted(kept) == sorted({root(x) for x in parent})
+    assert simhash.one_of_each(both.limit(0), (5, 4)).count() == 0
+
+
 # 9
 
 

@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, by fingerprints of five-word shingles."""
-    return simhash.one_of_each(docs, shingle=5)
+    """One document of each group stays, by fingerprints of five-word and of four-word shingles."""
+    return simhash.one_of_each(docs, shingles=(5, 4))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -326,14 +327,30 @@ def audit_verdict(
     )
 
 
+def _instant(value: int | str | None, name: str, now: int | None) -> int | None:
+    if value is None or isinstance(value, int):
+        return value
+    read = units.parse_time(F.lit(value), int(time.time()) if now is None else now)
+    found = SparkSession.builder.getOrCreate().range(1).select(read.alias("at")).first()["at"]
+    if found is None:
+        raise Refused(f"{name}: {value!r} is not a time")
+    return found
+
+
 def admits(
     op: str | None = None,
     path: str | None = None,
     direction: str | None = None,
-    since: int | None = None,
-    until: int | None = None,
+    since: int | str | None = None,
+    until: int | str | None = None,
+    now: int | None = None,
 ) -> Column:
-    """Row test of an audit listing; a time that cannot be read is kept. Also valid on a stream."""
+    """Row test of an audit listing; a time that cannot be read is kept. Also valid on a stream.
+
+    `since` and `until` are Unix seconds, or text as `parse_time` reads it (`2d`, a date, an offset), counted
+    back from `now`.
+    """
+    since, until = _instant(since, "since", now), _instant(until, "until", now)
     if direction is not None and direction not in DIRECTIONS:
         raise Refused(f"direction {direction!r} is not one of {DIRECTIONS}")
     kept = F.lit(True)

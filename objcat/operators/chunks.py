@@ -135,9 +135,9 @@ def resolve_slice(
 ) -> Column:
     """struct(start, length) of a byte slice, held inside the object; a negative offset counts from the end."""
     if head is not None and tail is not None:
-        raise Refused("head and tail ask for opposite ends of the object")
+        raise Refused("only one of head and tail may be given")
     if (head is not None or tail is not None) and (offset is not None or count is not None):
-        raise Refused("head and tail cannot be combined with offset or count")
+        raise Refused("give either a head or a tail, or an offset with a count")
     if any(v is not None and v < 0 for v in (head, tail, count)):
         raise Refused("a length must not be negative")
     if head is not None:

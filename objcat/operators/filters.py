@@ -20,8 +20,7 @@ MARKERS = {"+": INCLUDE, "-": EXCLUDE}
 CLEAR = "!"
 COMMENTS = ("#", ";")
 
-# Neighbouring rules with one action that are tested one by one, and alternatives put into one expression.
-FEW_RULES = 16
+# Alternatives put into one regular expression.
 RULES_PER_REGEX = 100
 
 # Changes of action that are nested as and/or; with more of them the tests stand in one flat list.
@@ -101,7 +100,7 @@ def rule_lines(text: str) -> list[tuple[str, str] | None]:
         if action is None or (rest and not rest[0].isspace()):
             raise Refused(f"line {number}: {line!r}: a rule begins with '+ ' or '- '")
         if not rest.strip():
-            raise Refused(f"line {number}: {line!r}: the marker is not followed by a pattern")
+            raise Refused(f"line {number}: {line!r}: nothing stands after the sign")
         found.append((action, rest.strip()))
     return found
 
@@ -115,14 +114,14 @@ def pattern_lines(text: str) -> list[str]:
 def _scalar(expression: Column) -> object:
     from pyspark.sql import SparkSession
 
-    return SparkSession.getActiveSession().range(1).select(expression.alias("v")).first()["v"]
+    return SparkSession.builder.getOrCreate().range(1).select(expression.alias("v")).first()["v"]
 
 
 def _size_bound(value: int | str | None, flag: str) -> int | None:
     if value is None or isinstance(value, int):
         return value
     if value.strip() and not re.search("[A-Za-z]", value):
-        raise Refused(f"{flag}: {value!r} has no unit, and a bare number means different things to different tools")
+        raise Refused(f"{flag}: {value!r} needs a unit such as K, M or G")
     parsed = _scalar(units.parse_size(F.lit(value)))
     if parsed["problem"]:
         raise Refused(f"{flag}: {value!r} is not a size ({parsed['problem']})")
@@ -363,15 +362,17 @@ def _pick(values: list[str], number: Column) -> Column:
 
 
 def _tests(rules: list[Rule], path: Column, is_dir: Column | bool) -> list[Column]:
-    """Tests of neighbouring rules with one action: one each while they are few, else alternatives of few
-    regular expressions."""
-    if len(rules) <= FEW_RULES:
-        return [rule.predicate(path, is_dir) for rule in rules]
+    """Tests of neighbouring rules with one action, by one plan at any number: a rule that names some text is a
+    test of its own, whose part about that text can reach the scan; rules of wildcards alone are alternatives of
+    few regular expressions."""
     out = []
     for directories_only in (False, True):
         if directories_only and is_dir is False:
             continue
-        shapes = [rule.regex() for rule in rules if rule.directories_only == directories_only]
+        mine = [rule for rule in rules if rule.directories_only == directories_only]
+        apart = [rule for rule in mine if rule.matches_everything() or globs.literals(rule.pieces)]
+        out += [rule.predicate(path, is_dir) for rule in apart]
+        shapes = [rule.regex() for rule in mine if rule not in apart]
         for start in range(0, len(shapes), RULES_PER_REGEX):
             test = path.rlike("(?s)" + "|".join(f"(?:{r})" for r in shapes[start : start + RULES_PER_REGEX]))
             out.append(is_dir & test if directories_only and is_dir is not True else test)

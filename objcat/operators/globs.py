@@ -187,6 +187,22 @@ def glob_match(col: Column | str, pattern: str) -> Column:
     return whole_match(as_col(col), read_glob(pattern))
 
 
+def literals(pieces: list[tuple]) -> list[str]:
+    """Text that every match holds."""
+    return [value for kind, value in pieces if kind == "text"]
+
+
+def _guarded(col: Column, pieces: list[tuple], regex: str, from_start: bool = False) -> Column:
+    """The regular expression behind tests of the text it cannot do without: they cost little and reach the scan."""
+    test = col.rlike("(?s)" + regex)
+    last = len(pieces) - 1
+    for place, (kind, value) in reversed(list(enumerate(pieces))):
+        if kind == "text":
+            needed = col.endswith(value) if place == last else col.startswith(value) if from_start and place == 0 else col.contains(value)
+            test = needed & test
+    return test
+
+
 def whole_match(col: Column, pieces: list[tuple]) -> Column:
     kinds = [k for k, _ in pieces]
     texts = [v for k, v in pieces if k == "text"]
@@ -200,7 +216,7 @@ def whole_match(col: Column, pieces: list[tuple]) -> Column:
         return col.endswith(texts[0])
     if kinds == [GLOBSTAR, "text", GLOBSTAR]:
         return col.contains(texts[0])
-    return col.rlike(rf"(?s)\A{pieces_regex(pieces)}\z")
+    return _guarded(col, pieces, rf"\A{pieces_regex(pieces)}\z", from_start=True)
 
 
 def name_match(col: Column, pieces: list[tuple]) -> Column:
@@ -213,7 +229,7 @@ def name_match(col: Column, pieces: list[tuple]) -> Column:
         return col.isNotNull()
     if kinds in ([STAR, "text"], [GLOBSTAR, "text"]):
         return col.endswith(texts[0])
-    return col.rlike(rf"(?s)(?:\A|/){pieces_regex(pieces, one_component=True)}\z")
+    return _guarded(col, pieces, rf"(?:\A|/){pieces_regex(pieces, one_component=True)}\z")
 
 
 def suffix_match(col: Column, pieces: list[tuple]) -> Column:
@@ -226,7 +242,7 @@ def suffix_match(col: Column, pieces: list[tuple]) -> Column:
         return col.startswith(texts[0]) | col.contains("/" + texts[0])
     if kinds == [GLOBSTAR, "text"]:
         return col.endswith(texts[0])
-    return col.rlike(rf"(?s)\A(?:.*/)?(?:{pieces_regex(pieces)})\z")
+    return _guarded(col, pieces, rf"\A(?:.*/)?(?:{pieces_regex(pieces)})\z")
 
 
 def composed(pattern: str) -> str:

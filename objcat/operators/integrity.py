@@ -146,6 +146,14 @@ def scrub_sample(inv: DataFrame, percent: int, seed: int) -> DataFrame:
     return inv if percent == 100 else inv.filter(scrub_bucket("path", seed) < percent)
 
 
+def scrub(catalog: DataFrame, store: DataFrame, percent: int, seed: int, algo: str = "sha256") -> DataFrame:
+    """`verify` over the sampled share of the catalog. Only stored objects that the sample names are read and hashed."""
+    sampled = scrub_sample(catalog, percent, seed)
+    keys = sampled.select(F.col("object_key").alias("_wanted")).distinct()
+    named = store.join(keys, store["object_key"] == keys["_wanted"], "left_semi")
+    return verify(sampled, named, algo)
+
+
 def scrub_report(inv: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Coverage and grade of a scrub: `verdicts` (path, status, optional repaired) over a sample of `inv`."""
     repaired = F.coalesce(F.col("repaired"), F.lit(False)) if "repaired" in verdicts.columns else F.lit(False)

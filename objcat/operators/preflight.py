@@ -108,32 +108,44 @@ def collision_members(names: DataFrame) -> DataFrame:
     return candidates.select("logical", "native").join(nfc_collisions(candidates), "logical")
 
 
-def severity(problem: Column | str, issue: Column | str, audience: str = "any", windows: bool = False) -> Column:
-    """blocking or portability for an audience (`any` platform, or `here`); control characters always block."""
+def severity(
+    problem: Column | str, issue: Column | str, audience: str = "any", windows: bool = False, ignores_case: bool | None = None
+) -> Column:
+    """blocking or portability for an audience (`any` platform, or `here`); control characters always block.
+
+    `ignores_case` says whether names that differ in case are one file on this host (as on `windows`, unless said
+    otherwise): there a case collision blocks, whatever else the host allows.
+    """
     if audience not in ("any", "here"):
         raise Refused(f"audience {audience!r} is neither 'any' nor 'here'")
     problem, issue = as_col(problem), as_col(issue)
     always = problem.isin(TYPE_CONFLICT, NORMALISATION) | ((problem == ILLEGAL_NAME) & (issue == "control"))
-    local = F.lit(audience == "here" and windows)
-    return F.when(always | local, BLOCKING).otherwise(PORTABILITY)
+    folds = windows if ignores_case is None else ignores_case
+    local = F.when(problem == CASE, F.lit(folds)).otherwise(F.lit(windows))
+    return F.when(always | (F.lit(audience == "here") & local), BLOCKING).otherwise(PORTABILITY)
 
 
 _ISSUE_TEXT = {
-    "illegal-char": "contains a character Windows does not allow in a file name: ",
-    "reserved": "is a reserved Windows device name: ",
-    "trailing": "ends with a dot or space, which Windows strips",
-    "control": "contains control character ",
+    "illegal-char": "not allowed in Windows file names: ",
+    "reserved": "names a Windows device: ",
+    "trailing": "loses its last dot or space on Windows",
+    "control": "holds the control character ",
 }
 
 
 def preflight(
-    inv: DataFrame, root: str = "", audience: str = "any", windows: bool = False, names: DataFrame | None = None
+    inv: DataFrame,
+    root: str = "",
+    audience: str = "any",
+    windows: bool = False,
+    names: DataFrame | None = None,
+    ignores_case: bool | None = None,
 ) -> DataFrame:
     """Every finding (path, problem, severity, detail), without duplicates, in order."""
     texts = F.create_map(*[F.lit(x) for pair in _ISSUE_TEXT.items() for x in pair])
 
     def rows(df: DataFrame, problem: str, detail: Column, issue: Column = F.lit("")) -> DataFrame:
-        level = severity(F.lit(problem), issue, audience, windows)
+        level = severity(F.lit(problem), issue, audience, windows, ignores_case)
         return df.select("path", F.lit(problem).alias("problem"), level.alias("severity"), detail.alias("detail"))
 
     found = rows(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from objcat.errors import Refused
@@ -116,44 +116,37 @@ def confirm(inv: DataFrame, store_keys: DataFrame) -> DataFrame:
 def compare_manifest(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """identical / differing / missing / unexpected / respelled per path (rows: path, size, hash).
 
-    A path absent under its own spelling is looked up by its composed form, first in path order.
+    A path absent under its own spelling is looked up by its composed form, first in path order. One outer join
+    and one window over the spellings of a form: each side is read once.
     """
     e = expected.select(*[F.col(c).alias("e_" + c) for c in ("path", "size", "hash")])
     a = actual.select(*[F.col(c).alias("a_" + c) for c in ("path", "size", "hash")])
-
-    def equal(x: str, y: str) -> Column:
-        return F.col(x + "size").eqNullSafe(F.col(y + "size")) & F.col(x + "hash").eqNullSafe(F.col(y + "hash"))
-
     paired = e.join(a, e["e_path"] == a["a_path"], "full_outer")
-    exact = paired.filter(F.col("e_path").isNotNull() & F.col("a_path").isNotNull()).select(
-        F.col("e_path").alias("path"),
-        F.col("a_path").alias("restored_as"),
-        F.when(equal("e_", "a_"), "identical").otherwise("differing").alias("status"),
-    )
-    lost = paired.filter(F.col("a_path").isNull()).select("e_path", "e_size", "e_hash")
-    lost = lost.withColumn("form", nfc("e_path"))
-    spellings = (
-        actual.select("path", "size", "hash", nfc("path").alias("form"))
-        .groupBy("form")
-        .agg(F.min_by(F.struct("path", "size", "hash"), "path").alias("f"))
-        .select("form", *[F.col("f." + c).alias("f_" + c) for c in ("path", "size", "hash")])
-    )
-    second = lost.join(spellings, "form", "left").select(
-        F.col("e_path").alias("path"),
-        F.col("f_path").alias("restored_as"),
-        F.when(F.col("f_path").isNull(), "missing")
-        .when(equal("e_", "f_"), "respelled")
-        .otherwise("differing")
-        .alias("status"),
+    listed, there = F.col("e_path").isNotNull(), F.col("a_path").isNotNull()
+
+    spellings = Window.partitionBy("form")
+    found = F.when(there, F.struct(*[F.col("a_" + c).alias(c) for c in ("path", "size", "hash")]))
+    seen = paired.withColumn("form", nfc(F.coalesce("e_path", "a_path"))).select(
+        "*",
+        F.min(found).over(spellings).alias("f"),
+        F.max(listed & ~there).over(spellings).alias("sought"),
     )
-    taken = second.filter(F.col("restored_as").isNotNull()).select(F.col("restored_as").alias("a_path"))
-    extra = (
-        paired.filter(F.col("e_path").isNull())
-        .select("a_path")
-        .join(taken, "a_path", "left_anti")
-        .select(F.col("a_path").alias("path"), F.col("a_path").alias("restored_as"), F.lit("unexpected").alias("status"))
+
+    def equal(size: str, digest: str) -> Column:
+        return F.col("e_size").eqNullSafe(F.col(size)) & F.col("e_hash").eqNullSafe(F.col(digest))
+
+    status = (
+        F.when(listed & there, F.when(equal("a_size", "a_hash"), "identical").otherwise("differing"))
+        .when(listed & F.col("f").isNull(), "missing")
+        .when(listed, F.when(equal("f.size", "f.hash"), "respelled").otherwise("differing"))
+        # The spelling that stands for a path not found under its own is no surprise.
+        .when(~(F.col("sought") & (F.col("a_path") == F.col("f.path"))), "unexpected")
     )
-    return exact.unionByName(second).unionByName(extra)
+    return seen.select(
+        F.coalesce("e_path", "a_path").alias("path"),
+        F.when(there, F.col("a_path")).otherwise(F.col("f.path")).alias("restored_as"),
+        status.alias("status"),
+    ).filter("status is not null")
 
 
 def superseded(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -47,12 +47,9 @@ def backup_plan(native: DataFrame, target: str, filters: FilterSet = FilterSet()
 
 def backup_counts(native: DataFrame, filters: FilterSet = FilterSet()) -> DataFrame:
     """Files seen, filtered out, and refused for their name."""
-    scanned = scan_native(native)
-    admitted = filters.admitted(scanned) if filters.only is None else None
-    if admitted is None:
-        raise Refused("a path list is joined, not counted in one pass; count the admitted plan instead")
+    scanned = filters.flag(scan_native(native), "_kept")
     pruned = filters.pruned_above(F.col("path"))
-    kept = admitted if pruned is None else admitted & ~pruned
+    kept = F.col("_kept") if pruned is None else F.col("_kept") & ~pruned
     good = F.col("problem").isNull()
     return scanned.agg(
         F.count(F.lit(1)).alias("seen"),

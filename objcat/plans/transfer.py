@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from objcat.errors import Refused
+from objcat.functions import paths
 from objcat.operators.ordered import first_over_limit
 from objcat.plans.compare import DEFAULT_WINDOW, side, within
 from objcat.schema import beside, count_where
@@ -237,6 +238,13 @@ def ensure_immutable(plan: DataFrame) -> DataFrame:
     return plan
 
 
+def ensure_apart(source: str, destination: str) -> None:
+    """A refusal where one root is the other or lies inside it: such a run would read what it writes."""
+    a, b = (paths.components_of(root.rstrip("/")) for root in (source, destination))
+    if a[: len(b)] == b or b[: len(a)] == a:
+        raise Refused(f"{source!r} and {destination!r} overlap")
+
+
 def empty_source(plan: DataFrame) -> DataFrame:
     """Whether the plan comes from an empty source and still deletes something."""
     action = F.col("action")

@@ -73,7 +73,7 @@ R.add(
     "H6",
     PAIR,
     lambda c, s: integrity.scrub_report(
-        c, integrity.scrub_sample(_verify(c, s), 40, 7).withColumn("repaired", F.col("status") == "unreadable")
+        c, integrity.scrub(c, s, 40, 7, "md5").withColumn("repaired", F.col("status") == "unreadable")
     ),
     f"""WITH v AS ({VERIFY_SQL}), p AS (SELECT *, {BUCKET} < 40 AS seen FROM v), j AS (SELECT p.*, c.size AS recorded FROM p JOIN {{recorded}} AS c ON c.path = p.path)
       SELECT count(*) FILTER (seen) AS scanned, count(*) FILTER (NOT seen) AS skipped, count(*) FILTER (seen AND status = 'ok') AS healthy,

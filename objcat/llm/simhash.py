@@ -152,13 +152,18 @@ def one_of_each(docs: DataFrame, shingles: tuple[int, ...] = (4,), radius: int =
     length places just outside the radius is often inside by another. Only rows that have a smaller copy take
     part in that second search, so it is short. Rows without a key cannot be told apart and are all kept.
     """
-    links = []
+    named = []
     for n in shingles:
         found = groups(docs, n, radius, blocks, key, text).groupBy(key)
         # A key that repeats with other texts stays if one of them is the first of its component.
-        each = found.agg(F.min("component_id").alias("first"), F.max(F.col(key) == F.col("component_id")).alias("own"))
-        links.append(each.filter(~F.col("own")).select(key, "first"))
-    grouped = connected(reduce(DataFrame.unionByName, links), key, "first")
-    gone = grouped.filter("node <> component").select(F.col("node").alias("_gone"))
+        own = F.max(F.col(key) == F.col("component_id"))
+        named.append(found.agg(F.when(own, F.col(key)).otherwise(F.min("component_id")).alias("first")).filter(F.col(key).isNotNull()))
+    firsts = reduce(DataFrame.unionByName, named).groupBy(key).agg(F.min("first").alias("least"), F.collect_set("first").alias("firsts"))
+    firsts = staged(firsts, "firsts")
+    # Edges between components, not documents: all copies of a text are one edge at most.
+    edges = firsts.select("least", F.explode("firsts").alias("other")).filter("least <> other").distinct()
+    joined = connected(edges, "least", "other")
+    last = firsts.join(joined, firsts["least"] == joined["node"], "left")
+    gone = last.filter(F.coalesce("component", "least") != F.col(key)).select(F.col(key).alias("_gone"))
     kept = docs.filter(docs[key].isNotNull()).join(gone, docs[key] == gone["_gone"], "left_anti").dropDuplicates([key])
     return kept.unionByName(docs.filter(docs[key].isNull()))

@@ -34,7 +34,7 @@ WIDE = {
 }
 WIDE_NEEDED = {"email": r"@|(?:at|AT)[\])]", "ip": r"[0-9A-Fa-f][.:]+[0-9A-Fa-f]", "card": r"[0-9]{3}", "phone": r"[0-9]{2}"}
 HINTS = r"(?i)(?:mail|contact|write to|\bip\b|host|server|addr|card|visa|credit|pay|tel|phone|call|fax|mobile|cell)\W*\w{0,8}\W*$"
-OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 
 def _found(text: Column, pattern: str, needed: str) -> Column:

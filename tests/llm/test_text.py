@@ -131,6 +131,13 @@ def test_base_spans_by_brute_force(spark):
         assert r["base"] == r["spans"] == base_by_hand((made + [""])[r["doc_id"]])
 
 
+def test_addresses_with_parts_of_zero(spark):
+    made = ["0.0.0.0", "10.0.0.1", "at 8.8.8.0.", "127.0.0.1 00.000.0.0255", "192.168.0.5", "0.0.0.256", "00.0.0.0300", "1.0.0", "0" * 4_000 + ".0.0.0"]
+    found = pii.spans(documents(spark, [(i, t, "a") for i, t in enumerate(made)]), pii.Model()).select("doc_id", pii.listed(F.col("base")).alias("base")).collect()
+    assert all(r["base"] == base_by_hand(made[r["doc_id"]]) for r in found)
+    assert sum(r["base"].count("ip:") for r in found) == 7
+
+
 def test_trees_add_what_looks_alike(spark):
     def row(half, real, n, **values):
         return dict.fromkeys(pii.FEATURES, 0) | {"half": half, "real": real, "n": n} | values

@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from objcat.llm import similar
 from objcat.llm.common import slices, text_of, texts
 from objcat.llm.components import connected
 from objcat.session import staged
@@ -145,16 +146,20 @@ def groups(docs: DataFrame, shingle: int = 4, radius: int = 4, blocks: int = 7,
     return prints.join(of, "fp").select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingles: tuple[int, ...] = (4,), radius: int = 4, blocks: int = 7, key: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, shingles: tuple[int, ...] = (4,), radius: int = 4, blocks: int = 7, key: str = "doc_id", text: str = "text", percent: int | None = None) -> DataFrame:
     """The rows of `docs` whose key is the smallest of their group, once each.
 
     A group is what the components by the fingerprints of any of the given shingle lengths join: a copy that one
-    length places just outside the radius is often inside by another. Only rows that have a smaller copy take
-    part in that second search, so it is short. Rows without a key cannot be told apart and are all kept.
+    length places just outside the radius is often inside by another. With `percent`, all texts that share so much of
+    their five-word shingles are joined too, by exact similarity. Only rows that have a smaller copy take
+    part in that last search, so it is short. Rows without a key cannot be told apart and are all kept.
     """
+    ways = [groups(docs, n, radius, blocks, key, text) for n in shingles]
+    if percent is not None:
+        ways.append(similar.groups(docs, 5, percent, key, text))
     named = []
-    for n in shingles:
-        found = groups(docs, n, radius, blocks, key, text).groupBy(key)
+    for way in ways:
+        found = way.groupBy(key)
         # A key that repeats with other texts stays if one of them is the first of its component.
         own = F.max(F.col(key) == F.col("component_id"))
         named.append(found.agg(F.when(own, F.col(key)).otherwise(F.min("component_id")).alias("first")).filter(F.col(key).isNotNull()))

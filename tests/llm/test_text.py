@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from objcat.llm import components, decontamination, licenses, lines, mixing, pages, pii, rules, simhash, tokens, urls
+from objcat.llm import components, decontamination, licenses, lines, mixing, pages, pii, rules, similar, simhash, tokens, urls
 from objcat.session import scratch_folder
 
 EXTRA = "id string, row string, copy string, place string, kind string, n_words string, kept string, spans string, fingerprint string, base string, _text string"
@@ -406,6 +406,42 @@ def test_one_of_each_joins_groups_of_several_shingle_lengths(spark):
     assert simhash.one_of_each(both.limit(0), (5, 4)).count() == 0
 
 
+def test_similar_texts_by_brute_force(spark, monkeypatch):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    draw = random.Random(8)
+    bases = [[draw.choice("abcdefghijkl") * draw.randint(1, 5) for _ in range(draw.randint(30, 200))] for _ in range(6)]
+    made = []
+    for i in range(90):
+        w = list(bases[i % 6])
+        for _ in range(draw.randint(0, 4)):
+            w[draw.randrange(len(w))] = f"new{draw.randrange(10**6)}"
+        made.append(" ".join(w[: draw.randint(len(w) * 3 // 4, len(w))]) + " one line that all of these documents have")
+    made += ["", " ", "one", "ONE", "one two three four", "a b c d e", "a b c d e a b c d e", "a b c d e a b c d e a b c d e"]
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := t.lower().split()) else frozenset() for t in made]
+    parent = list(range(len(made)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    far = 0
+    for b in range(len(made)):
+        for a in range(b):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+                far += min((print_by_hand(made[a], n) ^ print_by_hand(made[b], n)).bit_count() for n in (4, 5)) > 4
+    assert far > 20  # pairs that no fingerprint of the stage finds
+    docs = documents(spark, [(i, t, "a") for i, t in enumerate(made)] + [(None, made[0], "a"), (3, made[3], "a")])
+    for most in (100_000, 0):  # the order of the shingles changes nothing
+        monkeypatch.setattr(similar, "COMMON", most)
+        got = {(r["doc_id"], r["component_id"]) for r in similar.groups(docs).collect()}
+        assert got == {(i, root(i)) for i in range(len(made))}
+    left = [r["doc_id"] for r in pipeline.near_duplicates(spark, docs, "").collect()]
+    assert None in left and {i for i in left if i is not None} <= {root(i) for i in range(len(made))} and len(left) == len(set(left))
+    assert similar.groups(docs.limit(0)).count() == 0
+
+
 # 9
 
 

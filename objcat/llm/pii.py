@@ -34,6 +34,7 @@ WIDE = {
 }
 WIDE_NEEDED = {"email": r"@|(?:at|AT)[\])]", "ip": r"[0-9A-Fa-f][.:]+[0-9A-Fa-f]", "card": r"[0-9]{3}", "phone": r"[0-9]{2}"}
 HINTS = r"(?i)(?:mail|contact|write to|\bip\b|host|server|addr|card|visa|credit|pay|tel|phone|call|fax|mobile|cell)\W*\w{0,8}\W*$"
+WHOLE_IPV6 = r"::|\A(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\z"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 
@@ -108,7 +109,7 @@ def _candidates(text: Column) -> Column:
                 F.least(F.length(digits), F.lit(20)).alias("digits"),
                 F.least(F.size(F.split(match, r"[^A-Za-z0-9]+", -1)), F.lit(9)).alias("groups"),
                 F.size(F.array_distinct(F.split(F.regexp_replace(match, r"[A-Za-z0-9]", ""), ""))).cast("int").alias("mixed"),
-                F.when(match.rlike(r"@[^@]+\."), 3).when(match.contains("@"), 2).when(match.rlike(r"[\[(]"), 1).otherwise(0).alias("mark"),
+                F.when(match.rlike(WHOLE_IPV6), 4).when(match.rlike(r"@[^@]+\."), 3).when(match.contains("@"), 2).when(match.rlike(r"[\[(]"), 1).otherwise(0).alias("mark"),
                 _near(F.substring(text, m["start"], F.when(m["start"] > 0, F.lit(1)).otherwise(F.lit(0)))).alias("before"),
                 _near(F.substring(text, m["end"] + 1, F.lit(1))).alias("after"),
                 lead.rlike(HINTS).cast("int").alias("hint"),
@@ -120,6 +121,15 @@ def _candidates(text: Column) -> Column:
     return F.concat(*[of(kind) for kind in KINDS])
 
 
+def _likely(c: Column) -> Column:
+    """Whether a wider candidate shows what it is by more than its format: a spelt-out sign, a check digit or the word before it."""
+    spelt = (c["kind"] == 0) & (c["mark"] == 1) & (c["groups"] >= 5)
+    address = (c["kind"] == 1) & (c["mark"] == 4)
+    card = (c["kind"] == 2) & (c["luhn"] == 1) & (c["hint"] == 1) & c["digits"].between(13, 19)
+    phone = (c["kind"] == 3) & (c["hint"] == 1) & c["digits"].between(10, 15)
+    return spelt | address | card | phone
+
+
 def _near(c: Column) -> Column:
     """What the neighbouring character is: none or space 0, + 1, letter 2, digit 3, = or quote 4, other 5."""
     return (
@@ -178,8 +188,9 @@ def _leaf(node: Split | float, cells: dict[str, np.ndarray]) -> np.ndarray:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", bound: int = FITTED, rounds: int = 30, depth: int = 3, precision: float = 0.9) -> Model:
     """Fit on about `bound` documents (all, if there are fewer), picked by the hash of their keys.
 
-    A candidate that covers exactly the place of a base span of its kind counts as personal data, any other as
-    not: the fixed patterns label, the trees learn what such places look like from format and context. Equal
+    A candidate that overlaps a base span of its kind counts as personal data, and so does one that overlaps none
+    but shows what it is by a spelt-out sign, a check digit or the word before it: the trees learn what places look like
+    beyond the fixed patterns. Thresholds are set on candidates that overlap no base span, as only those can be added. Equal
     candidates are counted by Spark, and only the counts come to the driver; the features have few values, so
     their number is bounded, whatever the corpus. Half of the documents set the calibration and thresholds.
     """
@@ -190,15 +201,20 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", bound: int = F
     found = whole.select("half", base_spans(F.col("text")).alias("base"), _candidates(F.col("text")).alias("wide"))
     found = found.select("half", "base", F.explode("wide").alias("c"))
     grown = F.exists("base", lambda b: (b["kind"] == F.col("c")["kind"]) & _overlap(b, F.col("c")))
-    cells = found.select("half", grown.cast("int").alias("real"), *[F.col("c")[f].alias(f) for f in FEATURES])
-    rows = cells.groupBy("half", "real", *FEATURES).agg(F.count(F.lit(1)).alias("n")).collect()
+    free = ~F.exists("base", lambda b: _overlap(b, F.col("c")))
+    real = grown | (free & _likely(F.col("c")))
+    cells = found.select("half", real.cast("int").alias("real"), free.cast("int").alias("free"), *[F.col("c")[f].alias(f) for f in FEATURES])
+    rows = cells.groupBy("half", "real", "free", *FEATURES).agg(F.count(F.lit(1)).alias("n")).collect()
     return boosted([r.asDict() for r in rows], rounds, depth, precision)
 
 
 def boosted(rows: list[dict], rounds: int = 30, depth: int = 3, precision: float = 0.9, rate: float = 0.3) -> Model:
-    """Logistic boosting over counted cells; the other half calibrates (Platt) and sets each kind's threshold."""
-    rows = sorted(rows, key=lambda r: tuple(r[f] for f in ("half", "real", *FEATURES)))
-    cells = {f: np.array([r[f] for r in rows], int) for f in ("half", "real", "n", *FEATURES)}
+    """Logistic boosting over counted cells; the other half calibrates (Platt) and sets each kind's threshold.
+
+    Rows with `free` 0 overlap a base span: they teach, but set no threshold.
+    """
+    rows = sorted(({"free": 1} | r for r in rows), key=lambda r: tuple(r[f] for f in ("half", "real", "free", *FEATURES)))
+    cells = {f: np.array([r[f] for r in rows], int) for f in ("half", "real", "free", "n", *FEATURES)}
     train = cells["half"] == 0
     model = Model(least=dict.fromkeys(KINDS))
     y, n = cells["real"].astype(float), cells["n"].astype(float)
@@ -222,7 +238,7 @@ def boosted(rows: list[dict], rounds: int = 30, depth: int = 3, precision: float
     model.scale = (a, b)
     chance = 1 / (1 + np.exp(-(a * total + b)))
     for k, kind in enumerate(KINDS):
-        mine = ~train & (cells["kind"] == k)
+        mine = ~train & (cells["kind"] == k) & (cells["free"] == 1)
         for level in np.unique(chance[mine]):
             over = mine & (chance >= level)
             if level >= 0.5 and (y * n)[over].sum() >= max(5, precision * n[over].sum()):

@@ -152,6 +152,26 @@ def test_trees_add_what_looks_alike(spark):
     assert pii.boosted([]).least == dict.fromkeys(pii.KINDS)
 
 
+def test_trees_add_planted_places_beyond_the_patterns(spark):
+    draw = random.Random(6)
+    number = lambda n: "".join(draw.choice("123456789") for _ in range(n))
+    planted, rows = {}, []
+    for i in range(400):
+        kind, what = [
+            ("email", f"name{number(2)} [at] host{number(1)} [dot] org"),
+            ("ip", ":".join(f"{draw.randrange(16**4):04x}" for _ in range(8))),
+            ("phone", f"{number(3)} {number(3)} {number(4)}"),
+            ("email", f"name{number(2)}@host.org"),
+            (None, f"{number(3)} {number(2)}"),
+        ][i % 5]
+        before = {"phone": "call ", "ip": "from "}.get(kind, "see ")
+        planted[i] = f"{kind}:{len(before)}:{len(before) + len(what)}" if kind else ""
+        rows.append((i, f"{before}{what} soon", "a"))
+    docs = documents(spark, rows)
+    got = {r["doc_id"]: r["s"] for r in pii.spans(docs, pii.fit(docs)).select("doc_id", pii.listed(F.col("spans")).alias("s")).collect()}
+    assert got == planted
+
+
 def test_redaction_keeps_everything_else(spark, odd):
     docs = documents(spark, [(1, "é a@b.cd and no. 4111 1111 1111 1111", "a"), (2, None, "a"), (3, "plain", None)])
     rows = {r["doc_id"]: r for r in pii.clean(docs).collect()}

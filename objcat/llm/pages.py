@@ -35,44 +35,56 @@ CLOSES = {  # a start tag ends these open elements, unless one of the third kind
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Elements that are never part of the main text.
 NEVER = frozenset(
-    "head script style template noscript title iframe object embed applet canvas svg math audio video map nav footer aside form button select "
+    "head script style template noscript title iframe object embed applet canvas svg annotation annotation-xml audio video map nav footer aside form button select "
     "textarea input label fieldset dialog menu search".split()
 )
-# Words of class, id and role that name what surrounds a main text.
+# Words of class, id and role that name what surrounds a main text, and words that may stand beside them in one name. A name
+# with any other word in it (has-sidebar, related-work, hidden-xs) says nothing.
 AROUND = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|nav|navbar|navigation|menu|menubar|"
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|nav|navbar|navigation|menu|menubar|"
     r"breadcrumbs?|sidebar|side|complementary|contentinfo|footer|masthead|comments?|commentlist|disqus|replies|reply|respond|share|sharing|social|related|recommended|"
-    r"newsletter|subscribe|subscription|signup|login|search|pagination|pager|widget|toolbar|skip|hidden)(?:$|[\s_-])"
+    r"newsletter|subscribe|subscription|signup|login|search|pagination|pager|widget|toolbar|skip|hidden"
 )
+BESIDE = re.compile(r"site|page|posts?|articles?|stories|links?|buttons?|icons?|list|items?|box|bar|block|area|section|container|wrapper|wrap|inner|form|policy|primary|secondary|main|top|bottom|to|content|\d*")
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s"'/]|$)""", re.I | re.S)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "out", "marks", "chars", "tags", "linked", "links", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "out", "marks", "chars", "tags", "linked", "links", "density", "total", "named")
 
     def __init__(self, tag: str, parent: Node | None, out: bool, marks: str = ""):
         self.tag, self.parent, self.out, self.marks = tag, parent, out, marks
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.linked = self.links = 0
         self.density = self.total = 0.0
+        self.named = False  # as what surrounds a main text
 
 
-def _left_out(tag: str, attributes: str, parent: Node) -> tuple[bool, str]:
+def _surrounds(value: str) -> bool:
+    """Whether one of the names in a class, id or role is made of words for surroundings, as a whole."""
+    for name in value.split():
+        parts = re.split("[_-]+", name)
+        if any(AROUND.fullmatch(p) for p in parts) and all(AROUND.fullmatch(p) or BESIDE.fullmatch(p) for p in parts):
+            return not ("main" in parts and "content" in parts and "skip" not in parts)
+    return False
+
+
+def _left_out(tag: str, attributes: str, parent: Node) -> tuple[bool, bool, str]:
+    """Whether an element is out, whether it is named as surroundings, and its marks."""
     if tag in NEVER:
-        return True, ""
+        return True, False, ""
     if tag == "header" and not _inside(parent, ("article", "main")):
-        return True, ""
-    marks = ""
+        return True, False, ""
+    marks, named = "", False
     for name, value in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True, ""
-        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and AROUND.search(value):
-            return True, ""
+            return True, False, ""
+        named = named or name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and _surrounds(value)
         marks += f" {name}={value}"
-    return False, marks
+    return False, named, marks
 
 
 def _inside(node: Node | None, tags: Iterable[str]) -> bool:
@@ -132,8 +144,9 @@ def parse(html: str) -> Node:
             here = here.parent
         if tag in BLOCK and here.tag == "head" and here.parent is not None:
             here = here.parent
-        out, marks = _left_out(tag, attributes, here)
+        out, named, marks = _left_out(tag, attributes, here)
         node = Node(tag, here, out or here.out, marks)
+        node.named = named
         here.parts.append(node)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
@@ -144,9 +157,38 @@ def parse(html: str) -> Node:
             at = end.end() if end else size
             continue
         here = node
+    _leave_out_named(root)
     return root
 
 
+def _leave_out_named(root: Node) -> None:
+    """Leave out what is named as surroundings, unless it holds most of the page's text outside links.
+
+    Where an article or main has a twentieth of that text outside of it, it surrounds all the same, like long comments.
+    """
+    nodes = _order(root)
+    if not any(n.named for n in nodes):
+        return
+    at = {id(n): i for i, n in enumerate(nodes)}
+    plain, last = [0] * len(nodes), list(range(len(nodes)))  # of each node, its text outside links and the last node inside it
+    for i in reversed(range(len(nodes))):
+        for part in nodes[i].parts:
+            if isinstance(part, str):
+                plain[i] += len(" ".join(part.split()))
+            elif not part.out:
+                plain[i] += plain[at[id(part)]]
+                last[i] = max(last[i], last[at[id(part)]])
+        if nodes[i].tag == "a":
+            plain[i] = 0
+    for i, node in enumerate(nodes):
+        node.out = node.named and 2 * plain[i] <= plain[0]
+    bodies = [at[id(n)] for n in _order(root) if n.tag in ("article", "main")]
+    for i, node in enumerate(nodes):
+        if node.named and not node.out:
+            beside = [plain[k] - plain[i] * (last[k] >= i > k) for k in bodies if not i <= k <= last[i]]
+            node.out = any(b > 0 and 20 * b >= plain[0] for b in beside)
+
+
 def _order(root: Node) -> list[Node]:
     """All nodes that may count, parents first."""
     out, stack = [], [root]

@@ -346,6 +346,16 @@ def test_main_text():
     assert pages.main_text(deep) == "text"
 
 
+def test_layout_names_do_not_take_the_text():
+    story = "".join(f"<p>Sentence {i} of the story, with many words to read and no link in it at all.</p>" for i in range(5))
+    for mark in ("class='container has-sidebar'", "class=no-sidebar", "class='main-content right-side'", "class='row hidden-xs'", "class=widget", "id=search"):
+        page = f"<body><div class=menu><a href=a>a</a> <a href=b>b</a></div><div {mark}><div>{story}</div></div><div class=site-footer>All rights</div></body>"
+        assert pages.main_text(page).count("Sentence") == 5 and "rights" not in pages.main_text(page), mark
+    page = f"<article>{story}<section id='related-work'><p>Others did so too.</p></section><div id='share-prices'><p>They fell.</p></div><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math>.</p>"
+    got = pages.main_text(page + "<div class='related-posts'><p>More</p></div><div class='share-buttons'><p>Post it</p></div><section id=comments>" + "<p>I have a lot to say about it.</p>" * 90 + "</section></article>")
+    assert got.split("\n")[5:] == ["Others did so too.", "They fell.", "So x=2."]
+
+
 def test_pages_with_odd_rows(spark):
     frame = spark.createDataFrame([(1, "u", "<p>a  b</p>", "x"), (2, None, None, "x"), (1, "u", "<p>a  b</p>", "x"), (None, "v", "", "x")], "page_id long, url string, html string, text string")
     got = pages.extract(frame).collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from objcat.llm import decontamination, licenses, lines, mixing, pages, pii, rules, simhash, tokens, urls
+from objcat.llm import decontamination, licenses, lines, mixing, negatives, pages, pii, rules, simhash, tokens, topk, trie, urls
 from objcat.llm.common import table
 from objcat.queries.fixtures import Registry
 from objcat.session import staged
@@ -102,3 +102,81 @@ def _rules(spark, sf: str) -> DataFrame:
 R.add_run("op9_quality_rules", "llm9", _rules, None)
 
 R.add_run("op10_token_counts", "llm10", lambda spark, sf: tokens.document_counts(table(spark, sf, "documents")), None)
+
+R.add_run(
+    "op11_prefix_trie",
+    "llm11",
+    lambda spark, sf: trie.prefix_trie(table(spark, sf, "conversations")),
+    """
+    WITH said AS (
+      SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS pos
+      FROM conversations WHERE conv_id IS NOT NULL),
+    convs AS (
+      SELECT c, c - c % 100 AS base, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(c::VARCHAR, ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda acc, e: CASE WHEN e >= 0 THEN xor(acc, e) ELSE xor(acc >> 1, CASE WHEN acc & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295) % 6 AS h
+      FROM (SELECT DISTINCT c FROM said)),
+    parts AS (
+      SELECT v.c, 0 AS part, s.pos, s.role, s.text FROM convs AS v JOIN said AS s ON s.c = v.base AND s.pos <= v.h
+      UNION ALL SELECT v.c, 1, s.pos, s.role, s.text FROM convs AS v JOIN said AS s ON s.c = v.c AND s.pos > v.h),
+    whole AS (SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS depth FROM parts),
+    prefixes AS (
+      SELECT c, depth, length(text) AS chars, string_agg(sha256(concat(length(role), ':', role, text)), ' ') OVER (PARTITION BY c ORDER BY depth) AS path FROM whole
+      UNION ALL SELECT c, 0, 0, '' FROM convs),
+    lengths AS (SELECT c, max(depth) AS length FROM prefixes GROUP BY c),
+    nodes AS (
+      SELECT path, p.depth, min(p.c) AS c, count(*) AS n_convs, any_value(chars) AS chars,
+        sha256(coalesce(string_agg(p.c::VARCHAR, ',' ORDER BY p.c) FILTER (l.length = p.depth), '')) AS ends_sha256
+      FROM prefixes AS p JOIN lengths AS l ON l.c = p.c GROUP BY path, p.depth),
+    ups AS (
+      SELECT n.*, up.path AS parent_path, parent.c AS parent_c FROM nodes AS n
+        LEFT JOIN prefixes AS up ON up.c = n.c AND up.depth = n.depth - 1
+        LEFT JOIN nodes AS parent ON parent.path = up.path AND parent.depth = n.depth - 1),
+    families AS (SELECT u.*, (SELECT count(*) FROM ups AS k WHERE k.parent_path = u.path AND k.depth = u.depth + 1) AS n_children FROM ups AS u),
+    totals AS (
+      SELECT up.path, up.depth, sum((f.n_children = 0)::BIGINT) AS n_leaves, sum((f.n_convs - 1) * f.chars) AS saved
+      FROM families AS f JOIN prefixes AS up ON up.c = f.c AND up.depth <= f.depth GROUP BY up.path, up.depth)
+    SELECT f.c AS conv_id, f.depth, f.parent_c AS parent_conv_id, f.n_convs, f.n_children, t.n_leaves::BIGINT AS n_leaves, t.saved::BIGINT AS saved_tokens, f.ends_sha256
+    FROM families AS f JOIN totals AS t ON t.path = f.path AND t.depth = f.depth""",
+)
+
+_INTEGERS = """
+      SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+R.add_run(
+    "op12_top_k",
+    "llm12",
+    lambda spark, sf: topk.top_k(table(spark, sf, "embeddings"), F.col("id") % 50 == 0),
+    f"""
+    WITH vecs AS ({_INTEGERS}),
+    scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM vecs AS q JOIN vecs AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+    SELECT query_id, rank::INTEGER AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5""",
+)
+
+
+def _negatives(spark, sf: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf, "embeddings"), F.col("id") % 50 == 0, label)
+
+
+R.add_run(
+    "op13_hard_negatives",
+    "llm13",
+    _negatives,
+    f"""
+    WITH vecs AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM ({_INTEGERS}) WHERE label IS NOT NULL),
+    scored AS (
+      SELECT a.vec_id AS anchor_id, c.vec_id, c.label = a.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+      FROM vecs AS a JOIN vecs AS c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+    positives AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+      FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS nr FROM scored WHERE same) WHERE nr <= 5)
+    SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+    FROM (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM positives AS p JOIN scored AS s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score)
+    WHERE rank <= 3""",
+)

@@ -50,7 +50,18 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     folder = scratch_folder(spark, label)
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    table = spark.read.schema(df.schema).parquet(folder)
+    table._staged_at = folder
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more, before the application ends. Others are left alone."""
+    for table in tables:
+        folder = getattr(table, "_staged_at", None)
+        if folder:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:

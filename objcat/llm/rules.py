@@ -190,11 +190,10 @@ def kept_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     statistic is worked out; the verdict is an expression beside the text, so texts are not shuffled. Without
     labels only the base limits count. Null text fails them (no words).
     """
-    chosen = chosen_labels(labels, key, label, bound)
-    last = chosen.agg(F.max("order")).first()[0]
-    rules = []
-    if last is not None:
-        rules = learn(statistics(docs.filter(F.xxhash64(docs[key]) <= last), key, text), labels, key, label, bound)
+    # At most `bound` keys, so they can go to every task.
+    chosen = chosen_labels(labels, key, label, bound).select(F.col(key).alias("_chosen"))
+    known = docs.join(F.broadcast(chosen), docs[key] == F.col("_chosen"), "left_semi")
+    rules = learn(statistics(known, key, text), labels, key, label, bound)
     # Statistics beside the whole row: the row is one struct, so its column names cannot clash.
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text].alias("text"))
     judged = judge(statistics(rows, "row", "text"), rules)

@@ -152,7 +152,8 @@ def one_of_each(docs: DataFrame, shingles: tuple[int, ...] = (4,), radius: int =
     A group is what the components by the fingerprints of any of the given shingle lengths join: a copy that one
     length places just outside the radius is often inside by another. With `percent`, all texts that share so much of
     their five-word shingles are joined too, by exact similarity. Only rows that have a smaller copy take
-    part in that last search, so it is short. Rows without a key cannot be told apart and are all kept.
+    part in that last search, so it is short. Rows that repeat a kept key stay once for each text. Rows without a key
+    cannot be told apart and are all kept.
     """
     ways = [groups(docs, n, radius, blocks, key, text) for n in shingles]
     if percent is not None:
@@ -170,5 +171,6 @@ def one_of_each(docs: DataFrame, shingles: tuple[int, ...] = (4,), radius: int =
     joined = connected(edges, "least", "other")
     last = firsts.join(joined, firsts["least"] == joined["node"], "left")
     gone = last.filter(F.coalesce("component", "least") != F.col(key)).select(F.col(key).alias("_gone"))
-    kept = docs.filter(docs[key].isNotNull()).join(gone, docs[key] == gone["_gone"], "left_anti").dropDuplicates([key])
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole"), docs[key].alias("_key"), F.xxhash64(text_of(docs, text)).alias("_row"))
+    kept = whole.filter("_key is not null").join(gone, F.col("_key") == F.col("_gone"), "left_anti").dropDuplicates(["_key", "_row"]).select("whole.*")
     return kept.unionByName(docs.filter(docs[key].isNull()))

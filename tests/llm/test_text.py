@@ -1,6 +1,7 @@
 """The text operators against brute force on small tables with nulls, repeats, ties, long texts and clashing columns."""
 
 import collections
+import itertools
 import os
 import random
 import re
@@ -10,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from objcat.llm import components, decontamination, licenses, lines, mixing, pages, pii, rules, similar, simhash, tokens, urls
+from objcat.llm import components, decontamination, licenses, lines, mixing, near, pages, pii, rules, similar, simhash, tokens, urls
 from objcat.session import scratch_folder
 
 EXTRA = "id string, row string, copy string, place string, kind string, n_words string, kept string, spans string, fingerprint string, base string, _text string"
@@ -472,6 +473,39 @@ def test_similar_texts_by_brute_force(spark, monkeypatch):
     assert similar.groups(docs.limit(0)).count() == 0
 
 
+def test_near_texts_against_exact_search(spark, monkeypatch):
+    # Families of copies, some of them linked by a chain only, beside texts that share a long passage and are not near.
+    draw = random.Random(80)
+    new = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    passage, made = new(60), []
+    for _ in range(12):
+        now = new(100)
+        for _ in range(draw.randint(1, 12)):
+            made.append(" ".join(now))
+            for _ in range(draw.randint(0, 2)):
+                now[draw.randrange(100)] = f"x{draw.randrange(10**6)}"
+    made += [" ".join(passage + new(40)) for _ in range(60)]
+    docs = documents(spark, [(i, t, "a") for i, t in enumerate(made)])
+    exact = {r["doc_id"]: r["component_id"] for r in similar.groups(docs).collect()}
+    found = {r["id"]: r["component"] for r in near.groups(docs).collect()}
+    linked = [i for i in exact if exact[i] != i]
+    assert len(linked) > 40 and sum(found[i] == found[exact[i]] for i in linked) >= 0.99 * len(linked)
+    prints = [print_by_hand(t, n) for t in made for n in (4, 5)]
+    for a, b in itertools.combinations(range(len(made)), 2):  # and nothing else is joined, but by fingerprints
+        if exact[a] != exact[b] and found[a] == found[b]:
+            assert any((prints[2 * x + k] ^ prints[2 * y + k]).bit_count() <= 4 for x in range(len(made)) for y in range(x) for k in (0, 1) if found[x] == found[y] == found[a] and exact[x] != exact[y])
+
+
+def test_rows_that_repeat_a_key(spark):
+    one, other = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    rows = [(1, one, "s"), (1, other, "s"), (2, one, "t"), (3, one, "a"), (1, one, "r"), (1, one, "s"), (None, one, "s"), (None, one, "s"), (5, None, "s"), (6, "", "s")]
+    docs = documents(spark, rows)
+    got = sorted((r["doc_id"] or 0, r["text"] or "", r["source"]) for r in near.one_of_each(docs).collect())
+    assert got == sorted([(0, one, "s"), (0, one, "s"), (1, one, "r"), (1, other, "s"), (5, "", "s")])
+    assert near.one_of_each(docs).columns == docs.columns and near.one_of_each(docs.limit(0)).count() == 0
+    assert sorted(r["text"] for r in simhash.one_of_each(docs).filter("doc_id = 1").collect()) == [one, other]
+
+
 # 9
 
 
@@ -572,9 +606,20 @@ def test_pipeline_stage_by_stage(spark):
             failed = {i for i, t in left.items() if (s := statistics_by_hand(t or ""))[0] < 50 or 100 * s[4] > 50 * s[0]}
             assert not failed & set(now)
         if name == "simhash near-dedup":
-            prints = {i: print_by_hand(t, 5) for i, t in left.items()}
-            assert all((prints[a] ^ prints[b]).bit_count() > 4 for a in now for b in now if a < b)
-            assert all(any((prints[i] ^ prints[j]).bit_count() <= 4 for j in left if j < i) for i in set(left) - set(now))
+            # What the stage promises: the first of every group that such fingerprints or 0.8 of the five-word shingles join, and no other.
+            prints = [{i: print_by_hand(t, n) for i, t in left.items()} for n in (4, 5)]
+            sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := t.lower().split()) else frozenset() for i, t in left.items()}
+            group = {i: i for i in left}
+
+            def root(x):
+                while group[x] != x:
+                    x = group[x]
+                return x
+
+            for a, b in itertools.combinations(sorted(left), 2):
+                if any((p[a] ^ p[b]).bit_count() <= 4 for p in prints) or 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    group[max(root(a), root(b))] = min(root(a), root(b))
+            assert set(now) == {root(i) for i in left} and len(now) < len(left)
         if name == "personal data":
             assert all(now[i] == left[i] for i in now if not base_by_hand(left[i])) and not any(base_by_hand(t) for t in now.values())
         if name == "mixing":

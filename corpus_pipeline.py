@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from objcat.llm import decontamination, mixing, pii, rules, simhash
+from objcat.llm import decontamination, mixing, near, pii, rules
 from objcat.llm.common import table
 from objcat.session import staged
 
@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: fingerprints of five-word or four-word shingles, or 0.8 of the five-word shingles themselves."""
-    return simhash.one_of_each(docs, shingles=(5, 4), percent=80)
+    return near.one_of_each(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

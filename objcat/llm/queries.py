@@ -73,17 +73,24 @@ R.add_run(
     "op5_lines",
     "llm5",
     _lines,
-    r"""
+    rf"""
     WITH units AS (
-      SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS unit, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS nr FROM documents),
+      SELECT doc_id, unnest(parts) AS unit, unnest(range(len(parts))) AS nr
+      FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{lines.SENTENCES}') AS parts FROM documents)),
     placed AS (
-      SELECT *, coalesce(sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+      SELECT *, coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
         trim(regexp_replace(lower(unit), '\s+', ' ', 'g')) AS plain FROM units),
     ranked AS (
-      SELECT *, len(string_split(plain, ' ')) >= 8 AND row_number() OVER (PARTITION BY plain ORDER BY doc_id, nr) > 1 AS again FROM placed)
-    SELECT doc_id, coalesce(string_agg(unit, chr(10) ORDER BY nr) FILTER (NOT again), '') AS text, count(*) FILTER (again) AS n_removed,
-      coalesce(string_agg(concat(start::BIGINT, ':', start::BIGINT + length(unit)), ',' ORDER BY nr) FILTER (again), '') AS removed
-    FROM ranked GROUP BY doc_id""",
+      SELECT *, len(regexp_extract_all(plain, '{lines.WORD}')) AS words,
+        plain <> '' AND row_number() OVER (PARTITION BY plain ORDER BY doc_id, nr) > 1 AS again FROM placed),
+    runs AS (SELECT *, nr - row_number() OVER (PARTITION BY doc_id, again ORDER BY nr) AS run FROM ranked),
+    sized AS (SELECT *, again AND sum(words) OVER (PARTITION BY doc_id, again, run) >= {lines.RUN} AS cut FROM runs),
+    spans AS (
+      SELECT doc_id, string_agg(concat(start, ':', stop), ',' ORDER BY start) AS removed
+      FROM (SELECT doc_id, run, min(start) AS start, max(start + length(unit)) AS stop FROM sized WHERE cut GROUP BY doc_id, run) GROUP BY doc_id),
+    kept AS (SELECT doc_id, string_agg(unit, '' ORDER BY nr) FILTER (NOT cut) AS text, count(*) FILTER (cut) AS n_removed FROM sized GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(k.text, '') AS text, coalesce(k.n_removed, 0) AS n_removed, coalesce(s.removed, '') AS removed
+    FROM documents AS d LEFT JOIN kept AS k ON k.doc_id = d.doc_id LEFT JOIN spans AS s ON s.doc_id = d.doc_id""",
 )
 
 R.add_run("op6_urls", "llm6", lambda spark, sf: urls.judge(table(spark, sf, "pages"), URL_RULES), None)

@@ -248,31 +248,50 @@ def test_tiling_by_brute_force_in_one_block_or_many(spark, monkeypatch):
 # 5
 
 
-def test_lines_by_brute_force(spark):
+@pytest.mark.parametrize("pattern,run", [(lines.SENTENCES, lines.RUN), (lines.SENTENCES, 1), (lines.LINES, 12)])
+def test_units_by_brute_force(spark, pattern, run):
     draw = random.Random(4)
-    pool = [" ".join(draw.choice("abcdefgh") for _ in range(n)) for n in (2, 8, 9, 12)]
-    rows = [(i, "\n".join(draw.choice([p, p.upper(), f" {p} "]) for p in draw.choices(pool, k=draw.randint(0, 6))), "a") for i in range(40)]
-    rows += [(40, None, "a"), (41, "", "a"), (42, "\n\n", "a"), (39, rows[39][1], "a"), (None, pool[3], "a"), (43, ("x " * 20 + "\n") * 3000, "a")]
-    got = collections.defaultdict(list)
-    for r in lines.dedupe(documents(spark, rows)).collect():
-        got[r["doc_id"]].append((r["text"], r["n_removed"], [tuple(s) for s in r["removed"]]))
-    seen, expected = set(), {}
-    for i, text in sorted({(i, t or "") for i, t, _ in rows}, key=lambda p: (p[0] is not None, p[0])):
-        kept, removed, at = [], [], 0
-        for line in text.split("\n"):
-            plain = " ".join(line.lower().split())
-            if len(plain.split()) >= 8 and plain in seen:
-                removed.append((at, at + len(line)))
-            else:
-                kept.append(line)
-            if len(plain.split()) >= 8:
+    pool = [" ".join(draw.choice("abcdefgh") for _ in range(n)) + draw.choice([". ", "!\n", "?! \n\n", "\n", "。", " "]) for n in (1, 2, 5, 8, 12, 17, 31)] + ["漢字" * 20 + "。", "ไทย" * 11 + "\n"]
+    rows = [(i, "".join(draw.choice([p, p.upper(), f" {p}"]) for p in draw.choices(pool, k=draw.randint(0, 9))) + draw.choice(["", f"end {i}"]), "a") for i in range(60)]
+    rows += [(60, None, "a"), (61, "", "a"), (62, "\n \n", "a"), (59, rows[59][1], "a"), (None, pool[6], "a"), (63, ("x " * 20 + ".\n") * 3000, "a"), (58, pool[6] * 2, "a")]
+    got = collections.defaultdict(set)
+    for r in lines.dedupe(documents(spark, rows), pattern, run).collect():
+        got[r["doc_id"]].add((r["text"], r["n_removed"], tuple(tuple(s) for s in r["removed"])))
+    marks = set(".!?…。！？｡\n") if pattern == lines.SENTENCES else set("\n")
+    spaces = set(" \t\n\v\f\r") if pattern == lines.SENTENCES else set()
+
+    def pieces(text):
+        out, begin, at = [], 0, 0
+        while at < len(text):
+            at += 1
+            if text[at - 1] in marks:
+                while spaces and at < len(text) and text[at] in marks | spaces:
+                    at += 1
+                out.append((begin, at))
+                begin = at
+        return out + [(begin, at)] * (begin < at)
+
+    seen, expected = set(), collections.defaultdict(set)
+    unique = {(i, t or "") for i, t, _ in rows}
+    hashes = {(r["doc_id"], r["t"]): r["h"] for r in documents(spark, rows).select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    for i, text in sorted(unique, key=lambda p: (p[0] is not None, p[0] or 0, hashes[p])):
+        again, spans, count = [], [], 0
+        for a, b in pieces(text):
+            plain = " ".join(text[a:b].lower().split())
+            again.append((a, b, bool(plain) and plain in seen, len(re.findall("[\u0e00-\u9fff]|[^\\s\u0e00-\u9fff]+", plain))))
+            if plain:
                 seen.add(plain)
-            at += len(line) + 1
-        expected[i] = ("\n".join(kept), len(removed), removed)
-    assert set(got) == set(expected) and len(got[39]) == 2
-    for i, several in got.items():
-        assert all(one == expected[i] for one in several)
-    assert lines.dedupe(documents(spark, [])).count() == 0
+        for repeat, group in itertools.groupby(again, key=lambda u: u[2]):
+            group = list(group)
+            if repeat and sum(u[3] for u in group) >= run:
+                spans.append((group[0][0], group[-1][1]))
+                count += len(group)
+        rest, at = "", 0
+        for a, b in [*spans, (len(text), len(text))]:
+            rest, at = rest + text[at:a], b
+        expected[i].add((rest, count, tuple(spans)))
+    assert got == expected and sum(len(s[2]) for some in expected.values() for s in some) > 20
+    assert lines.dedupe(documents(spark, []), pattern, run).count() == 0
 
 
 # 6

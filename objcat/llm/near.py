@@ -206,19 +206,26 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     for more in edges[1:]:
         whole = whole.unionByName(more)
     links = staged(whole.distinct(), "near")
+    of = connected(links, "a", "b").select("node", F.col("component").alias("of"))
     best = 1
     while True:
-        joined = connected(links, "a", "b")
-        of = members.select("band", "node", "n").join(joined, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("of"))
-        pairs = staged(across(of, nodes, tested, best), "across")
+        inside = members.select("band", "node", "n").join(of, "node", "left").select("band", "node", "n", F.coalesce("of", "node").alias("of"))
+        pairs = staged(across(inside, nodes, tested, best), "across")
         if pairs.isEmpty():
             break
         tested = staged(tested.unionByName(pairs), "tested")
+        # What is new joins components, not texts: a few rows.
         more = verified(pairs, docs, nodes, key, text)
-        links = staged(links.unionByName(more), "near")
+        for side in "ab":
+            ends = of.select(F.col("node").alias(side), "of")
+            more = more.join(ends, side, "left").withColumn(side, F.coalesce("of", side)).drop("of")
+        joined = connected(more.distinct(), "a", "b").withColumnRenamed("node", "of")
+        known = of.join(joined, "of", "left").select("node", F.coalesce("component", "of").alias("of"))
+        fresh = joined.join(of, "of", "left_anti").select(F.col("of").alias("node"), F.col("component").alias("of"))
+        of = staged(known.unionByName(fresh), "components")
         best *= 4
-    named = prints.select("id", "row", "node").join(joined.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    named = staged(named.select("id", "row", F.coalesce("component", "node").alias("component")), "named")
+    named = prints.select("id", "row", "node").join(of, "node", "left")
+    named = staged(named.select("id", "row", F.coalesce("of", "node").alias("component")), "named")
     discard(prints, nodes, members)
     return named
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from objcat.errors import Refused
 from objcat.functions import paths, units
 from objcat.operators import globs
+from objcat.operators.rule_index import RuleIndex
 
 INCLUDE, EXCLUDE = "include", "exclude"
 
@@ -26,6 +27,9 @@ RULES_PER_REGEX = 100
 # Changes of action that are nested as and/or; with more of them the tests stand in one flat list.
 DEEPEST = 40
 
+# Rules that are tested as expressions; more of them are a table that paths are joined with, to the same result.
+EXPRESSIONS = 500
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -192,7 +196,7 @@ class FilterSet:
         if young is not None and old is not None and young > old:
             raise Refused(f"min_age ({young} seconds) is longer than max_age ({old} seconds)")
         if max_depth < -1:
-            raise Refused(f"max_depth {max_depth} is not a depth")
+            raise Refused(f"max_depth must be -1 (no limit) or more, got {max_depth}")
         now = int(time.time()) if now is None else now
         return cls(
             rules=tuple(ordered),
@@ -275,13 +279,27 @@ class FilterSet:
 
     # -- operators -----------------------------------------------------------------------------------
 
+    def _decided(self, inv: DataFrame) -> DataFrame:
+        """Every row with `_first`, the position and action of the first rule that matches, by a join with the rules."""
+        return RuleIndex(self.rules).first_match(inv, self._is_dir(inv))
+
+    def _by_table(self, df: DataFrame) -> Column:
+        """Over `_decided` rows, whether limits and rules let a row pass."""
+        return self.limits_admit(df) & (F.coalesce(F.col("_first._action"), F.lit(self.default)) == INCLUDE)
+
     def admit(self, inv: DataFrame) -> DataFrame:
         """The rows that pass."""
         kept = inv if self.only is None else self._listed(inv)
+        if len(self.rules) > EXPRESSIONS:
+            return self._decided(kept.filter(self.limits_admit(inv))).filter(self._by_table(inv)).select(*inv.columns)
         return kept.filter(self.admitted(inv)) if self.restricting else kept
 
     def flag(self, inv: DataFrame, name: str = "admitted") -> DataFrame:
         """Every row with whether `admit` would keep it."""
+        if len(self.rules) > EXPRESSIONS:
+            marked = self._decided(inv if self.only is None else self._mark_listed(inv))
+            listed = F.lit(True) if self.only is None else F.col("_listed")
+            return marked.withColumn(name, listed & self._by_table(inv)).select(*inv.columns, name)
         if self.only is None:
             return inv.withColumn(name, self.admitted(inv))
         return self._mark_listed(inv).withColumn(name, F.col("_listed") & self.admitted(inv)).drop("_listed")
@@ -315,13 +333,19 @@ class FilterSet:
         decided = F.when(F.lit(False), F.lit(0))
         for number, (broken, _) in enumerate(limits, start=1):
             decided = decided.when(broken, F.lit(-number))
-        for number, rule in enumerate(self.rules, start=1):
-            decided = decided.when(rule.predicate(F.col("path"), self._is_dir(inv)), F.lit(number))
-        marked = source.withColumn("_d", decided.otherwise(F.lit(0)))
+        if len(self.rules) > EXPRESSIONS:
+            source = self._decided(source)
+            marked = source.withColumn("_d", F.coalesce(decided, F.col("_first._position"), F.lit(0)))
+            acted = F.col("_first._action")
+        else:
+            for number, rule in enumerate(self.rules, start=1):
+                decided = decided.when(rule.predicate(F.col("path"), self._is_dir(inv)), F.lit(number))
+            marked = source.withColumn("_d", decided.otherwise(F.lit(0)))
+            acted = _pick([r.action for r in self.rules], F.col("_d"))
 
         by_limit, by_rule = F.col("_d") < 0, F.col("_d") > 0
         reason = F.when(by_rule, F.lit("rule")).when(by_limit, _pick([r for _, r in limits], -F.col("_d")))
-        action = F.when(by_limit, EXCLUDE).when(by_rule, _pick([r.action for r in self.rules], F.col("_d")))
+        action = F.when(by_limit, EXCLUDE).when(by_rule, acted)
         position = F.when(by_rule, F.col("_d").cast("long"))
         verdict = self._verdict(F.coalesce(reason, F.lit("unmatched")), position, F.coalesce(action, F.lit(self.default)))
         return marked.select(*inv.columns, *verdict)

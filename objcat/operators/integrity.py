@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from objcat.errors import Refused
 from objcat.operators.chunks import FOOTER, chunk_count, stored_end
+from objcat.operators.keyfilter import may_be_in
 from objcat.schema import as_col, count_where, measured_total, total_or_null, unmeasured_count
 from objcat.session import staged
 
@@ -147,11 +148,13 @@ def scrub_sample(inv: DataFrame, percent: int, seed: int) -> DataFrame:
 
 
 def scrub(catalog: DataFrame, store: DataFrame, percent: int, seed: int, algo: str = "sha256") -> DataFrame:
-    """`verify` over the sampled share of the catalog. Only stored objects that the sample names are read and hashed."""
+    """`verify` over the sampled share of the catalog. Only stored objects that the sample names are read and hashed.
+
+    The store is cut where it is read, by a bitmap of the sampled keys of bounded size; what passes becomes a digest there, and
+    only key, digest and length are moved. A few objects outside the sample pass the bitmap and fall out of the join.
+    """
     sampled = scrub_sample(catalog, percent, seed)
-    keys = sampled.select(F.col("object_key").alias("_wanted")).distinct()
-    named = store.join(keys, store["object_key"] == keys["_wanted"], "left_semi")
-    return verify(sampled, named, algo)
+    return verify(sampled, may_be_in(store, "object_key", sampled, "object_key"), algo)
 
 
 def scrub_report(inv: DataFrame, verdicts: DataFrame) -> DataFrame:

@@ -234,7 +234,7 @@ def ensure_immutable(plan: DataFrame) -> DataFrame:
     row = immutable_violations(plan).first()
     if row["refused"]:
         more = f", and {row['more']} more" if row["more"] else ""
-        raise Refused(f"{row['refused']} existing objects would be replaced or removed: {row['quoted']}{more}")
+        raise Refused(f"the plan changes {row['refused']} objects that are there already: {row['quoted']}{more}")
     return plan
 
 

@@ -148,6 +148,31 @@ R.add(
     lambda i: ORDERED.admit(i).select("path", "size"),
     f"SELECT path, size FROM {{inv_big}} WHERE starts_with({ORDERED_SQL}, 'include')",
 )
+
+
+def _ten_thousand() -> FilterSet:
+    """Rules by part, by order, by directory and by a piece of the name, in turn."""
+    lines = []
+    for n in range(1, 2501):
+        lines += [f"- *-{n}.bin", f"+ {n}-*", f"- /N/O/{n % 100}/**", f"+ *{n}-3-*.bin"]
+    return FilterSet.build(rules_from=["\n".join(lines)], now=NOW)
+
+
+R.add(
+    "filter_rule_table",
+    "D3",
+    "inv_big",
+    lambda i: _ten_thousand().explain(i).select("path", "action", "reason", "position"),
+    r"""WITH p AS (SELECT path, split_part(path, '/', 1) AS flag, split_part(path, '/', 2) AS status, CAST(split_part(path, '/', 3) AS BIGINT) AS folder,
+        regexp_extract(path, '([0-9]+)-([0-9]+)-([0-9]+)[.]bin$', 1) AS ord, regexp_extract(path, '([0-9]+)-([0-9]+)-([0-9]+)[.]bin$', 2) AS line,
+        CAST(regexp_extract(path, '([0-9]+)-([0-9]+)-([0-9]+)[.]bin$', 3) AS BIGINT) AS part FROM {inv_big}),
+      t AS (SELECT *, (SELECT min(CAST(right(ord, n) AS BIGINT)) FROM unnest(range(1, 5)) AS u(n)
+          WHERE n <= length(ord) AND right(ord, n) NOT LIKE '0%' AND CAST(right(ord, n) AS BIGINT) BETWEEN 1 AND 2500) AS tail FROM p),
+      f AS (SELECT path, least(CASE WHEN part BETWEEN 1 AND 2500 THEN 4 * part - 3 END, CASE WHEN CAST(ord AS BIGINT) BETWEEN 1 AND 2500 THEN 4 * CAST(ord AS BIGINT) - 2 END,
+          CASE WHEN flag = 'N' AND status = 'O' THEN 4 * CASE WHEN folder = 0 THEN 100 ELSE folder END - 1 END, CASE WHEN line = '3' THEN 4 * tail END) AS position FROM t)
+      SELECT path, CASE WHEN position IS NULL OR position % 2 = 0 THEN 'include' ELSE 'exclude' END AS action,
+        CASE WHEN position IS NULL THEN 'unmatched' ELSE 'rule' END AS reason, position FROM f""",
+)
 R.add(
     "filter_include_closes",
     "D3",

@@ -1,12 +1,13 @@
 """What is read, how often, and what reaches the scan; guards and parameters beside it."""
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from objcat.errors import Refused
-from objcat.operators import audit, integrity, preflight
+from objcat.operators import audit, filters, integrity, keyfilter, preflight
 from objcat.operators.filters import FilterSet
 from objcat.plans import compare, recovery, transfer
 
@@ -43,6 +44,60 @@ def test_scrub_hashes_only_what_it_samples(spark):
     assert len(rows) == wanted and {r["status"] for r in rows} == {"ok"} and 0 < wanted < n
 
 
+def test_scrub_moves_no_body(spark, tmp_path):
+    n = 400
+    ids = spark.range(n).select(F.concat(F.lit("p"), "id").alias("path"), F.concat(F.lit("k"), "id").alias("object_key"), F.concat(F.lit("t"), "id").alias("content"))
+    ids.select("path", "object_key", F.length("content").cast("long").alias("size"), integrity.digest("content").alias("hash")).write.parquet(f"{tmp_path}/catalog")
+    ids.select("object_key", "content").write.parquet(f"{tmp_path}/store")
+    catalog, store = spark.read.parquet(f"{tmp_path}/catalog"), spark.read.parquet(f"{tmp_path}/store")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        report = integrity.scrub(catalog, store, 20, 7)
+        shown = report._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        rows = report.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    moved = re.findall(r"\) Exchange\n(?:Input[^\n]*|Output[^\n]*)", shown)
+    assert moved and not any("content#" in m for m in moved)
+    assert {r["path"] for r in rows} == {r["path"] for r in integrity.scrub_sample(catalog, 20, 7).collect()} and {r["status"] for r in rows} == {"ok"}
+
+
+def test_bitmaps_lose_no_key_and_keep_few_others(spark):
+    keys = spark.range(3000).select((F.col("id") * 7).alias("k"))
+    rows = spark.range(30_000).select(F.col("id").alias("key"), F.lit("x").alias("k")).unionByName(spark.createDataFrame([(None, "x")], "key long, k string"))
+    for bits, most in ((keyfilter.FILTER_BITS, 3100), (keyfilter.PIECE_BITS, 8000)):  # one small bitmap lets more through, and loses none
+        found = {r["key"] for r in keyfilter.may_be_in(rows, "key", keys, "k", bits).collect()}
+        assert set(range(0, 21_000, 7)) <= found and None not in found and len(found) <= most
+    assert keyfilter.may_be_in(rows, "key", keys.limit(0), "k").count() == 0
+    pieces = keyfilter.bitmaps(spark.range(100_000), "id", keyfilter.PIECE_BITS * 4).collect()
+    assert len(pieces) == 4 and all(len(r["_bitmap"]) == 4096 for r in pieces)
+
+
+def test_rules_as_a_table_decide_as_expressions_do(spark, monkeypatch):
+    draw = random.Random(3)
+    names = ["a", "bc", "target", "work", "\u00e9", "x-1", "x-12", "log", "A1", "q r"]
+    found = {"/".join(draw.choice(names) for _ in range(draw.randint(1, 4))) + draw.choice(["", ".txt", ".bin", "-7.bin", "-17.bin"]) for _ in range(400)}
+    parts = ["*", "**", "?", "[ab]*", "{a,bc}", "a", "bc", "target", "work", "\u00e9", "x-*", "x-1*", "*-7.bin", "*.txt", "*og*", "log.txt", "*-1?", "q r", "A1"]
+    lines = [f"{draw.choice('+-')} {draw.choice(['', '/'])}{'/'.join(draw.choice(parts) for _ in range(draw.randint(1, 3)))}{draw.choice(['', '', '/'])}" for _ in range(300)]
+    inv = spark.createDataFrame([(p, draw.random() < 0.3, draw.randint(0, 9)) for p in sorted(found)] + [("a", False, None)], "path string, is_dir boolean, size long")
+    rules = FilterSet.build(rules_from=["\n".join(lines)], max_size=6, max_depth=3, now=0)
+    for frame in (inv, inv.drop("is_dir")):
+        several = []
+        for most in (10_000, 10):
+            monkeypatch.setattr(filters, "EXPRESSIONS", most)
+            several.append([sorted(map(str, made.collect())) for made in (rules.admit(frame), rules.flag(frame), rules.explain(frame))])
+        assert several[0] == several[1]
+
+
+def test_ten_thousand_rules_are_no_expression(spark):
+    lines = [f"- *-{n}.bin" for n in range(10_000)]
+    inv = spark.range(50).select(F.concat(F.lit("d/x-"), F.col("id") * 1000, F.lit(".bin")).alias("path"))
+    few, many = (FilterSet.build(rules_from=["\n".join(lines[:n])], now=0).admit(inv) for n in (600, 10_000))
+    assert len(plan_of(many)) < 2 * len(plan_of(few))
+    assert sorted(r["path"] for r in many.collect()) == sorted(f"d/x-{n * 1000}.bin" for n in range(10, 50))
+
+
 def test_rules_that_name_text_reach_the_scan_at_any_number(spark, tmp_path):
     inv = stored(spark, tmp_path, "inv", [("a/x-7-1.bin",), ("a/y.txt",), ("x-7-.bin",), ("b/q-7-z.bins",)], "path string")
     rules = FilterSet.build(rules_from=["".join(f"- *-{n}-*.bin\n" for n in range(5, 45)) + "- ???\n"], now=0)

@@ -411,6 +411,31 @@ R.add_run(
 )
 
 
+def _run_batches(spark, sf: str) -> str:
+    """The feed in six batches, late ones among them, of which two come again."""
+    out, changes = scratch_folder(spark, "catalog"), derived(spark, sf, "changes")
+    slices = [changes.filter(F.col("seq") % 6 == n) for n in (3, 0, 5, 1, 4, 2)]
+    for number, part in [*enumerate(slices), (4, slices[4]), (5, slices[5])]:
+        stream_catalog.apply_changes(part, out, number, buckets=8)
+    return out
+
+
+R.add_run(
+    "stream_totals_batches",
+    "L1",
+    lambda spark, sf: stream_catalog.stream_totals(spark, _run_batches(spark, sf)),
+    f"""WITH {LATEST} SELECT count(*) AS objects, sum(size)::BIGINT AS bytes, count(*) FILTER (size = 0 AND hash = '') AS unmeasured,
+      CASE WHEN count(*) FILTER (size = 0 AND hash = '') = 0 THEN sum(size)::BIGINT END AS measured_bytes FROM p""",
+)
+R.add_run(
+    "stream_dirs_batches",
+    "L2",
+    lambda spark, sf: stream_catalog.stream_dirs(spark, _run_batches(spark, sf)),
+    f"""WITH {LATEST} SELECT array_to_string(string_split(path, '/')[1:n], '/') AS dir, count(*) AS objects FROM p,
+      unnest(range(1, len(string_split(path, '/')))) AS u(n) GROUP BY 1""",
+)
+
+
 def _follow(spark, sf: str):
     from objcat.queries.fixtures import DERIVED
 

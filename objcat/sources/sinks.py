@@ -14,6 +14,7 @@ from objcat.functions.paths import parent
 from objcat.plans.compare import DIFFER, MATCH, MISSING_ON_DST, MISSING_ON_SRC, combined_marks
 from objcat.plans.transfer import plan_summary
 from objcat.session import scratch_folder, staged
+from objcat.sources.commits import FOLD_EVERY, CommitLog
 
 STATUS_LISTS = {"match": MATCH, "differ": DIFFER, "missing_on_src": MISSING_ON_SRC, "missing_on_dst": MISSING_ON_DST}
 
@@ -98,7 +99,7 @@ def verified_write(df: DataFrame, location: str, size: str | None = "size", mode
     """Write a table, read it back, and publish it only if what came back is what went out.
 
     The figures of the rows are taken while they are written, in the same pass. The data lands in a folder
-    no reader looks at; the commit record that names it is written last. On a mismatch nothing is published.
+    no reader looks at; the commit that names it is written last, under a number no other writer has. On a mismatch nothing is published.
     """
     if mode not in ("append", "overwrite"):
         raise Refused(f"mode {mode!r} is neither append nor overwrite")
@@ -121,22 +122,38 @@ def verified_write(df: DataFrame, location: str, size: str | None = "size", mode
         back["total"],
         datetime.datetime.now(datetime.timezone.utc).isoformat(),
     )
-    spark.createDataFrame([asdict(receipt)]).coalesce(1).write.mode("append").json(f"{location}/commits")
+    log = CommitLog(spark, f"{location}/commits")
+    number = log.append(asdict(receipt))
+    if number % FOLD_EVERY == FOLD_EVERY - 1:
+        log.fold(number, {"live": _live(log, number)})
     return receipt
 
 
+def _live(log: CommitLog, upto: int | None = None) -> list[dict]:
+    """What was committed since the last overwrite, in the order of the commits' numbers."""
+    fold, after = log.tail()
+    live = list(fold["live"]) if fold else []
+    for number, record in after:
+        if upto is None or number <= upto:
+            live = [record] if record["mode"] == "overwrite" else [*live, record]
+    return live
+
+
 def stored_figures(table: DataFrame, columns: list[str], size: str | None) -> dict:
     return table.select(*columns).agg(*_figures(columns, size)).first().asDict()
 
 
 def read_verified(spark: SparkSession, location: str, check: bool = False) -> DataFrame:
-    """The published rows: everything committed since the last overwrite. `check` reads the figures again."""
-    commits = sorted(spark.read.json(f"{location}/commits").collect(), key=lambda r: r["committed_at"])
-    last = max((i for i, r in enumerate(commits) if r["mode"] == "overwrite"), default=0)
-    live = commits[last:]
+    """The published rows: everything committed since the last overwrite. `check` reads the figures again.
+
+    The reader opens the last fold of the log and the few commits after it.
+    """
+    live = _live(CommitLog(spark, f"{location}/commits"))
+    if not live:
+        raise Refused(f"nothing was published at {location}")
     for row in live if check else []:
         table = spark.read.parquet(row["data"])
         found = stored_figures(table, table.columns, "size" if "size" in table.columns else None)
-        if not _same(found, row.asDict()):
+        if not _same(found, row):
             raise Refused(f"{row['data']} no longer holds what was committed")
     return spark.read.parquet(*[row["data"] for row in live])

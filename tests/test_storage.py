@@ -1,11 +1,12 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
 from objcat.errors import Refused
 from objcat.operators.listing import children
 from objcat.plans import compare, transfer
-from objcat.sources import listing, records, sinks
+from objcat.sources import commits, listing, records, sinks
 
 
 def test_object_listing(spark, tmp_path):
@@ -116,6 +117,33 @@ def test_verified_write(spark, inventory, tmp_path, monkeypatch):
         sinks.read_verified(spark, place, check=True)
 
 
+def test_two_writers_lose_nothing_and_folds_keep_order(spark, inventory, tmp_path, monkeypatch):
+    place = str(tmp_path / "table")
+    log = commits.CommitLog(spark, f"{place}/log")
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(lambda n: log.append({"n": n}), range(24)))
+    assert sorted(numbers) == list(range(24)) == log.numbers()
+    assert not log.claim(5, {"n": "late"}) and log.last()[0] == 23
+
+    # The clock runs back, and more commits are made than one fold holds.
+    clock = iter(range(100, 0, -1))
+    monkeypatch.setattr(sinks.datetime, "datetime", type("Clock", (), {"now": staticmethod(lambda tz: _At(next(clock)))}))
+    for n in range(23):
+        sinks.verified_write(inventory((f"p{n}", n)), place, mode="overwrite" if n in (0, 4, 12) else "append")
+    assert sorted(r["path"] for r in sinks.read_verified(spark, place, check=True).collect()) == sorted(f"p{n}" for n in range(12, 23))
+    kept = commits.CommitLog(spark, f"{place}/commits")
+    fold, after = kept.tail()
+    assert [n for n, _ in after] == [20, 21, 22] and len(fold["live"]) == 8 and len(kept.numbers()) == 13
+
+
+class _At:
+    def __init__(self, n):
+        self.n = n
+
+    def isoformat(self):
+        return f"{self.n:05}"
+
+
 def plan_text(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

@@ -1,3 +1,4 @@
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -67,3 +68,27 @@ def test_late_and_repeated_changes_do_no_harm(spark, tmp_path):
     out = replay(spark, tmp_path, [shuffled[:100], shuffled[50:], rows[:40]], "late")
     assert catalog.stream_totals(spark, out).first()["objects"] == len(state)
     assert {r["dir"]: r["objects"] for r in catalog.stream_dirs(spark, out).collect()} == dirs
+
+
+def test_a_batch_is_applied_once_and_files_stay_few(spark, tmp_path):
+    rows, out = changes(400, seed=4), str(tmp_path / "out")
+    frame = spark.createDataFrame(rows, catalog.CHANGES)
+    parts = [frame.filter(F.col("seq") % 7 == n) for n in range(7)]
+    for number, part in enumerate(parts):
+        catalog.apply_changes(part, out, number, "q", buckets=4)
+        catalog.apply_changes(part, out, number, "q", buckets=4)  # run again
+    state, dirs = truth(rows)
+    assert catalog.stream_totals(spark, out).first()["objects"] == len(state)
+    assert {r["dir"]: r["objects"] for r in catalog.stream_dirs(spark, out).collect()} == dirs
+    files = [f for _, _, names in os.walk(out) for f in names if f.endswith(".parquet")]
+    assert len(files) <= 2 * 2 * 4 and len(os.listdir(f"{out}/commits")) <= 2 * 2  # with checksum files
+    # Another query that starts over brings nothing new; one that failed before its commit leaves nothing behind that counts.
+    catalog.apply_changes(frame, out, 0, "other", buckets=4)
+    assert catalog.stream_totals(spark, out).first()["objects"] == len(state)
+    catalog.apply_changes(frame.limit(0), out, 7, "q", buckets=4)
+    assert {r["dir"]: r["objects"] for r in catalog.stream_dirs(spark, out).collect()} == dirs
+
+
+def test_totals_before_any_batch(spark, tmp_path):
+    assert tuple(catalog.stream_totals(spark, str(tmp_path)).first()) == (0, 0, 0, 0)
+    assert catalog.stream_dirs(spark, str(tmp_path)).count() == 0

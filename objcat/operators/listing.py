@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from objcat.errors import Refused
 from objcat.functions import paths, units
+from objcat.operators.bounded import counted_with_first
 from objcat.operators.filters import FilterSet
 from objcat.operators.ordered import with_position
-from objcat.schema import beside, count_where, measured_total, total_or_null, unmeasured, unmeasured_count
+from objcat.schema import count_where, measured_total, total_or_null, unmeasured, unmeasured_count
 
 # Rows shown by name in a report before the rest is only counted.
 LINK_SAMPLE = 64
@@ -200,31 +201,23 @@ def stat(catalog: DataFrame, path: str) -> DataFrame:
     return catalog.filter(F.col("path") == path)
 
 
-def _noted(observed: DataFrame, totals: list, label: str, sample: int) -> DataFrame:
-    """Counts over everything and the first rows by path as notes; the rest is counted as unnamed."""
-    counts = observed.agg(*totals, F.count(F.lit(1)).alias("_all"))
-    first = observed.orderBy("path", label).limit(sample)
-    notes = first.agg(F.array_sort(F.collect_list(F.struct("path", label))).alias("notes"))
-    return beside(counts, notes).select(
-        *[c for c in counts.columns if c != "_all"], (F.col("_all") - F.size("notes")).alias("unnamed"), "notes"
-    )
+def _noted(observed: DataFrame, totals: dict[str, Column], label: str, sample: int) -> DataFrame:
+    """Counts over everything and the first rows by path as notes, from one reading; the rest is counted as unnamed."""
+    found = counted_with_first(observed, totals, ["path", label], sample)
+    return found.select(*totals, (F.col("_all") - F.size("rows")).alias("unnamed"), F.col("rows").alias("notes"))
 
 
 def link_report(observed: DataFrame, sample: int = LINK_SAMPLE) -> DataFrame:
     """followed, skipped and broken links (rows path, verdict), a bounded sample, and how many went unnamed."""
     verdict = F.col("verdict")
-    totals = [
-        count_where(verdict == "followed").alias("followed"),
-        count_where(~verdict.isin("followed", "broken")).alias("skipped"),
-        count_where(verdict == "broken").alias("broken"),
-    ]
+    totals = {"followed": verdict == "followed", "skipped": ~verdict.isin("followed", "broken"), "broken": verdict == "broken"}
     return _noted(observed, totals, "verdict", sample)
 
 
 def special_report(observed: DataFrame, sample: int = SPECIAL_SAMPLE) -> DataFrame:
     """Count and sample of special files (rows path, kind); rows without a kind are ordinary and left out."""
     special = observed.filter(F.col("kind").isNotNull())
-    return _noted(special, [F.count(F.lit(1)).alias("skipped")], "kind", sample)
+    return _noted(special, {"skipped": F.lit(True)}, "kind", sample)
 
 
 def listing_stats(inv: DataFrame, filters: FilterSet) -> DataFrame:

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from objcat.errors import Refused
 from objcat.functions import paths
+from objcat.operators.bounded import counted_with_first
 from objcat.operators.ordered import first_over_limit
 from objcat.plans.compare import DEFAULT_WINDOW, side, within
 from objcat.schema import beside, count_where
-from objcat.session import staged
+from objcat.session import discard, staged
 
 COPY, UPDATE, DELETE, SKIP, MKDIR = "copy", "update", "delete", "skip", "mkdir"
 TRANSFERS = (COPY, UPDATE)
@@ -218,15 +219,11 @@ def plan_summary(plan: DataFrame) -> DataFrame:
 
 
 def immutable_violations(plan: DataFrame, quoted: int = QUOTED) -> DataFrame:
-    """How many rows replace or remove something, and the first of them spelled out, removals last."""
+    """How many rows replace or remove something, and the first of them spelled out, removals last; the plan runs once."""
     refused = plan.filter(F.col("action").isin(*REPLACES)).select((F.col("action") == DELETE).alias("late"), "dest", "action")
-    total = refused.agg(F.count(F.lit(1)).alias("refused"))
-    first = refused.orderBy("late", "dest").limit(quoted)
-    sample = first.agg(F.array_sort(F.collect_list(F.struct("late", "dest", "action"))).alias("rows"))
+    found = counted_with_first(refused, {}, ["late", "dest", "action"], quoted)
     names = F.transform("rows", lambda r: F.concat_ws(" ", r["action"], r["dest"]))
-    return beside(total, sample).select(
-        "refused", F.array_join(names, ", ").alias("quoted"), (F.col("refused") - F.size("rows")).alias("more")
-    )
+    return found.select(F.col("_all").alias("refused"), F.array_join(names, ", ").alias("quoted"), (F.col("_all") - F.size("rows")).alias("more"))
 
 
 def ensure_immutable(plan: DataFrame) -> DataFrame:
@@ -275,11 +272,10 @@ def apply_budget(plan: DataFrame, max_bytes: int) -> DataFrame:
     """Transfers that start before the byte budget is used up, in path order; other rows stay.
 
     The first transfer that would pass the budget stops the run, so nothing after it starts, however small.
-    Zero-byte and unmeasured transfers are charged nothing. The plan is written once, so its joins are not run
-    again for the search, which reads paths and sizes of the charged transfers alone.
+    Zero-byte and unmeasured transfers are charged nothing. Only the paths and sizes of the charged transfers are written for the search.
     """
-    plan = staged(plan, "plan")
     moving = F.col("action").isin(*TRANSFERS)
-    charged = plan.filter(moving & (F.col("size") > 0)).select("dest", "size")
+    charged = staged(plan.filter(moving & (F.col("size") > 0)).select("dest", "size"), "charged")
     cut = first_over_limit(charged, "dest", "size", max_bytes)
+    discard(charged)
     return plan if cut is None else plan.filter(~moving | (F.col("dest") < cut))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from objcat.errors import Refused
-from objcat.operators import audit, filters, integrity, keyfilter, preflight
+from objcat.operators import audit, filters, integrity, keyfilter, listing, preflight
 from objcat.operators.filters import FilterSet
 from objcat.plans import compare, recovery, transfer
 
@@ -98,6 +98,26 @@ def test_ten_thousand_rules_are_no_expression(spark):
     assert sorted(r["path"] for r in many.collect()) == sorted(f"d/x-{n * 1000}.bin" for n in range(10, 50))
 
 
+def test_reports_read_their_input_once(spark, tmp_path):
+    verdicts = ["followed", "broken", "not-followed"]
+    made = [(f"l{i:03}", verdicts[i % 3]) for i in range(100)]
+    links = stored(spark, tmp_path, "links", made, "path string, verdict string").repartition(7)
+    report = listing.link_report(links, sample=4)
+    assert plan_of(report).count("Relation ") == 1 and "Sort" not in plan_of(report)
+    row = report.first()
+    assert (row["followed"], row["skipped"], row["broken"], row["unnamed"]) == (34, 33, 33, 96)
+    assert [(n["path"], n["verdict"]) for n in row["notes"]] == made[:4]
+    empty = listing.link_report(links.limit(0)).first()
+    assert (empty["followed"], empty["unnamed"], empty["notes"]) == (0, 0, [])
+
+    plan = stored(spark, tmp_path, "plan", [(a, f"p{i}", f"p{i}", i, "r") for i, a in enumerate(["copy", "update", "delete"] * 9)], "action string, source string, dest string, size long, reason string")
+    found = transfer.immutable_violations(plan, quoted=2)
+    assert plan_of(found).count("Relation ") == 1
+    assert tuple(found.first()) == (18, "update p1, update p10", 16)
+    kept = transfer.apply_budget(plan, 20)
+    assert {r["dest"] for r in kept.filter("action <> 'delete'").collect()} == {"p0", "p1", "p10"} and kept.filter("action = 'delete'").count() == 9
+
+
 def test_rules_that_name_text_reach_the_scan_at_any_number(spark, tmp_path):
     inv = stored(spark, tmp_path, "inv", [("a/x-7-1.bin",), ("a/y.txt",), ("x-7-.bin",), ("b/q-7-z.bins",)], "path string")
     rules = FilterSet.build(rules_from=["".join(f"- *-{n}-*.bin\n" for n in range(5, 45)) + "- ???\n"], now=0)

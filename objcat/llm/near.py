@@ -19,7 +19,8 @@ SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 20, 6  # least hashes: a pair of similarity 0.8 shares a band in 0.998 of all cases
 LIKELY = 84  # of BANDS * ROWS equal bytes, so many are asked for before texts are compared (a pair of 0.8 has 96 on average)
 CHUNK = 256  # members of a mixed band that are held against each other at a time
-MEMBERS = 500  # texts that one task compares with a band's first text
+MEMBERS = 500  # texts that one task compares with a band's first text, or with the nodes asked of a component
+ASKED = 512  # of those, at a time
 
 # Odd multipliers of the least hashes, drawn once from a fixed seed.
 _MULTIPLY, _ADD = np.random.default_rng(80).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64, endpoint=False)
@@ -113,6 +114,21 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def similar_enough(a: np.ndarray, b: np.ndarray) -> bool:
+    if min(len(a), len(b)) * 100 < max(len(a), len(b)) * PERCENT:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * 100 >= (len(a) + len(b) - both) * PERCENT
+
+
+def texts_of(asked: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
+    """(node, text) of every node in `asked`, written once."""
+    wanted = nodes.join(asked.select("node").distinct(), "node", "left_semi").select("node", "id", "row")
+    found = docs.select(docs[key].alias("_id"), F.xxhash64(text_of(docs, text)).alias("_row"), text_of(docs, text).alias("text"))
+    found = found.join(wanted, (F.col("_id") == F.col("id")) & (F.col("_row") == F.col("row"))).select("node", "text")
+    return staged(found.groupBy("node").agg(F.first("text").alias("text")), "texts")  # equal rows have one text
+
+
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
     """Of the pairs (a, b), those whose texts share PERCENT of their shingles or more.
 
@@ -124,10 +140,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text
     dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
     asked = dealt.select("a", "part", F.lit(0).alias("nr"), F.col("a").alias("node")).distinct()
     asked = asked.unionByName(dealt.select("a", "part", F.lit(1).alias("nr"), F.col("b").alias("node")))
-    wanted = nodes.join(asked.select("node").distinct(), "node", "left_semi").select("node", "id", "row")
-    found = docs.select(docs[key].alias("_id"), F.xxhash64(text_of(docs, text)).alias("_row"), text_of(docs, text).alias("text"))
-    found = found.join(wanted, (F.col("_id") == F.col("id")) & (F.col("_row") == F.col("row"))).select("node", "text")
-    found = staged(found.groupBy("node").agg(F.first("text").alias("text")), "texts")  # equal rows have one text
+    found = texts_of(asked, docs, nodes, key, text)
     sorted_ = asked.join(found, "node").repartition("a", "part").sortWithinPartitions("a", "part", "nr").select("a", "nr", "node", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,8 +152,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text
                 if nr == 0:
                     mine = other
                     continue
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                if both * 100 >= (len(mine) + len(other) - both) * PERCENT:
+                if similar_enough(mine, other):
                     kept.append((a, node))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in kept], pa.int64()) for i in (0, 1)], ["a", "b"])
 
@@ -149,33 +161,84 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text
     return links
 
 
-def across(members: DataFrame, nodes: DataFrame, tested: DataFrame, best: int) -> DataFrame:
-    """(a, b) of bands that still hold several components: for each node and other component, its `best` likeliest partners not tested yet.
+def across(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(x, of): nodes outside the largest component of a band, and the other components there that hold a likely partner of theirs.
 
-    `members` are (band, node, n, of). A band is cut into chunks by hash, and every two chunks meet in one group of at most about
-    2 * CHUNK short rows; the pairs of a group are held against each other as one matrix, and are not rows.
+    `members` are (band, node, n, of). Only those outside a band's largest component are held against the whole band, so
+    a large group that is joined already costs one short row for each text. Both sides are cut into chunks by hash, and every two chunks
+    meet in one group of at most about 2 * CHUNK rows; the pairs of a group are held against each other as one matrix, and are not rows.
     """
-    sizes = members.groupBy("band").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    mixed = members.join(sizes.filter("low <> high").select("band", "chunks"), "band")
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    spread = mixed.select("band", "node", "n", "of", chunk.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    spread = spread.select("band", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "node", "n", "of")
+    parts = members.groupBy("band", "of").agg(F.count(F.lit(1)).alias("times"))
+    sizes = parts.groupBy("band").agg(F.max(F.struct("times", "of")).alias("main"), F.sum("times").alias("whole"))
+    chunks = lambda n: F.ceil(n / CHUNK).cast("int")
+    mixed = sizes.filter(F.col("main.times") < F.col("whole"))
+    mixed = mixed.select("band", F.col("main.of").alias("main"), chunks(F.col("whole") - F.col("main.times")).alias("few"), chunks(F.col("whole")).alias("all"))
+    inside = members.join(mixed, "band")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["band", "node", "n", "of"]
+    outside = inside.filter(F.col("of") != F.col("main")).select(*columns, F.lit(True).alias("outside"), place("few").alias("p"), over("all").alias("q"))
+    spread = outside.unionByName(inside.select(*columns, F.lit(False).alias("outside"), over("few").alias("p"), place("all").alias("q")))
     spread = spread.join(nodes.select("node", "least"), "node")
 
     def run(table: pa.Table) -> pa.Table:
         node, n, of = (table[c].to_numpy() for c in ("node", "n", "of"))
         least = np.frombuffer(b"".join(table["least"].to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-        pairs = []
-        for at in range(len(node)):
-            equal = (least == least[at]).sum(axis=1)
-            small, large = np.minimum(n, n[at]), np.maximum(n, n[at])
-            pairs += [(node[at], node[k], int(equal[k]), of[k]) for k in np.flatnonzero((of != of[at]) & (equal >= LIKELY) & (small * 100 >= large * PERCENT))]
-        return pa.table({c: pa.array([p[i] for p in pairs], pa.int64()) for i, c in enumerate(("x", "y", "equal", "of"))})
+        outside = table["outside"].to_numpy(zero_copy_only=False)
+        other = np.flatnonzero(~outside)
+        node_, n_, of_, least_ = node[other], n[other], of[other], least[other]
+        found = set()
+        for at in np.flatnonzero(outside):
+            equal = (least_ == least[at]).sum(axis=1)
+            small, large = np.minimum(n_, n[at]), np.maximum(n_, n[at])
+            fit = (of_ != of[at]) & (equal >= LIKELY) & (small * 100 >= large * PERCENT)
+            found |= {(int(node[at]), int(c)) for c in np.unique(of_[fit])}
+        return pa.table({c: pa.array([f[i] for f in found], pa.int64()) for i, c in enumerate(("x", "of"))})
+
+    return spread.groupBy("band", "p", "q").applyInArrow(run, "x long, of long").distinct()
+
+
+def joined_to(asked: DataFrame, members: DataFrame, docs: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
+    """(a, b): for each (x, of) asked, a member of the component that shares PERCENT of its shingles with x, if there is one.
+
+    Members (node, of) and asked nodes of a component are cut into chunks by hash. A task holds the shingles of the asked nodes of
+    one chunk, at most about ASKED, and reads the texts of the members one by one; so a text is moved once for each chunk of asked nodes,
+    and pairs are not rows.
+    """
+    few = asked.groupBy("of").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("few"))
+    sizes = members.join(few, "of").groupBy("of", "few").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("all"))
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.withColumnRenamed("x", "node").join(sizes, "of").select("node", "of", F.lit(0).alias("nr"), place("few").alias("p"), over("all").alias("q"))
+    right = members.join(sizes, "of").select("node", "of", F.lit(1).alias("nr"), over("few").alias("p"), place("all").alias("q"))
+    rows = staged(left.unionByName(right), "asked")
+    found = texts_of(rows, docs, nodes, key, text).join(nodes.select("node", "least"), "node")
+    dealt = rows.join(found, "node").repartition("of", "p", "q").sortWithinPartitions("of", "p", "q", "nr").select("of", "p", "q", "nr", "node", "least", "text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, mine, sketched, ready = None, [], [], None
+        for batch in slices(batches, 256):
+            kept = []
+            places = zip(*(batch.column(c).to_pylist() for c in ("of", "p", "q")))
+            for place, nr, node, least, whole in zip(places, batch.column("nr").to_pylist(), batch.column("node").to_pylist(), batch.column("least").to_pylist(), texts(batch, "text")):
+                if place != now:
+                    now, mine, sketched, ready = place, [], [], None
+                sketch = np.frombuffer(least, np.uint8)
+                if nr == 0:
+                    mine.append((node, similar.shingles(whole, SHINGLE)))
+                    sketched.append(sketch)
+                    continue
+                if ready is None:
+                    ready, open_ = np.array(sketched).reshape(-1, BANDS * ROWS), np.ones(len(mine), bool)
+                likely_ = np.flatnonzero(open_ & ((ready == sketch).sum(axis=1) >= LIKELY))
+                other = similar.shingles(whole, SHINGLE) if len(likely_) else None
+                for at in likely_:
+                    if similar_enough(mine[at][1], other):
+                        kept.append((mine[at][0], node))
+                        open_[at] = False  # one link joins it
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    found = spread.groupBy("band", "p", "q").applyInArrow(run, "x long, y long, equal long, of long").distinct()
-    found = found.withColumn("a", F.least("x", "y")).withColumn("b", F.greatest("x", "y")).join(tested, ["a", "b"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("x", "of").orderBy(F.desc("equal"), "y"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= best).select("a", "b").distinct()
+    return staged(dealt.mapInArrow(run, "a long, b long"), "across-links")
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -184,8 +247,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     Two texts are near if their fingerprints of four-word or five-word shingles differ in at most 4 bits, or if they share 0.8 or more
     of their distinct five-word shingles. Links of the first kind are all found, through the tables of distances to
     reference fingerprints. For those of the second, texts that share a band of least hashes are candidates. In each band all are
-    compared with its first text, which joins most of a group of copies at a cost of one comparison each; bands that still hold
-    several components go on, each node with its likeliest partner in each other component, then with 4, 16, … until none is left.
+    compared with its first text, which joins most of a group of copies at a cost of one comparison each. Where a band still holds
+    several components, each node outside the largest one is compared with all members of every other component in which it has
+    a likely partner, until one is near.
     Similarity itself is always counted on whole texts. A pair of exactly 0.8 shares no band in 0.002 of all cases, and has too few equal
     least hashes in 0.003; texts that are more alike are missed less often.
     """
@@ -197,9 +261,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     shared = rows.groupBy("band").agg(F.min(F.struct("node", "n")).alias("first"), F.max("node").alias("last")).filter(F.col("first.node") < F.col("last"))
     members = staged(rows.join(shared.select("band", "first"), "band").select("band", "node", "n", "first"), "members")
     star = members.filter((F.col("first.node") < F.col("node")) & fits(F.col("n"), F.col("first.n")))
-    tested = staged(likely(star.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), nodes), "candidates")
+    stars = staged(likely(star.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), nodes), "candidates")
 
-    edges = [verified(tested, docs, nodes, key, text)]
+    edges = [verified(stars, docs, nodes, key, text)]
     for column in ("fp4", "fp5"):
         edges += fingerprint_links(prints, column)
     whole = edges[0]
@@ -207,26 +271,22 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         whole = whole.unionByName(more)
     links = staged(whole.distinct(), "near")
     of = connected(links, "a", "b").select("node", F.col("component").alias("of"))
-    best = 1
-    while True:
-        inside = members.select("band", "node", "n").join(of, "node", "left").select("band", "node", "n", F.coalesce("of", "node").alias("of"))
-        pairs = staged(across(inside, nodes, tested, best), "across")
-        if pairs.isEmpty():
-            break
-        tested = staged(tested.unionByName(pairs), "tested")
+    inside = members.select("band", "node", "n").join(of, "node", "left").select("band", "node", "n", F.coalesce("of", "node").alias("of"))
+    inside = staged(inside, "components")
+    asked = staged(across(inside, nodes), "across")
+    if not asked.isEmpty():
+        more = joined_to(asked, inside.select("node", "of").distinct(), docs, nodes, key, text)
         # What is new joins components, not texts: a few rows.
-        more = verified(pairs, docs, nodes, key, text)
         for side in "ab":
-            ends = of.select(F.col("node").alias(side), "of")
-            more = more.join(ends, side, "left").withColumn(side, F.coalesce("of", side)).drop("of")
+            ends = inside.select(F.col("node").alias(side), "of").distinct()
+            more = more.join(ends, side).drop(side).withColumnRenamed("of", side)
         joined = connected(more.distinct(), "a", "b").withColumnRenamed("node", "of")
         known = of.join(joined, "of", "left").select("node", F.coalesce("component", "of").alias("of"))
         fresh = joined.join(of, "of", "left_anti").select(F.col("of").alias("node"), F.col("component").alias("of"))
         of = staged(known.unionByName(fresh), "components")
-        best *= 4
     named = prints.select("id", "row", "node").join(of, "node", "left")
     named = staged(named.select("id", "row", F.coalesce("of", "node").alias("component")), "named")
-    discard(prints, nodes, members)
+    discard(prints, nodes, members, inside)
     return named
 
 

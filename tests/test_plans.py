@@ -142,10 +142,11 @@ def test_replicate(spark):
         replicate.replicate_plan(src, dst, "hope")
 
 
+# Two names in decomposed form, one of them a folder's; one file without bytes, one deep, one large.
 TREE = [
-    ("README.md", 10), ("empty.txt", 0), ("a name with spaces.txt", 3), ("reports/quarterly summaries/q1 2024.txt", 4),
-    ("notes/café.txt", 5), ("notes/naïve.txt", 6), ("média/photo.txt", 7), ("notes/Ωmega.txt", 8),
-    ("archive/2024/q1/reports/regional/north/summary/final notes.txt", 9), ("media/large.bin", 12 << 20),
+    ("index.csv", 11), ("blank.dat", 0), ("maps/two words.svg", 12), ("maps/tiles/z 3/x7.png", 13),
+    ("people/Zo\u00eb.vcf", 14), ("people/Ange\u0301lique.vcf", 15), ("mu\u0308nchen/plan.svg", 16), ("people/\u0416\u0435\u043d\u044f.vcf", 17),
+    ("a/b/c/d/e/f/g/h/i/leaf.bin", 18), ("dump.sql", 30_000_000),
 ]
 
 
@@ -155,10 +156,10 @@ def test_restore_drill(spark):
     actual = expected.withColumn("path", nfc("path"))
     got = [r["status"] for r in compare.compare_manifest(expected, actual).collect()]
     assert sorted(got) == ["identical"] * 8 + ["respelled"] * 2
-    damaged = actual.filter("path <> 'README.md'").withColumn("hash", F.when(F.col("path") == "empty.txt", "bad").otherwise(F.col("hash")))
+    damaged = actual.filter("path <> 'index.csv'").withColumn("hash", F.when(F.col("path") == "blank.dat", "bad").otherwise(F.col("hash")))
     damaged = damaged.unionByName(spark.createDataFrame([("new", 1, "x")], "path string, size long, hash string"))
     by_path = {r["path"]: r["status"] for r in compare.compare_manifest(expected, damaged).collect()}
-    assert by_path["README.md"] == "missing" and by_path["empty.txt"] == "differing" and by_path["new"] == "unexpected"
+    assert by_path["index.csv"] == "missing" and by_path["blank.dat"] == "differing" and by_path["new"] == "unexpected"
 
 
 def test_superseded(spark):

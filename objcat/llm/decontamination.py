@@ -78,51 +78,105 @@ class Block:
         covered = np.bincount(np.searchsorted(self.first, touched, "right") - 1, minlength=len(self.items))
         for item in np.flatnonzero((covered > 0) & (covered >= threshold * self.sizes)):
             goal = self.items[item]
-            tiled, tiles = _tiled(doc, goal, *self._meetings(rolled, at, goal), self.length)
+            starts = at[np.isin(rolled, self._rolled(goal))]
+            tiled, tiles = _tiled(_within(doc, starts, self.length), goal, self.length)
             if tiled >= threshold * len(goal):
                 yield self.ids[item], len(goal), tiled, tiles
 
-    def _meetings(self, rolled: np.ndarray, at: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The seeds that a text and one item share: each place in the text with each place in the item."""
-        value = self._rolled(goal)
-        order = np.argsort(value, kind="stable")
-        low, high = np.searchsorted(value, rolled, "left", order), np.searchsorted(value, rolled, "right", order)
-        sizes = high - low
-        index = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        return np.repeat(at, sizes), order[index]
 
+def _within(doc: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """The words that runs of `length` from `starts` cover, in order, with a 0 wherever words between them are left out."""
+    covered = np.zeros(len(doc) + 1, np.int64)
+    np.add.at(covered, starts, 1)
+    np.add.at(covered, starts + length, -1)
+    inside = np.cumsum(covered[:-1]) > 0
+    gap = ~inside
+    gap[1:] &= inside[:-1]  # of each gap, its first word
+    return np.where(inside, doc, 0)[inside | gap]
+
+
+class _Runs:
+    """Karp-Rabin values of the unmarked runs of any length in a sequence of word numbers; 0 is never part of a run."""
+
+    def __init__(self, numbers: np.ndarray):
+        mixed = numbers.astype(np.uint64) * _BASE
+        mixed ^= mixed >> np.uint64(29)
+        powers = np.full(len(numbers) + 1, _BASE, np.uint64)
+        powers[0] = 1
+        self.powers = np.multiply.accumulate(powers)
+        # Sums over all words so far, the last with the highest power: a run is the difference of two, brought to one power.
+        self.sums = np.zeros(len(numbers) + 1, np.uint64)
+        np.cumsum(mixed * self.powers[:-1], out=self.sums[1:])
+        self.free = numbers > 0
 
-def _tiled(doc: np.ndarray, goal: np.ndarray, where: np.ndarray, place: np.ndarray, length: int) -> tuple[int, int]:
+    def starts(self, length: int) -> np.ndarray:
+        """Where unmarked runs of `length` begin."""
+        taken = np.concatenate([[0], np.cumsum(~self.free)])
+        return np.flatnonzero(taken[length:] == taken[: len(taken) - length])
+
+    def values(self, starts: np.ndarray, length: int) -> np.ndarray:
+        """The runs' values, all brought to the highest power of the sequence."""
+        return (self.sums[starts + length] - self.sums[starts]) * self.powers[len(self.free) - starts]
+
+
+def _tiled(doc: np.ndarray, goal: np.ndarray, length: int) -> tuple[int, int]:
     """Words of `goal` covered by greedy string tiling against `doc`, and the number of tiles.
 
     Again and again the longest common runs of unmarked words are marked, in both, until none of `length` is left.
-    A run of that length starts at a shared seed all of whose words are unmarked; words are compared, so a
-    false seed (equal value, other words) is nothing.
+    The longest length is found by halving: a common run of n words holds one of every shorter length. Each pass is
+    linear in both texts, however often words repeat, and there are at most as many passes as tiles have different
+    lengths, whose sum is within the item. Words are compared before they are marked, so equal values of other
+    words are nothing.
     """
-    free_doc, free_goal = np.ones(len(doc), bool), np.ones(len(goal), bool)
-    seeds = [(i, j) for i, j in sorted(zip(where.tolist(), place.tolist())) if (doc[i : i + length] == goal[j : j + length]).all()]
+    size = max(len(doc), len(goal))  # both are brought to one power
+    ours, theirs = _Runs(np.pad(doc, (0, size - len(doc)))), _Runs(np.pad(goal, (0, size - len(goal))))
     tiled = tiles = 0
-    while seeds:
-        seeds = [(i, j) for i, j in seeds if free_doc[i : i + length].all() and free_goal[j : j + length].all()]
-        longest, best, known = 0, [], set(seeds)
-        for i, j in seeds:
-            if (i - 1, j - 1) in known:
-                continue  # inside a run that starts earlier
-            n = length
-            while (i + n - length + 1, j + n - length + 1) in known:
-                n += 1
-            if n > longest:
-                longest, best = n, []
-            if n == longest:
-                best.append((i, j))
-        for i, j in best:
-            if free_doc[i : i + longest].all() and free_goal[j : j + longest].all():
-                free_doc[i : i + longest] = False
-                free_goal[j : j + longest] = False
-                tiled, tiles = tiled + longest, tiles + 1
+    limit = min(len(doc), len(goal))
+    while limit >= length:
+        low, high, middle = length - 1, limit, length
+        places = ours.starts(length)
+        while low < high:
+            longer = places[places + middle <= size]
+            wanted = theirs.starts(middle)
+            free = longer[np.isin(longer, ours.starts(middle), assume_unique=True)]
+            shared = free[np.isin(ours.values(free, middle), theirs.values(wanted, middle))]
+            if len(shared):
+                low, places = middle, shared
+            else:
+                high = middle - 1
+            middle = (low + high + 1) // 2
+        if low < length:
+            break
+        marked = _mark(ours, theirs, places, doc, goal, low)
+        tiled, tiles, limit = tiled + low * marked, tiles + marked, low - 1
     return tiled, tiles
 
 
+def _mark(ours: _Runs, theirs: _Runs, places: np.ndarray, doc: np.ndarray, goal: np.ndarray, length: int) -> int:
+    """Mark common runs of `length` from left to right, each with the first free place in the item; how many there were."""
+    waiting: dict[int, list[int]] = {}
+    starts = theirs.starts(length)
+    for value, j in zip(theirs.values(starts, length).tolist()[::-1], starts.tolist()[::-1]):
+        waiting.setdefault(value, []).append(j)  # the first place last, where it is taken
+    begin = marked = 0
+    for i, value in zip(places.tolist(), ours.values(places, length).tolist()):
+        if i < begin:
+            continue
+        left = waiting.get(value)
+        while left and not theirs.free[left[-1] : left[-1] + length].all():
+            left.pop()
+        for j in reversed(left or ()):
+            if theirs.free[j : j + length].all() and (doc[i : i + length] == goal[j : j + length]).all():
+                ours.free[i : i + length] = theirs.free[j : j + length] = False
+                begin, marked = i + length, marked + 1
+                break
+        if left is not None and not left:
+            del waiting[value]
+            if not waiting:
+                break
+    return marked
+
+
 def blocks(benchmark: DataFrame, item: str, text: str, limit: int = BLOCK_CHARS) -> Iterator[list[tuple[object, str]]]:
     """The distinct items with text, a block at a time."""
     rows = benchmark.select(benchmark[item].alias("item"), text_of(benchmark, text).alias("text")).filter("text <> ''").distinct().orderBy("item", "text")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from html import unescape
 
@@ -42,12 +43,17 @@ NEVER = frozenset(
 # with any other word in it (has-sidebar, related-work, hidden-xs) says nothing.
 AROUND = re.compile(
     r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|nav|navbar|navigation|menu|menubar|"
-    r"breadcrumbs?|sidebar|side|complementary|contentinfo|footer|masthead|comments?|commentlist|disqus|replies|reply|respond|share|sharing|social|related|recommended|"
+    r"breadcrumbs?|sidebar|side|complementary|contentinfo|footer|masthead|comments?|commentlist|disqus|replies|reply|respond|feedback|discussions?|reactions?|opinions|share|sharing|social|related|recommended|"
     r"newsletter|subscribe|subscription|signup|login|search|pagination|pager|widget|toolbar|skip|hidden"
 )
-BESIDE = re.compile(r"site|page|posts?|articles?|stories|links?|buttons?|icons?|list|items?|box|bar|block|area|section|container|wrapper|wrap|inner|form|policy|primary|secondary|main|top|bottom|to|content|\d*")
-TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+BESIDE = re.compile(r"site|page|posts?|articles?|stories|links?|buttons?|icons?|list|items?|box|bar|block|area|section|container|wrapper|wrap|inner|form|policy|primary|secondary|main|top|bottom|to|content|readers?|users?|guests?|\d*")
+# What the class, id or itemprop of a comment's author and time are called, as the rest of a name or on its own.
+AUTHOR = re.compile(r"author|user|avatar|byline|nick|poster|commenter")
+TIME = re.compile(r"date|time|posted|\bago\b")
+THREAD = 3  # so many like elements in a row may be a thread of comments
+# What a < begins: a comment, a tag (only its name is read), or a declaration.
+OPENS = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)|<[!?/]", re.S)
+STOPS = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s"'/]|$)""", re.I | re.S)
 
 
@@ -71,11 +77,9 @@ def _surrounds(value: str) -> bool:
     return False
 
 
-def _left_out(tag: str, attributes: str, parent: Node) -> tuple[bool, bool, str]:
+def _left_out(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, str]:
     """Whether an element is out, whether it is named as surroundings, and its marks."""
-    if tag in NEVER:
-        return True, False, ""
-    if tag == "header" and not _inside(parent, ("article", "main")):
+    if tag in NEVER or tag == "header" and not in_article:
         return True, False, ""
     marks, named = "", False
     for name, value in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
@@ -87,77 +91,133 @@ def _left_out(tag: str, attributes: str, parent: Node) -> tuple[bool, bool, str]
     return False, named, marks
 
 
-def _inside(node: Node | None, tags: Iterable[str]) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
+class _Ends:
+    """Finds the > that ends a tag, outside quotes.
+
+    Which quotes are known to lead to the end of the page without one is kept, so that all the searches for a page
+    together take time in proportion to its length, however many of its quotes are open.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last, self.vain = html, {c: html.rfind(c) for c in ">\"'"}, set()
+
+    def of(self, at: int) -> int:
+        """Where the tag that begins before `at` ends, quotes skipped; without such an end, at the next >; else -1."""
+        if at > self.last[">"]:
+            return -1
+        place, passed = at, []
+        while stop := STOPS.search(self.html, place):
+            begin, sign = stop.start(), stop.group()
+            if sign == ">":
+                return begin
+            passed.append(begin)
+            if begin in self.vain or begin == self.last[sign]:
+                break
+            place = self.html.find(sign, begin + 1) + 1
+        self.vain.update(passed)
+        return self.html.find(">", at)
+
+
+class _Open:
+    """The open elements, outermost first, and for each tag how deep its open elements are."""
+
+    def __init__(self, root: Node):
+        self.path, self.depths = [], {}
+        self.blocks: list[int] = []
+        self.push(root)
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.path))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.path))
+        self.path.append(node)
+
+    def cut(self, depth: int) -> None:
+        """End all elements from this depth on, but never the root."""
+        while len(self.path) > max(1, depth):
+            node = self.path.pop()
+            self.depths[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+
+    def deepest(self, tags: Iterable[str]) -> int:
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=-1)
+
+    def end(self, tag: str) -> None:
+        """An end tag ends the last element of its name; out of a block it does not reach, unless it is a block's."""
+        depth = self.deepest((tag,))
+        if depth > 0 and (tag in BLOCK or depth > self.blocks[-1]):
+            self.cut(depth)
+
+    def end_before(self, ended: Iterable[str], barrier: Iterable[str]) -> None:
+        """End the outermost element of `ended` within the last open one of `barrier`."""
+        wall = self.deepest(barrier)
+        found = [d[k] for t in ended if (d := self.depths.get(t)) and (k := bisect_right(d, wall)) < len(d)]
+        if found:
+            self.cut(min(found))
 
 
 def parse(html: str) -> Node:
-    """The tree of elements and texts of a page, however broken: open elements are ended where HTML says so."""
-    root = Node("html", None, False)
-    here, at, size = root, 0, len(html)
+    """The tree of elements and texts of a page, however broken: open elements are ended where HTML says so.
 
-    def add(text: str) -> None:
-        if text:
-            here.parts.append(unescape(text))
+    Time is in proportion to the page's length, whatever is left open in it.
+    """
+    root = Node("html", None, False)
+    opened, ends, at, size, body = _Open(root), _Ends(html), 0, len(html), False
 
     while at < size:
         begin = html.find("<", at)
+        here = opened.path[-1]
         if begin < 0:
-            add(html[at:])
+            here.parts.append(unescape(html[at:]))
             break
-        match = TOKEN.match(html, begin) or LOOSE.match(html, begin)
-        if not match:
-            add(html[at : begin + 1])  # a lone < is text
+        whole = html.startswith("<!--", begin)
+        match = OPENS.match(html, begin) if whole or begin < ends.last[">"] else None
+        tag = match and match.group(2)
+        stop = -1 if not match else match.end() - 1 if whole else ends.of(match.end()) if tag else html.find(">", match.end())
+        if stop < 0:
+            here.parts.append(unescape(html[at : begin + 1]))  # a lone < is text
             at = begin + 1
             continue
-        add(html[at:begin])
-        at = match.end()
-        if not match.lastindex:
+        if begin > at:
+            here.parts.append(unescape(html[at:begin]))
+        at = stop + 1
+        if not tag:
             continue  # comment, doctype or the like
-        closing, tag, attributes = match.group(1), match.group(2).lower(), match.group(3)
-        if closing:
-            node = here
-            while node is not None and node.tag != tag:
-                # A stray end tag does not reach out of a block it is not the end of.
-                node = None if tag not in BLOCK and node.tag in BLOCK else node.parent
-            if node is not None and node.parent is not None:
-                here = node.parent
+        tag, attributes = tag.lower(), html[match.end() : stop]
+        if match.group(1):
+            opened.end(tag)
             continue
         if tag in ("html", "body"):
-            if tag == "body" and not any(isinstance(n, Node) and n.tag == "body" for n in root.parts):
-                here = Node("body", root, False)
-                root.parts.append(here)
+            if tag == "body" and not body:
+                body = True
+                opened.cut(1)
+                node = Node("body", root, False)
+                root.parts.append(node)
+                opened.push(node)
             continue
-        ended, barrier = CLOSES.get(tag, ((), ()))
-        node, last = here, None
-        while ended and node is not None and node.tag not in barrier:
-            if node.tag in ended:
-                last = node
-            node = node.parent
-        if last is not None and last.parent is not None:
-            here = last.parent
-        if tag in HEADINGS and here.tag in HEADINGS and here.parent is not None:
-            here = here.parent
-        if tag in BLOCK and here.tag == "head" and here.parent is not None:
-            here = here.parent
-        out, named, marks = _left_out(tag, attributes, here)
+        opened.end_before(*CLOSES.get(tag, ((), ())))
+        if tag in HEADINGS and opened.path[-1].tag in HEADINGS:
+            opened.cut(len(opened.path) - 1)
+        if tag in BLOCK and opened.path[-1].tag == "head":
+            opened.cut(len(opened.path) - 1)
+        here = opened.path[-1]
+        out, named, marks = _left_out(tag, attributes, opened.deepest(("article", "main")) > 0)
         node = Node(tag, here, out or here.out, marks)
         node.named = named
         here.parts.append(node)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+            end = re.compile(rf"</{tag}\b", re.I).search(html, at)
+            close = html.find(">", end.end()) if end else -1
             if tag == "textarea":
-                node.parts.append(html[at : end.start() if end else size])
-            at = end.end() if end else size
+                node.parts.append(html[at : end.start() if close >= 0 else size])
+            at = close + 1 if close >= 0 else size
             continue
-        here = node
+        opened.push(node)
     _leave_out_named(root)
+    _leave_out_threads(root)
     return root
 
 
@@ -182,13 +242,58 @@ def _leave_out_named(root: Node) -> None:
             plain[i] = 0
     for i, node in enumerate(nodes):
         node.out = node.named and 2 * plain[i] <= plain[0]
-    bodies = [at[id(n)] for n in _order(root) if n.tag in ("article", "main")]
+    bodies = [k for n in _order(root) if n.tag in ("article", "main") and 20 * plain[k := at[id(n)]] >= plain[0]]
     for i, node in enumerate(nodes):
         if node.named and not node.out:
             beside = [plain[k] - plain[i] * (last[k] >= i > k) for k in bodies if not i <= k <= last[i]]
             node.out = any(b > 0 and 20 * b >= plain[0] for b in beside)
 
 
+def _leave_out_threads(root: Node) -> None:
+    """Leave out threads of reader comments, known by their structure.
+
+    A thread is an element with at least THREAD children of one tag and class, not paragraphs, that hold most of its text,
+    after at least a tenth of the page's text. Besides, most of these children name an author and a time, or the thread is
+    named as surroundings, or it comes after the end of the page's only article, if that has a tenth of the text.
+    Articles in a row are a thread only inside an article, where they are comments. Text counts outside links.
+    """
+    nodes = _order(root)
+    at = {id(n): i for i, n in enumerate(nodes)}
+    begin, size, signed = [0] * len(nodes), [0] * len(nodes), [0] * len(nodes)
+    around = [frozenset()] * len(nodes)  # which of article and main are around a node
+    for i in reversed(range(len(nodes))):
+        node = nodes[i]
+        signed[i] = bool(AUTHOR.search(node.marks)) + 2 * (node.tag == "time" or bool(TIME.search(node.marks)))
+        for part in node.parts:
+            if isinstance(part, str):
+                size[i] += len(" ".join(part.split()))
+            elif not part.out:
+                size[i] += size[at[id(part)]]
+                signed[i] |= signed[at[id(part)]]
+        if node.tag == "a":
+            size[i] = 0
+    for i, node in enumerate(nodes):
+        place, within = begin[i], around[i] | ({node.tag} & {"article", "main"})
+        for part in node.parts:
+            if isinstance(part, str):
+                place += 0 if node.tag == "a" else len(" ".join(part.split()))
+            elif not part.out:
+                begin[at[id(part)]], around[at[id(part)]] = place, within
+                place += size[at[id(part)]]
+    outer = [i for i, n in enumerate(nodes) if n.tag in ("article", "main") and size[i] and not around[i]]
+    ended = begin[outer[0]] + size[outer[0]] if len(outer) == 1 and 10 * size[outer[0]] >= size[0] else math.inf
+    for i, node in enumerate(nodes):
+        if not size[i] or 10 * begin[i] < size[0] or node.tag in ("body", "main"):
+            continue
+        rows: dict[tuple[str, str], list[int]] = {}
+        for part in node.parts:
+            if isinstance(part, Node) and not part.out and part.tag != "p":
+                rows.setdefault((part.tag, " ".join(re.findall("class=([^=]*)(?= |$)", part.marks))), []).append(at[id(part)])
+        for (tag, _), row in rows.items():
+            if len(row) >= THREAD and 2 * sum(size[k] for k in row) > size[i] and (tag != "article" or "article" in around[i] or node.tag == "article"):
+                node.out = node.out or node.named or begin[i] >= ended or 2 * sum(signed[k] == 3 for k in row) > len(row)
+
+
 def _order(root: Node) -> list[Node]:
     """All nodes that may count, parents first."""
     out, stack = [], [root]
@@ -233,6 +338,12 @@ def _path(node: Node) -> list[Node]:
     return out
 
 
+def _articles(node: Node) -> list[Node]:
+    """The articles around a node, or else what is marked as the main part around it."""
+    path = _path(node)
+    return [n for n in path if n.tag == "article" or "itemprop=articlebody" in n.marks] or [n for n in path if n.tag == "main" or "role=main" in n.marks]
+
+
 def main_nodes(root: Node) -> set[int]:
     """The nodes whose whole content is main text.
 
@@ -245,16 +356,15 @@ def main_nodes(root: Node) -> set[int]:
         return set()
     if best.total == 0.0:
         best = next((n for n in nodes if n.tag == "body"), root)
-    around = [n for n in _path(best) if n.tag == "article" or "itemprop=articlebody" in n.marks]
-    wide = around or [n for n in _path(best) if n.tag == "main" or "role=main" in n.marks]
+    wide = _articles(best)
     best = wide[-1] if wide else best
     path = _path(best)
-    least = min(n.density for n in path if n.tag != "html" or len(path) == 1)
+    least, on_path = min(n.density for n in path if n.tag != "html" or len(path) == 1), {id(n) for n in path}
     chosen = {id(best)}
     if not wide:
         for node in path[1:]:
             for part in node.parts:
-                if isinstance(part, Node) and not part.out and part not in path and part.chars and part.density >= least:
+                if isinstance(part, Node) and not part.out and id(part) not in on_path and part.chars and part.density >= least:
                     chosen.add(id(part))
     return chosen
 

@@ -5,6 +5,7 @@ import itertools
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -245,6 +246,17 @@ def test_tiling_by_brute_force_in_one_block_or_many(spark, monkeypatch):
         monkeypatch.undo()
 
 
+def test_tiling_of_repetition():
+    for text, item, want in (
+        ("a " * 200_000, "a " * 100, (100, 100, 1)),
+        ("a b a b a b a c " * 5_000, "a b " * 500 + "c", (1001, 875, 125)),
+        ("a " * 7 + "x " + "a " * 6, "a " * 20, (20, 13, 2)),
+    ):
+        began = time.perf_counter()
+        assert list(decontamination.Block([(1, item)], 5).matches(text.encode(), 0.6)) == [(1, *want)]
+        assert time.perf_counter() - began < 10
+
+
 # 5
 
 
@@ -376,6 +388,41 @@ def test_layout_names_do_not_take_the_text():
     assert got.split("\n")[5:] == ["Others did so too.", "They fell.", "So x=2."]
 
 
+def test_broken_pages_take_linear_time():
+    draw = random.Random(8)
+    broken = {
+        "open blocks": "<div><p>" * 20_000,
+        "open quotes": '<p class="x' * 50_000,
+        "open apostrophes": "<a '" * 50_000,
+        "no end": "<a" * 100_000,
+        "quotes in any order": "".join(draw.choice("<a '\">") for _ in range(200_000)),
+        "no end of title": "<title></title" * 20_000,
+        "stray ends": "<b>" * 20_000 + "<i></x>" * 20_000,
+    }
+    for name, page in broken.items():
+        began = time.perf_counter()
+        pages.main_text(page)
+        assert time.perf_counter() - began < 10, name
+
+
+def test_reader_comments_by_structure():
+    story = "".join(f"<p>Sentence {i} of the story, with many words to read and no link in it at all.</p>" for i in range(5))
+    remarks = "".join(f"<div class=entry><span class=author>Reader {i}</span> <time>May {i}</time><p>Remark {i}: I have a lot to say about this and I will say it.</p></div>" for i in range(1, 31))
+    bare = "".join(f"<div class=entry><p>Remark {i}: I have a lot to say about this and I will say it.</p></div>" for i in range(1, 31))
+    for page in (
+        f"<body><article>{story}</article><div class='reader-opinions'>{bare}</div>",
+        f"<body><article>{story}</article><div class=x>{bare}</div>",
+        f"<body><div class=text>{story}</div><div class='user-feedback'>{bare}</div>",
+        f"<body><div class=text>{story}</div><div class=x>{remarks}</div>",
+        f"<body><article>{story}<div class=x>{remarks}</div></article>",
+    ):
+        got = pages.main_text(page)
+        assert got.count("Sentence") == 5 and "Remark" not in got, page[:80]
+    # Entries with author and time that nothing comes before are the text, and so are rows without them inside an article.
+    assert pages.main_text(f"<body><div class=x>{remarks}</div>").count("Remark") == 30
+    assert pages.main_text(f"<body><article>{story}<div class=x>{bare}</div></article>").count("Remark") == 30
+
+
 def test_pages_with_odd_rows(spark):
     frame = spark.createDataFrame([(1, "u", "<p>a  b</p>", "x"), (2, None, None, "x"), (1, "u", "<p>a  b</p>", "x"), (None, "v", "", "x")], "page_id long, url string, html string, text string")
     got = pages.extract(frame).collect()

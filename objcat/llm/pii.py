@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,6 +39,21 @@ WHOLE_IPV6 = r"::|\A(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\z"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 
+def _in_pieces(items: Column, work: Callable[[Column, Column], Column]) -> Column:
+    """The results of `work(earlier items, items of a piece)` in a row, for pieces of about as many items as there are pieces.
+
+    An array that grows item by item is copied at each step: within a piece that stays short, however many items there are.
+    """
+
+    def pieces(all_items: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(all_items))).cast("int"), F.lit(1))
+        last = F.greatest(F.ceil(F.size(all_items) / size).cast("int") - 1, F.lit(0))
+        return F.flatten(F.transform(F.sequence(F.lit(0), last), lambda k: work(F.slice(all_items, F.lit(1), k * size), F.slice(all_items, k * size + 1, size))))
+
+    # As the argument of a function, the items are worked out once.
+    return F.get(F.transform(F.array(items), pieces), F.lit(0))
+
+
 def _found(text: Column, pattern: str, needed: str) -> Column:
     """Matches with their places: array of (start, end, match), in code points, end exclusive.
 
@@ -48,7 +64,6 @@ def _found(text: Column, pattern: str, needed: str) -> Column:
     between = F.transform(F.split(text, pattern, -1), lambda piece: F.length(piece))
     pairs = F.arrays_zip(between.alias("gap"), matches.alias("match"))
     none = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def add(state: Column, pair: Column) -> Column:
         start = state["at"] + pair["gap"]
@@ -58,7 +73,11 @@ def _found(text: Column, pattern: str, needed: str) -> Column:
         ended = pair["match"].isNull()
         return F.struct(F.when(ended, start).otherwise(end).alias("at"), F.when(ended, state["out"]).otherwise(F.concat(state["out"], F.array(span))).alias("out"))
 
-    return F.when(text.rlike(needed), F.aggregate(pairs, begin, add, lambda state: state["out"])).otherwise(none)
+    def placed(earlier: Column, piece: Column) -> Column:
+        at = F.aggregate(earlier, F.lit(0), lambda total, pair: total + pair["gap"] + F.length(pair["match"]))
+        return F.aggregate(piece, F.struct(at.alias("at"), none.alias("out")), add, lambda state: state["out"])
+
+    return F.when(text.rlike(needed), _in_pieces(pairs, placed)).otherwise(none)
 
 
 def _digits(match: Column) -> Column:
@@ -300,7 +319,7 @@ def redacted(text: Column, found: Column) -> Column:
     """The text with each span replaced by its kind in brackets; where spans overlap, the first names the union."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     ordered = F.sort_array(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    none = F.array().cast("array<string>")
 
     def add(state: Column, s: Column) -> Column:
         fresh = s["start"] >= state["at"]
@@ -308,7 +327,12 @@ def redacted(text: Column, found: Column) -> Column:
         out = F.when(fresh, F.concat(state["out"], F.array(piece, F.get(names, s["kind"])))).otherwise(state["out"])
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
 
-    return F.aggregate(ordered, begin, add, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    def replaced(earlier: Column, piece: Column) -> Column:
+        at = F.aggregate(earlier, F.lit(0), lambda most, s: F.greatest(most, s["end"]))
+        return F.aggregate(piece, F.struct(at.alias("at"), none.alias("out")), add, lambda state: state["out"])
+
+    rest = F.coalesce(F.array_max(F.transform(found, lambda s: s["end"])), F.lit(0))
+    return F.concat(F.array_join(_in_pieces(ordered, replaced), ""), F.substring(text, rest + 1, F.length(text)))
 
 
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars", bound: int = FITTED) -> DataFrame:

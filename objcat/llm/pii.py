@@ -37,6 +37,25 @@ WIDE_NEEDED = {"email": r"@|(?:at|AT)[\])]", "ip": r"[0-9A-Fa-f][.:]+[0-9A-Fa-f]
 HINTS = r"(?i)(?:mail|contact|write to|\bip\b|host|server|addr|card|visa|credit|pay|tel|phone|call|fax|mobile|cell)\W*\w{0,8}\W*$"
 WHOLE_IPV6 = r"::|\A(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\z"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+# Texts are cut up by so many code points to look places up: a string is walked from its start to reach a place.
+PAGE = 1024
+
+
+def _once(value: Column, work: Callable[[Column], Column]) -> Column:
+    """`work(value)`, with the value worked out once, however often lambdas in the work use it."""
+    return F.get(F.transform(F.array(value), work), F.lit(0))
+
+
+def _pages(text: Column) -> Column:
+    """The text in strings of PAGE code points, the last of them shorter."""
+    return F.when(F.length(text) > PAGE, F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PAGE}}}"), F.lit(0))).otherwise(F.array(text))
+
+
+def _part(pages: Column, start: Column, end: Column) -> Column:
+    """What stands from `start` to before `end`; only the pages there are touched."""
+    first = F.floor(start / PAGE).cast("int")
+    held = F.array_join(F.slice(pages, first + 1, F.floor(end / PAGE).cast("int") - first + 1), "")
+    return F.substring(held, start - first * PAGE + 1, end - start)
 
 
 def _in_pieces(items: Column, work: Callable[[Column, Column], Column]) -> Column:
@@ -50,8 +69,7 @@ def _in_pieces(items: Column, work: Callable[[Column, Column], Column]) -> Colum
         last = F.greatest(F.ceil(F.size(all_items) / size).cast("int") - 1, F.lit(0))
         return F.flatten(F.transform(F.sequence(F.lit(0), last), lambda k: work(F.slice(all_items, F.lit(1), k * size), F.slice(all_items, k * size + 1, size))))
 
-    # As the argument of a function, the items are worked out once.
-    return F.get(F.transform(F.array(items), pieces), F.lit(0))
+    return _once(items, pieces)
 
 
 def _found(text: Column, pattern: str, needed: str) -> Column:
@@ -119,25 +137,25 @@ FEATURES = ("kind", "digits", "groups", "mixed", "mark", "before", "after", "hin
 def _candidates(text: Column) -> Column:
     """array of wider candidates: (kind, start, end, features)."""
 
-    def of(kind: str) -> Column:
+    def of(kind: str, pages: Column) -> Column:
         def described(m: Column) -> Column:
             match, digits = m["match"], _digits(m["match"])
-            lead = F.substring(text, F.greatest(m["start"] - 23, F.lit(1)), F.least(m["start"], F.lit(24)))
+            lead = _part(pages, F.greatest(m["start"] - 24, F.lit(0)), m["start"])
             return F.struct(
                 F.lit(KINDS.index(kind)).alias("kind"), m["start"].alias("start"), m["end"].alias("end"),
                 F.least(F.length(digits), F.lit(20)).alias("digits"),
                 F.least(F.size(F.split(match, r"[^A-Za-z0-9]+", -1)), F.lit(9)).alias("groups"),
                 F.size(F.array_distinct(F.split(F.regexp_replace(match, r"[A-Za-z0-9]", ""), ""))).cast("int").alias("mixed"),
                 F.when(match.rlike(WHOLE_IPV6), 4).when(match.rlike(r"@[^@]+\."), 3).when(match.contains("@"), 2).when(match.rlike(r"[\[(]"), 1).otherwise(0).alias("mark"),
-                _near(F.substring(text, m["start"], F.when(m["start"] > 0, F.lit(1)).otherwise(F.lit(0)))).alias("before"),
-                _near(F.substring(text, m["end"] + 1, F.lit(1))).alias("after"),
+                _near(_part(pages, F.greatest(m["start"] - 1, F.lit(0)), m["start"])).alias("before"),
+                _near(_part(pages, m["end"], m["end"] + 1)).alias("after"),
                 lead.rlike(HINTS).cast("int").alias("hint"),
                 _luhn(digits).cast("int").alias("luhn"),
             )
 
         return F.transform(_found(text, WIDE[kind], WIDE_NEEDED[kind]), described)
 
-    return F.concat(*[of(kind) for kind in KINDS])
+    return _once(_pages(text), lambda pages: F.concat(*[of(kind, pages) for kind in KINDS]))
 
 
 def _likely(c: Column) -> Column:
@@ -160,6 +178,28 @@ def _overlap(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+def _reaches(spans: Column) -> Column:
+    """Spans in order of their start, in about as many pieces as a piece has spans: array of (start, end, spans), with the reach of each piece."""
+    fields = ("start", "end", "kind", "score")
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(*[s[f].alias(f) for f in fields])))
+
+    def reach(_: Column, piece: Column) -> Column:
+        start = F.coalesce(F.get(piece, F.lit(0))["start"], F.lit(0))
+        end = F.coalesce(F.array_max(F.transform(piece, lambda s: s["end"])), F.lit(0))
+        return F.array(F.struct(start.alias("start"), end.alias("end"), piece.alias("spans")))
+
+    return _in_pieces(ordered, reach)
+
+
+def _met(reaches: Column, c: Column, test: Callable[[Column], Column] | None = None) -> Column:
+    """Whether a span that overlaps `c` passes the test: of the pieces, only those that reach `c` are opened."""
+    return F.exists(reaches, lambda r: _overlap(r, c) & F.exists(r["spans"], lambda s: _overlap(s, c) & (test(s) if test else F.lit(True))))
+
+
+def _unscored(spans: Column) -> Column:
+    return F.transform(spans, lambda s: s.withField("score", F.lit(0.0)))
+
+
 @dataclass(frozen=True)
 class Split:
     feature: str
@@ -217,12 +257,16 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", bound: int = F
     share = min(1.0, bound / total) if total else 1.0
     picked = docs.filter(F.pmod(F.xxhash64(docs[key]), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000)))
     whole = picked.select(text_of(picked, text).alias("text"), F.pmod(F.xxhash64(F.lit(1), picked[key]), F.lit(2)).cast("int").alias("half"))
-    found = whole.select("half", base_spans(F.col("text")).alias("base"), _candidates(F.col("text")).alias("wide"))
-    found = found.select("half", "base", F.explode("wide").alias("c"))
-    grown = F.exists("base", lambda b: (b["kind"] == F.col("c")["kind"]) & _overlap(b, F.col("c")))
-    free = ~F.exists("base", lambda b: _overlap(b, F.col("c")))
-    real = grown | (free & _likely(F.col("c")))
-    cells = found.select("half", real.cast("int").alias("real"), free.cast("int").alias("free"), *[F.col("c")[f].alias(f) for f in FEATURES])
+
+    def labelled(base: Column) -> Column:
+        def label(c: Column) -> Column:
+            grown, free = _met(base, c, lambda b: b["kind"] == c["kind"]), ~_met(base, c)
+            return F.struct((grown | (free & _likely(c))).cast("int").alias("real"), free.cast("int").alias("free"), *[c[f].alias(f) for f in FEATURES])
+
+        return F.transform(_candidates(F.col("text")), label)
+
+    # Labels are set inside the row: exploded rows would each carry all base spans of their text.
+    cells = whole.select("half", F.inline(_once(_reaches(_unscored(base_spans(F.col("text")))), labelled)))
     rows = cells.groupBy("half", "real", "free", *FEATURES).agg(F.count(F.lit(1)).alias("n")).collect()
     return boosted([r.asDict() for r in rows], rounds, depth, precision)
 
@@ -295,15 +339,17 @@ def spans(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     step = whole.select(key, "text", base_spans(F.col("text")).alias("base"))
     if not any(level is not None for level in model.least.values()):
         return step.withColumn("spans", F.col("base"))
-    step = step.withColumn("_wide", F.filter(_candidates(F.col("text")), lambda c: ~F.exists("base", lambda b: _overlap(b, c))))
+    free = _once(_reaches(_unscored(F.col("base"))), lambda base: F.filter(_candidates(F.col("text")), lambda c: ~_met(base, c)))
+    levels = F.array(*[F.lit(2.0 if model.least.get(k) is None else model.least[k]) for k in KINDS])
+
     def scored(c: Column) -> Column:
-        levels = F.array(*[F.lit(2.0 if model.least.get(k) is None else model.least[k]) for k in KINDS])
-        score = model.score(c)
-        rank = F.struct((-score).alias("score"), c["start"].alias("start"), (-c["end"]).alias("end"), c["kind"].alias("kind"))
-        return F.struct(rank.alias("rank"), c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), (score >= F.get(levels, c["kind"])).alias("real"))
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), model.score(c).alias("score"))
+
+    def rank(c: Column) -> Column:
+        return F.struct(-c["score"], c["start"], -c["end"], c["kind"])
 
-    step = step.withColumn("_wide", F.filter(F.transform("_wide", scored), lambda c: c["real"]))
-    best = F.filter("_wide", lambda c: ~F.exists("_wide", lambda d: _overlap(c, d) & (d["rank"] < c["rank"])))
+    step = step.withColumn("_wide", F.filter(F.transform(free, scored), lambda c: c["score"] >= F.get(levels, c["kind"])))
+    best = _once(_reaches(F.col("_wide")), lambda wide: F.filter("_wide", lambda c: ~_met(wide, c, lambda d: rank(d) < rank(c))))
     more = F.transform(best, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     return step.select(key, "text", "base", F.concat("base", more).alias("spans"))
 
@@ -321,18 +367,21 @@ def redacted(text: Column, found: Column) -> Column:
     ordered = F.sort_array(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     none = F.array().cast("array<string>")
 
-    def add(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        piece = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        out = F.when(fresh, F.concat(state["out"], F.array(piece, F.get(names, s["kind"])))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+    def written(pages: Column) -> Column:
+        def add(state: Column, s: Column) -> Column:
+            fresh = s["start"] >= state["at"]
+            piece = _part(pages, state["at"], s["start"])
+            out = F.when(fresh, F.concat(state["out"], F.array(piece, F.get(names, s["kind"])))).otherwise(state["out"])
+            return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
 
-    def replaced(earlier: Column, piece: Column) -> Column:
-        at = F.aggregate(earlier, F.lit(0), lambda most, s: F.greatest(most, s["end"]))
-        return F.aggregate(piece, F.struct(at.alias("at"), none.alias("out")), add, lambda state: state["out"])
+        def replaced(earlier: Column, piece: Column) -> Column:
+            at = F.aggregate(earlier, F.lit(0), lambda most, s: F.greatest(most, s["end"]))
+            return F.aggregate(piece, F.struct(at.alias("at"), none.alias("out")), add, lambda state: state["out"])
+
+        rest = F.coalesce(F.array_max(F.transform(found, lambda s: s["end"])), F.lit(0))
+        return F.concat(F.array_join(_in_pieces(ordered, replaced), ""), F.substring(text, rest + 1, F.length(text)))
 
-    rest = F.coalesce(F.array_max(F.transform(found, lambda s: s["end"])), F.lit(0))
-    return F.concat(F.array_join(_in_pieces(ordered, replaced), ""), F.substring(text, rest + 1, F.length(text)))
+    return _once(_pages(text), written)
 
 
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars", bound: int = FITTED) -> DataFrame:

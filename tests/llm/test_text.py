@@ -174,6 +174,33 @@ def test_trees_add_planted_places_beyond_the_patterns(spark):
     assert got == planted
 
 
+def test_many_places_in_one_text_are_those_of_its_parts(spark):
+    draw = random.Random(9)
+    number = lambda n: "".join(draw.choice("123456789") for _ in range(n))
+    makes = [
+        lambda: f"𝄞 name{number(2)} [at] host{number(1)} [dot] org",
+        lambda: f"name{number(2)}@host.org or 10.0.{number(2)}.0 é",
+        lambda: f"call {number(3)} {number(3)} {number(4)}",
+        lambda: f"see {number(3)} {number(2)}",
+        lambda: "4111 1111 1111 1111 +1 (234) 555-6789",
+    ]
+    parts = [draw.choice(makes)() + " und" * draw.randint(8, 40) + " " for _ in range(4_000)]
+    began = time.perf_counter()
+    parted = documents(spark, [(i, p, "a") for i, p in enumerate(parts)])
+    model = pii.fit(parted)
+    assert model.least["email"] is not None and model.least["phone"] is not None
+    found = lambda docs: pii.spans(docs, model).select("doc_id", "text", "spans")
+    cut = found(parted).select("doc_id", "spans", pii.redacted(F.col("text"), F.col("spans")).alias("new")).orderBy("doc_id").collect()
+    whole = found(documents(spark, [(1, "".join(parts), "a")])).select("spans", pii.redacted(F.col("text"), F.col("spans")).alias("new")).collect()[0]
+    at, want = 0, []
+    for part, r in zip(parts, cut):
+        want += [(s["start"] + at, s["end"] + at, s["kind"]) for s in r["spans"]]
+        at += len(part)
+    assert len(want) > 4_000 and sorted((s["start"], s["end"], s["kind"]) for s in whole["spans"]) == sorted(want)
+    assert whole["new"] == "".join(r["new"] for r in cut)
+    assert time.perf_counter() - began < 120
+
+
 def test_redaction_keeps_everything_else(spark, odd):
     docs = documents(spark, [(1, "é a@b.cd and no. 4111 1111 1111 1111", "a"), (2, None, "a"), (3, "plain", None)])
     rows = {r["doc_id"]: r for r in pii.clean(docs).collect()}

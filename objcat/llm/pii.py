@@ -130,6 +130,11 @@ def _span(kind: str, m: Column) -> Column:
     return F.struct(F.lit(KINDS.index(kind)).alias("kind"), m["start"].alias("start"), m["end"].alias("end"))
 
 
+def is_kind(kind: str) -> Callable[[Column], Column]:
+    """A test of one argument: Spark hands the place of an item to a second one, even where that has a default."""
+    return lambda s: s["kind"] == KINDS.index(kind)
+
+
 # Features: small whole numbers, so that equal candidates can be counted instead of listed.
 FEATURES = ("kind", "digits", "groups", "mixed", "mark", "before", "after", "hint", "luhn")
 

@@ -1,6 +1,7 @@
 """The text operators against brute force on small tables with nulls, repeats, ties, long texts and clashing columns."""
 
 import collections
+import hashlib
 import itertools
 import os
 import random
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from objcat.llm import components, decontamination, licenses, lines, mixing, near, pages, pii, rules, similar, simhash, tokens, urls
+from objcat.llm import components, decontamination, licenses, lines, mixing, near, pages, pii, queries, rules, similar, simhash, tokens, urls
 from objcat.session import scratch_folder
 
 EXTRA = "id string, row string, copy string, place string, kind string, n_words string, kept string, spans string, fingerprint string, base string, _text string"
@@ -140,6 +141,20 @@ def test_addresses_with_parts_of_zero(spark):
     assert sum(r["base"].count("ip:") for r in found) == 7
 
 
+def test_counts_of_the_query_are_of_base_spans(spark, tmp_path):
+    card, phone = "4111 1111-1111 1111", "+1 (234) 555-6789"
+    made = ["a@b.cd x@y.zz 1.2.3.4 " + card, phone, f"{card} {phone} {phone}", "10.0.0.1", "none", ""]
+    # Enough spelt-out addresses that the trees add them: they are listed, not counted.
+    made += [f"see name{i} [at] host{i % 7} [dot] org soon" if i % 2 else f"see name{i}@host.org or {i} {i + 7} soon" for i in range(400)]
+    documents(spark, [*((i, t, "a") for i, t in enumerate(made)), (len(made), None, "a")]).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in queries._pii(spark, str(tmp_path)).collect()}
+    for i, text in enumerate([*made, ""]):
+        base = base_by_hand(text)
+        assert [rows[i][f"n_{k}"] for k in pii.KINDS] == [base.count(f"{k}:") for k in pii.KINDS]
+        assert rows[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+    assert rows[7]["spans"] == "email:4:30" and rows[7]["n_email"] == 0
+
+
 def test_trees_add_what_looks_alike(spark):
     def row(half, real, n, **values):
         return dict.fromkeys(pii.FEATURES, 0) | {"half": half, "real": real, "n": n} | values

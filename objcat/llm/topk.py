@@ -15,7 +15,7 @@ from objcat.session import staged
 BLOCK = 1024  # queries of one block
 CELL = 16_384  # rows that meet a block at a time
 STRIP = 2048  # of those, scored at once
-BITS = 9  # a histogram has 2 ** BITS bins
+BITS = 9  # a histogram has at most 2 ** BITS bins
 
 
 def _strips(shape: vectors.Shape, left: pa.Table, right: pa.Table):
@@ -28,18 +28,18 @@ def _strips(shape: vectors.Shape, left: pa.Table, right: pa.Table):
         yield ids[at : at + STRIP], scores.astype(np.int64), own[:, None] != ids[None, at : at + STRIP]
 
 
-def _histogram(shape: vectors.Shape, step: int):
+def _histogram(shape: vectors.Shape, step: int, bins: int):
     """For each query of a block, its highest bins that are not empty, until they hold as many rows as it still needs.
 
+    Bins are 2 ** step scores wide and begin at `low`, a multiple of that; scores beyond the last bin were counted before.
     Bins below those cannot hold the k-th value of all rows, since the rows of this cell alone come before it.
     """
-    bins = 1 << BITS
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         low, need = left["low"].to_numpy(), left["need"].to_numpy()
         counts = np.zeros(len(low) * bins, np.int64)
         for _, scores, other in _strips(shape, left, right):
-            at = (scores - low[:, None]) >> step
+            at = (scores >> step) - (low >> step)[:, None]
             inside = other & (at >= 0) & (at < bins)
             counts += np.bincount((at + np.arange(len(low))[:, None] * bins)[inside], minlength=len(counts))
         counts = counts.reshape(len(low), bins)
@@ -98,16 +98,16 @@ def top_k(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: str
     queries = rows.filter(is_query).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     kind = rows.schema["id"].dataType.simpleString()
 
-    bits = (2 * shape.bound + 1).bit_length()
-    state = queries.select("id", F.lit(-shape.bound).cast("long").alias("low"), F.lit(k).cast("long").alias("need"), F.lit(True).alias("open"))
+    bits = shape.bound.bit_length() + 1  # scores are from -(2 ** (bits - 1)) on
+    state = queries.select("id", F.lit(-(1 << bits - 1)).cast("long").alias("low"), F.lit(k).cast("long").alias("need"), F.lit(True).alias("open"))
     while bits > 0:
         step = max(0, bits - BITS)
         searched = queries.join(state.filter("open").select("id", "low", "need"), "id")
-        counts = vectors.beside(searched, rows, blocks, CELL, _histogram(shape, step), f"id {kind}, bin long, n long").groupBy("id", "bin").agg(F.sum("n").alias("n"))
+        counts = vectors.beside(searched, rows, blocks, CELL, _histogram(shape, step, 1 << bits - step), f"id {kind}, bin long, n long").groupBy("id", "bin").agg(F.sum("n").alias("n"))
         upto = F.sum("n").over(Window.partitionBy("id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0))
         passed = counts.select("id", "bin", "n", upto.alias("upto")).join(state.select("id", "need"), "id").filter("upto >= need")
         holds = passed.groupBy("id").agg(F.max(F.struct("bin", "n", "upto")).alias("b"))
-        low = F.col("low") + F.coalesce(F.shiftleft(F.col("b.bin"), step), F.lit(0))
+        low = F.shiftleft(F.shiftright("low", step) + F.coalesce(F.col("b.bin"), F.lit(0)), step)
         need = F.col("need") - F.coalesce(F.col("b.upto") - F.col("b.n"), F.lit(0))
         # Closed: fewer rows than wanted, all rows of the bin wanted, or closed before.
         still = F.col("open") & F.col("b").isNotNull() & (F.col("b.upto") > F.col("need"))

@@ -130,6 +130,20 @@ def test_top_k_by_brute_force(spark, factor):
     assert sorted(tuple(r) for r in got) == sorted(expected)
 
 
+@pytest.mark.parametrize("scale, shift", [(0.02, 0.2), (0.5, 0.0), (1e4, 9.95e6)])
+def test_top_k_of_scores_close_together(spark, scale, shift):
+    # Bins narrower than a whole histogram: what lies above them was counted before. The last scale nearly fills 64 bits.
+    draw, width = random.Random(14), 1 if shift > 2 else 8
+    rows = [(i, [draw.choice([-1, 1, 1]) * shift * (width == 1) + shift * (width > 1) + draw.gauss(0, scale) for _ in range(width)], 0) for i in range(1500)]
+    part = whole(rows)
+    expected = []
+    for q in range(0, 1500, 50):
+        ranked = sorted((-score(part[q][0], v), i) for i, (v, _) in part.items() if i != q)[:5]
+        expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(ranked)]
+    got = topk.top_k(vectors_of(spark, rows), F.col("id") % 50 == 0).collect()
+    assert sorted(tuple(r) for r in got) == expected
+
+
 def test_top_k_of_few_rows(spark):
     rows = [(0, [1.0, 0.0], 0), (50, [0.5, 0.5], 0), (7, [-1.0, -1.0], 0)]
     frame = vectors_of(spark, rows)

@@ -36,27 +36,31 @@ def rule_keys(pieces: list[tuple], anchored: bool) -> set[str]:
 
 
 def path_keys(path: Column, grams: bool) -> Column:
-    """The keys that a path holds."""
+    """The keys that a path holds, pieces without their sign: a word that looks like one only meets more rules, which are tested."""
     words = F.transform(F.regexp_extract_all(path, F.lit(f"({WORD})"), F.lit(1)), lambda w: F.concat(F.lit("w"), w))
     if not grams:
-        return F.array_distinct(words)
-    starts = F.sequence(F.lit(1), F.greatest(F.char_length(path) - (GRAM - 1), F.lit(1)))
-    pieces = F.transform(starts, lambda i: F.concat(F.lit("g"), F.substring(path, i, F.lit(GRAM))))
-    return F.array_distinct(F.concat(words, pieces))
+        return words
+    # A look ahead at each place: overlapping pieces from one pass.
+    pieces = F.regexp_extract_all(path, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
+    return F.concat(words, pieces)
 
 
 class RuleIndex:
     """Ordered rules, of which the first that matches a path decides.
 
-    Each rule is filed under that of its keys which fewest rules share. Rules without a key (wildcards, very short texts) are tested
+    A rule whose test stands earlier in the list never decides and is left out. Each other one is filed under that of its keys
+    which fewest rules share. Rules without a key (wildcards, very short texts) are tested
     on every path, in groups that one regular expression covers.
     """
 
     def __init__(self, rules):
-        keys = [rule_keys(rule.pieces, anchored=True) for rule in rules]
+        first: dict[tuple[str, bool], tuple] = {}
+        for position, rule in enumerate(rules, start=1):
+            first.setdefault((rule.regex(), rule.directories_only), (position, rule))
+        keys = [rule_keys(rule.pieces, anchored=True) for _, rule in first.values()]
         common = Counter(key for some in keys for key in some)
         self.filed, self.loose = [], []
-        for position, (rule, some) in enumerate(zip(rules, keys), start=1):
+        for (position, rule), some in zip(first.values(), keys):
             if some and not rule.matches_everything():
                 key = min(some, key=lambda k: (common[k], k[0], k))
                 longest = max(globs.literals(rule.pieces), key=len)
@@ -65,7 +69,8 @@ class RuleIndex:
                 self.loose.append((position, rule))
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.filed, "_position int, _action string, _dirs boolean, _key string, _text string, _regex string")
+        rows = [(*filed[:3], filed[3].removeprefix("g"), *filed[4:]) for filed in self.filed]
+        return spark.createDataFrame(rows, "_position int, _action string, _dirs boolean, _key string, _text string, _regex string")
 
     def _loose_match(self, path: Column, is_dir: Column | bool) -> Column:
         """(position, action) of the first rule without a key that matches, or NULL."""
@@ -78,22 +83,30 @@ class RuleIndex:
     def first_match(self, inv: DataFrame, is_dir: Column | bool = False) -> DataFrame:
         """Every row with `_first`: the position and action of the rule that decides it, NULL where none matches.
 
-        Paths are split to keys where they are read and meet the rule table in an equi-join. What a rule's text and regular expression
-        confirm is reduced to the least position per path before it is moved. Work grows with the rules that share a key with a path,
+        Paths are split to keys where they are read and meet the rule table, which is sent to them, in an equi-join. What a rule's text and regular expression
+        confirm is reduced to the least position per path before it is moved; position and action are one number there, as a
+        struct would be sorted for it. Work grows with the rules that share a key with a path,
         not with their number. Whether a row is a directory is looked at only if some rule asks for it.
         """
         directional = any(filed[2] for filed in self.filed) and is_dir is not False
         place = [F.col("path")] + ([is_dir.alias("_is_dir")] if directional else [])
         names = ["path", "_is_dir"] if directional else ["path"]
         grams = any(filed[3].startswith("g") for filed in self.filed)
-        rows = inv.select(*place).distinct().select(*names, F.explode(path_keys(F.col("path"), grams)).alias("_key"))
-        met = rows.join(self.table(inv.sparkSession), "_key")
+        filed_under = sorted({filed[3].removeprefix("g") for filed in self.filed})
+        held = F.array_distinct(F.filter(path_keys(F.col("path"), grams), lambda key: key.isin(filed_under)))  # before rows are made of them
+        rows = inv.select(*place).select(*names, F.explode(held).alias("_key"))
+        met = rows.join(F.broadcast(self.table(inv.sparkSession)), "_key")
         fits = F.contains("path", "_text") & F.expr("path RLIKE _regex")
         fits = fits & (~F.col("_dirs") | F.col("_is_dir")) if directional else fits & ~F.col("_dirs")
-        best = met.filter(fits).groupBy(*names).agg(F.min(F.struct("_position", "_action")).alias("_filed"))
+        actions = F.array(*[F.lit(a) for a in sorted({filed[1] for filed in self.filed}) or [""]])
+        packed = F.col("_position").cast("long") * F.size(actions) + F.array_position(actions, F.col("_action")) - 1
+        best = met.filter(fits).groupBy(*names).agg(F.min(packed).alias("_packed"))
         best = best.withColumnsRenamed({n: f"{n}_" for n in names})
         on = inv["path"] == best["path_"]
         if directional:
             on = on & (is_dir == best["_is_dir_"])
         loose = self._loose_match(F.col("path"), is_dir)
-        return inv.join(best, on, "left").withColumn("_first", F.least("_filed", loose)).select(*inv.columns, "_first")
+        position = F.call_function("div", F.col("_packed"), F.size(actions).cast("long"))
+        action = F.get(actions, (F.col("_packed") % F.size(actions)).cast("int"))
+        filed = F.when(F.col("_packed").isNotNull(), F.struct(position.cast("int").alias("_position"), action.alias("_action")))
+        return inv.join(best, on, "left").withColumn("_first", F.least(filed, loose)).select(*inv.columns, "_first")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from objcat.errors import PatternError, Refused
 from objcat.operators.filters import FilterSet, Rule
 from objcat.operators.globs import glob_match
+from objcat.operators.rule_index import RuleIndex
 
 
 def matches(pattern: str, text: str) -> bool:
@@ -206,3 +207,20 @@ def test_many_changes_of_action(spark):
     lines = [f"{'+' if i % 2 else '-'} /d{i}/**" for i in range(600)]
     filters = FilterSet.build(rules_from=["\n".join(lines)], now=0)
     assert kept(spark, filters, *[f"d{i}/x" for i in range(0, 600, 37)], "y") == sorted([f"d{i}/x" for i in range(0, 600, 37) if i % 2] + ["y"])
+
+
+def test_rule_table_is_sent_to_the_paths(spark):
+    # Equal rules, of which the first decides; equal paths, which are decided each; a null path; rules for directories.
+    lines = [line for n in range(1, 301) for line in (f"- *-{n}.bin", f"+ {n % 20}-*", f"- sub{n % 7}/")]
+    found = FilterSet.build(rules_from=["\n".join(lines)], now=0)
+    rows = [("x/a-5.bin", False), ("x/a-5.bin", False), ("x/3-7.bin", False), ("y/19-z", False), ("sub3", True), ("sub3", False), ("none", False), (None, False), ("sub3", None)]
+    inv = spark.createDataFrame(rows, "path string, is_dir boolean")
+    explained = found.explain(inv).select("path", "is_dir", "action", "position")
+    expected = [("x/a-5.bin", False, "exclude", 13)] * 2 + [("x/3-7.bin", False, "include", 8), ("y/19-z", False, "include", 56), ("sub3", True, "exclude", 9)]
+    expected += [("sub3", False, "include", None), ("none", False, "include", None), (None, False, "include", None), ("sub3", None, "include", None)]
+    order = lambda r: tuple(str(v) for v in r)
+    assert sorted((tuple(r) for r in explained.collect()), key=order) == sorted(expected, key=order)
+    index = RuleIndex(found.rules)
+    assert [f[0] for f in index.filed if f[1] == "include"] == [3 * n - 1 for n in range(1, 21)] and len(index.filed) == 300 + 20 + 7
+    plan = explained._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [_key" in plan and "SortAggregate" not in plan

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -156,50 +158,62 @@ def parse_time(col: Column | str, now: int | Column = 0) -> Column:
     """Unix seconds of `now`, `@unix`, `2d` ago, a calendar date, or a date with a clock and an offset; else NULL.
 
     Clocks are UTC unless they carry an offset; years run from 1970 to 9999; second 60 is accepted. One
-    pattern takes a calendar time apart into a list; the four readings stand side by side and one is picked.
+    pattern takes a calendar time apart into a list. Text, list and zone are bound, as an expression that stands in
+    many places is worked out in each; only the reading that fits is worked out.
     """
-    text = F.regexp_replace(as_col(col), r"(?U)^\s+|\s+$", "")
     now = F.lit(now).cast("long") if isinstance(now, int) else now.cast("long")
-    absolute = F.regexp_extract(text, r"^@(?U:\s*)([+-]?[0-9]+)$", 1).try_cast("long")
-
     ago = r"^\+?([0-9]+)([smhdw])$"
-    step = F.try_element_at(_table(RELATIVE_SECONDS), F.regexp_extract(text, ago, 2)).cast("long")
-    relative = F.try_subtract(now, F.try_multiply(F.regexp_extract(text, ago, 1).try_cast("long"), step))
 
-    # Date, then perhaps a clock with seconds, a fraction (in which only a last sign begins an offset) and a zone.
-    calendar_shape = (
-        r"(?s)^([0-9]+)-([0-9]+)-([0-9]+)"
-        r"(?:[Tt ]([0-9]+):([0-9]+)(?::([0-9]+)(?:\.(?:[^:+-]|[+-](?=[^:]*[+-]))*?)?)?([Zz]|[+-][0-9:]*)?)?$"
-    )
-    fields = F.split(F.regexp_replace(text, calendar_shape, "$1,$2,$3,$4,$5,$6,$7"), ",")
+    def read(text: Column) -> Column:
+        absolute = F.regexp_extract(text, r"^@(?U:\s*)([+-]?[0-9]+)$", 1).try_cast("long")
+        step = F.try_element_at(_table(RELATIVE_SECONDS), F.regexp_extract(text, ago, 2)).cast("long")
+        relative = F.try_subtract(now, F.try_multiply(F.regexp_extract(text, ago, 1).try_cast("long"), step))
+        return (
+            F.when(F.lower(text) == "now", now)
+            .when(text.startswith("@"), absolute)
+            .when(text.rlike(ago), relative)
+            .when(text.rlike(CALENDAR), _bound(F.split(F.regexp_replace(text, CALENDAR, "$1,$2,$3,$4,$5,$6,$7"), ","), _calendar))
+        )
+
+    return _bound(F.regexp_replace(as_col(col), r"(?U)^\s+|\s+$", ""), read)
+
+
+def _bound(value: Column, work: Callable[[Column], Column]) -> Column:
+    """`work(value)`, with the value worked out once, however often the work uses it."""
+    return F.get(F.transform(F.array(value), work), F.lit(0))
+
 
-    def field(n: int, absent: str | None = None) -> Column:
+# Date, then perhaps a clock with seconds, a fraction (in which only a last sign begins an offset) and a zone.
+CALENDAR = (
+    r"(?s)^([0-9]+)-([0-9]+)-([0-9]+)"
+    r"(?:[Tt ]([0-9]+):([0-9]+)(?::([0-9]+)(?:\.(?:[^:+-]|[+-](?=[^:]*[+-]))*?)?)?([Zz]|[+-][0-9:]*)?)?$"
+)
+
+
+def _calendar(fields: Column) -> Column:
+    """Unix seconds of the seven fields of a calendar time."""
+
+    def clock(n: int) -> Column:
         value = F.get(fields, F.lit(n))
-        return value if absent is None else F.when(value == "", absent).otherwise(value)
+        return F.when(value == "", F.lit(0)).otherwise(value.try_cast("int"))
 
-    year, month, day = (field(n).try_cast("int") for n in range(3))
+    year, month, day = (F.get(fields, F.lit(n)).try_cast("int") for n in range(3))
     civil = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
     in_range = year.between(1970, 9999) & month.between(1, 12) & day.between(1, 31)
     days = F.unix_date(F.when(in_range, civil).try_cast("date")).cast("long")
 
-    hour, minute, second = (field(n, "0").try_cast("int") for n in (3, 4, 5))
+    hour, minute, second = (clock(n) for n in (3, 4, 5))
     of_day = F.when((hour <= 23) & (minute <= 59) & (second <= 60), hour * 3600 + minute * 60 + second)
-    zone = F.replace(field(6), F.lit(":"), F.lit(""))
-    digits = F.rpad(F.substring(zone, 2, 4), 4, "0")
-    off_h, off_m = F.substring(digits, 1, 2).try_cast("int"), F.substring(digits, 3, 2).try_cast("int")
-    ahead = F.when((off_h <= 23) & (off_m <= 59), off_h * 3600 + off_m * 60)
-    offset = F.when(zone.isin("", "Z", "z"), F.lit(0)).when(
-        zone.rlike(r"^[+-](?:[0-9]{2}|[0-9]{4})$"), F.when(zone.startswith("-"), -ahead).otherwise(ahead)
-    )
-    calendar = F.when(text.rlike(calendar_shape), days * 86400 + of_day - offset)
 
-    reading = (
-        F.when(F.lower(text) == "now", F.lit(0))
-        .when(text.startswith("@"), F.lit(1))
-        .when(text.rlike(ago), F.lit(2))
-        .otherwise(F.lit(3))
-    )
-    return F.get(F.array(now, absolute, relative, calendar), reading)
+    def offset(zone: Column) -> Column:
+        digits = F.rpad(F.substring(zone, 2, 4), 4, "0")
+        off_h, off_m = F.substring(digits, 1, 2).try_cast("int"), F.substring(digits, 3, 2).try_cast("int")
+        ahead = F.when((off_h <= 23) & (off_m <= 59), off_h * 3600 + off_m * 60)
+        return F.when(zone.isin("", "Z", "z"), F.lit(0)).when(
+            zone.rlike(r"^[+-](?:[0-9]{2}|[0-9]{4})$"), F.when(zone.startswith("-"), -ahead).otherwise(ahead)
+        )
+
+    return days * 86400 + of_day - _bound(F.replace(F.get(fields, F.lit(6)), F.lit(":"), F.lit("")), offset)
 
 
 def is_hex_digest(col: Column | str, algo: str = "sha256") -> Column:

@@ -378,14 +378,13 @@ def admits(
 def audit_list(log: DataFrame, limit: int = 0, chain: str = "chain", pos: str = "pos", **window) -> DataFrame:
     """Records that match, in order; with `limit` the last ones of each chain (0: all).
 
-    The place from which a chain is shown is found among short rows (chain, place); no record is moved for it.
+    The rank of a record among those of its chain, from the last, is cut before records move, so each task hands on `limit` records
+    of a chain and those that share the place of the last of them. A record without a place counts as the earliest.
     """
     shown = log.filter(admits(**window))
     if limit:
-        back = with_position(shown.select(F.col(chain).alias("_chain"), (-F.col(pos)).alias("_back")), ["_chain"], ["_back"], "_rank")
-        first = back.filter(F.col("_rank") == limit).select("_chain", (-F.col("_back")).alias("_from"))
-        whole = shown.join(first, F.col(chain).eqNullSafe(F.col("_chain")), "left")
-        shown = whole.filter(F.col("_from").isNull() | (F.col(pos) >= F.col("_from"))).select(*[shown[c] for c in shown.columns])
+        back = Window.partitionBy(chain).orderBy(F.desc(pos))
+        shown = shown.withColumn("_rank", F.rank().over(back)).filter(F.col("_rank") <= limit).drop("_rank")
     return shown.orderBy(chain, pos)
 
 

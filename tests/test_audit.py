@@ -192,3 +192,18 @@ def test_coverage_and_outcomes(spark):
     assert (states["copy"], states["warp"], states["ls"], states["sync"], states["size"]) == ("covered", "unruled", "exempt-but-seen", "unseen", "covered")
     codes = {r["result"]: (r["code"], r["stops"]) for r in audit.outcome_counts(log).collect()}
     assert codes == {"success": (0, False), "fatal_error": (7, True), "odd": (None, False)}
+
+
+def test_listing_the_last_records_moves_no_more_than_those(spark):
+    # A chain with most of the records, ties at the cut, a null chain, and a time that cannot be read.
+    rows = [("a", n, "2024-01-05") for n in range(500)] + [("a", 499, "x"), ("a", 498, "2024-01-05"), ("a", 498, "2024-01-05"), ("b", 7, "2024-01-05")]
+    rows += [(None, 1, "2024-01-05"), (None, 2, "2024-01-05"), (None, 3, "2024-01-05"), (None, 4, "2025-01-05"), (None, 0, "2024-01-05")]
+    log = spark.createDataFrame(rows, "chain string, pos long, time string").withColumn("path", F.lit("d/f"))
+    shown = audit.audit_list(log, limit=3, since=1704326400, until=1704585600)
+    got = [(r["chain"], r["pos"]) for r in shown.collect()]
+    assert got == [(None, 1), (None, 2), (None, 3), *[("a", 498)] * 3, *[("a", 499)] * 2, ("b", 7)]
+    plan = shown._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "WindowGroupLimit" in plan
+    # The text of a time is taken apart once, however many fields are read from it.
+    whole = log.filter(audit.admits(since=1704326400, until=1704585600))._jdf.queryExecution().optimizedPlan().toString()
+    assert whole.count("split(") == 1

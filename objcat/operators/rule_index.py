@@ -39,10 +39,10 @@ def path_keys(path: Column, grams: bool) -> Column:
     """The keys that a path holds, pieces without their sign: a word that looks like one only meets more rules, which are tested."""
     words = F.transform(F.regexp_extract_all(path, F.lit(f"({WORD})"), F.lit(1)), lambda w: F.concat(F.lit("w"), w))
     if not grams:
-        return words
+        return F.array_distinct(words)
     # A look ahead at each place: overlapping pieces from one pass.
     pieces = F.regexp_extract_all(path, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
-    return F.concat(words, pieces)
+    return F.array_distinct(F.concat(words, pieces))
 
 
 class RuleIndex:
@@ -92,9 +92,7 @@ class RuleIndex:
         place = [F.col("path")] + ([is_dir.alias("_is_dir")] if directional else [])
         names = ["path", "_is_dir"] if directional else ["path"]
         grams = any(filed[3].startswith("g") for filed in self.filed)
-        filed_under = sorted({filed[3].removeprefix("g") for filed in self.filed})
-        held = F.array_distinct(F.filter(path_keys(F.col("path"), grams), lambda key: key.isin(filed_under)))  # before rows are made of them
-        rows = inv.select(*place).select(*names, F.explode(held).alias("_key"))
+        rows = inv.select(*place).select(*names, F.explode(path_keys(F.col("path"), grams)).alias("_key"))
         met = rows.join(F.broadcast(self.table(inv.sparkSession)), "_key")
         fits = F.contains("path", "_text") & F.expr("path RLIKE _regex")
         fits = fits & (~F.col("_dirs") | F.col("_is_dir")) if directional else fits & ~F.col("_dirs")
